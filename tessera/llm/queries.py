@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import table
-from tessera.llm import groups, neighbours, packing, splitting
+from tessera.llm import conversations, defects, groups, neighbours, packing, splitting
 
 WHITE_SPACE_CLASS = r"[^\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.broken_pairs(table(spark, sf_dir, "conversation_messages"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized_pieces(table(spark, sf_dir, "chunks")).filter("piece_no = 1").select("chunk_id").distinct()
 
@@ -20,6 +24,10 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_chunks(table(spark, sf_dir, "chunks"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.whole_conversations(table(spark, sf_dir, "conversation_messages"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.tied_phrases(table(spark, sf_dir, "graph_edges"), table(spark, sf_dir, "graph_phrases"))
 
@@ -44,8 +52,10 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
+        "p5_found": p5_found,
         "p6_found": p6_found,
         "p7_found": p7_found,
         "p8_containers": p8_containers,
@@ -58,6 +68,26 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": rf"""
             SELECT DISTINCT chunk_id FROM chunks
             WHERE len(regexp_extract_all(content, '{WHITE_SPACE_CLASS}')) > 500""",
+        "p5_found": """
+            WITH said AS (
+                SELECT conversation_id, message_id, created_at, content,
+                       CASE WHEN lower(trim(coalesce(role, ''))) IN ('user', 'human') THEN 0
+                            WHEN lower(trim(coalesce(role, ''))) IN ('assistant', 'bot') THEN 2 ELSE 1 END AS speaker
+                FROM conversation_messages
+                WHERE conversation_id IS NOT NULL AND lower(trim(coalesce(role, ''))) NOT IN ('system', 'tool')),
+            kept AS (
+                SELECT conversation_id, speaker, created_at, content, min(message_id) AS message_id
+                FROM said WHERE created_at IS NOT NULL GROUP BY ALL),
+            placed AS (
+                SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, speaker, message_id) AS turn_no FROM kept),
+            good AS (
+                SELECT conversation_id FROM placed GROUP BY conversation_id
+                HAVING count(*) % 2 = 0
+                   AND bool_and(speaker = CASE WHEN turn_no % 2 = 1 THEN 0 ELSE 2 END)
+                   AND bool_and(coalesce(regexp_matches(content, '[\\p{L}\\p{N}]'), false)))
+            SELECT conversation_id, CAST(turn_no AS INTEGER) AS turn_no, message_id FROM placed
+            WHERE conversation_id IN (SELECT conversation_id FROM good)
+              AND conversation_id NOT IN (SELECT conversation_id FROM said WHERE created_at IS NULL)""",
         "p6_found": """
             WITH RECURSIVE tie AS (
                 SELECT phrase_a AS a, phrase_b AS b FROM graph_edges
