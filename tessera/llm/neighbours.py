@@ -3,11 +3,11 @@
 Multiprobe p-stable hashing. A table hashes a vector's projections on ``K`` Gaussian directions, cut
 into cells of one width; besides its own cell every vector visits the cells that its nearest
 neighbours most probably fell into, in the order of the expected squared distance to the crossed
-cell borders. Inside a cell a 128-bit sign sketch discards pairs that are certainly too far apart
+cell borders. Inside a cell a 192-bit sign sketch discards pairs that are certainly too far apart
 before a pair of 8-byte handles is emitted; the pairs of all tables are merged and ranked again by
 the exact cosine.
 
-Scale: what is shuffled per vector is a constant number of 32-byte rows. Copies of one direction are
+Scale: what is shuffled per vector is a constant number of 40-byte rows. Copies of one direction are
 put into one class first, so a group of copies never meets itself; only the class's smallest members
 can be anybody's nearest. Cells with more than ``hot_cell`` vectors are cut into blocks and searched
 exactly, block by block, keeping ``k`` partners per vector and block. ``K`` grows with the logarithm
@@ -33,7 +33,7 @@ PROBES = 4
 CELL = 200
 HOT_CELL = 2_048
 EDGE_RECALL = 0.9
-BITS = 128
+BITS = 192
 #: A table of at most this many rows (of a few dozen bytes) may be broadcast.
 BROADCAST_ROWS = 100_000
 _PAIRS_AT_ONCE = 2_000_000
@@ -180,8 +180,8 @@ def _hash_rows(k: dict[str, int], tables: dict[str, int], width: float, probes:
                     for at in range(0, len(keys), 100_000):
                         s = slice(at, at + 100_000)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(keys[s]), pa.array(h[whose[s]] | visit[s]), pa.array(bits[whose[s], 0]), pa.array(bits[whose[s], 1])],
-                            names=["key", "handle", "s1", "s2"],
+                            [pa.array(keys[s]), pa.array(h[whose[s]] | visit[s]), *(pa.array(bits[whose[s], i]) for i in range(3))],
+                            names=["key", "handle", "s1", "s2", "s3"],
                         )
 
     return run
@@ -194,11 +194,13 @@ def _cell_pairs(most: int) -> Callable:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        key, handle, s1, s2 = (np.concatenate([np.asarray(b.column(i)) for b in parts]) for i in range(4))
+        key, handle, s1, s2, s3 = (np.concatenate([np.asarray(b.column(i)) for b in parts]) for i in range(5))
         del parts
         visit = handle & 1
         order = np.lexsort((visit, key))
-        key, handle, s1, s2, visit = key[order], handle[order] & ~np.int64(1), s1[order], s2[order], visit[order]
+        key, handle, visit = key[order], handle[order] & ~np.int64(1), visit[order]
+        sketch = [s[order].view(np.uint64) for s in (s1, s2, s3)]
+        del s1, s2, s3
         first = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
         ends = np.r_[first[1:], len(key)]
         homes = np.add.reduceat(1 - visit, first)
@@ -216,8 +218,9 @@ def _cell_pairs(most: int) -> Callable:
             n = many[at:to]
             i = np.repeat(home[at:to], n)
             j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + i + 1
-            near = np.bitwise_count((s1[i] ^ s1[j]).view(np.uint64))
-            near = near + np.bitwise_count((s2[i] ^ s2[j]).view(np.uint64))
+            near = np.bitwise_count(sketch[0][i] ^ sketch[0][j])
+            for s in sketch[1:]:
+                near = near + np.bitwise_count(s[i] ^ s[j])
             ok = (near <= most) & (handle[i] != handle[j])
             a, b = handle[i[ok]], handle[j[ok]]
             if len(a):
@@ -338,13 +341,13 @@ def similar_vectors(
     edge = math.sqrt(max(2 - 2 * least, 1e-6))
     ts = {s: tables_for(ks[s], edge, recall, width, probes) for s in sizes}
     angle = math.acos(max(-1.0, min(1.0, least))) / math.pi
-    most = math.ceil(BITS * angle + 4 * math.sqrt(BITS * angle * (1 - angle)))
+    most = math.ceil(BITS * angle + 3.5 * math.sqrt(BITS * angle * (1 - angle)))
 
     plain = single.select("vec_set", "handle", "embedding")
     cells = plain.mapInArrow(_hash_rows(ks, ts, width, 0, seed), "key long").groupBy("key").count().filter(F.col("count") > hot_cell)
     hot = written(cells, "hot")
     n_hot = hot.count()
-    rows = plain.mapInArrow(_hash_rows(ks, ts, width, probes, seed), "key long, handle long, s1 long, s2 long")
+    rows = plain.mapInArrow(_hash_rows(ks, ts, width, probes, seed), "key long, handle long, s1 long, s2 long, s3 long")
     hot_keys = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
     cool = rows.join(hot_keys.select("key"), "key", "left_anti") if n_hot else rows
     total = sum(n * ts[s] * (1 + probes) for s, n in sizes.items())
