@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import table
-from tessera.llm import conversations, defects, groups, neighbours, packing, splitting
+from tessera.llm import conversations, defects, groups, leakage, neighbours, packing, splitting
 
 WHITE_SPACE_CLASS = r"[^\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -50,6 +50,14 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.tolerant_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -60,6 +68,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found,
         "p8_containers": p8_containers,
         "p8_fill": p8_fill,
+        "p9_found": p9_found,
+        "p9_overlaps": p9_overlaps,
     }
 
 
@@ -100,4 +110,14 @@ def oracle_sql() -> dict[str, str]:
                 UNION
                 SELECT r.a, t.b FROM reach r JOIN both_ways t ON r.b = t.a)
             SELECT a AS phrase_id, least(a, min(b)) AS group_id FROM reach GROUP BY a""",
+        "p9_found": r"""
+            WITH corpus AS (
+                SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM documents),
+            items AS (
+                SELECT item_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM eval_items),
+            corpus_runs AS (
+                SELECT doc_id, array_to_string(w[i : i + 12], ' ') AS run FROM corpus, unnest(range(1, len(w) - 11)) AS r(i)),
+            item_runs AS (
+                SELECT item_id, array_to_string(w[i : i + 12], ' ') AS run FROM items, unnest(range(1, len(w) - 11)) AS r(i))
+            SELECT DISTINCT doc_id, item_id FROM corpus_runs JOIN item_runs USING (run)""",
     }
