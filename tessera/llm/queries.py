@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import table
-from tessera.llm import conversations, defects, groups, leakage, neighbours, packing, splitting
+from tessera.llm import conversations, defects, groups, history, leakage, neighbours, packing, splitting
 
 WHITE_SPACE_CLASS = r"[^\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -16,6 +16,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defects.broken_pairs(table(spark, sf_dir, "conversation_messages"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.repeated_files(table(spark, sf_dir, "document_files"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized_pieces(table(spark, sf_dir, "chunks")).filter("piece_no = 1").select("chunk_id").distinct()
 
@@ -61,6 +65,7 @@ def p9_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p2_found": p2_found,
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
         "p5_found": p5_found,
