@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import table
-from tessera.llm import conversations, defects, groups, history, leakage, neighbours, packing, splitting
+from tessera.llm import conversations, defects, groups, history, leakage, names, neighbours, packing, splitting
 
 WHITE_SPACE_CLASS = r"[^\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -28,6 +28,18 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_chunks(table(spark, sf_dir, "chunks"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = names.same_names(table(spark, sf_dir, "graph_phrases"), "phrase_id", "phrase")
+    return pairs.select(F.col("id_a").alias("phrase_id_a"), F.col("id_b").alias("phrase_id_b"))
+
+
+def p4_fact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spellings in facts and phrases with the group of the person or organisation they name."""
+    facts = table(spark, sf_dir, "graph_facts")
+    typed = facts.select(F.col("subject").alias("name")).union(facts.select("object")).union(table(spark, sf_dir, "graph_phrases").select("phrase")).filter("name is not null").distinct()
+    return names.name_groups(typed.withColumn("id", F.col("name")), "id", "name").withColumnRenamed("id", "name")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.whole_conversations(table(spark, sf_dir, "conversation_messages"))
 
@@ -68,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found,
         "p3_found": p3_found,
         "p3_pieces": p3_pieces,
+        "p4_found": p4_found,
+        "p4_fact_names": p4_fact_names,
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p7_found": p7_found,
