@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import table
-from tessera.llm import conversations, defects, groups, history, leakage, names, neighbours, packing, splitting
+from tessera.llm import conversations, defects, groups, history, language, leakage, names, neighbours, packing, splitting
 
 WHITE_SPACE_CLASS = r"[^\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -74,6 +74,14 @@ def p9_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.tolerant_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.mislabelled(language.language_segments(table(spark, sf_dir, "documents")))
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_segments(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -89,6 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_fill": p8_fill,
         "p9_found": p9_found,
         "p9_overlaps": p9_overlaps,
+        "p10_found": p10_found,
+        "p10_segments": p10_segments,
     }
 
 
