@@ -69,34 +69,68 @@ def _positions(keys: np.ndarray, bits: int) -> list[np.ndarray]:
         return [((a + np.uint64(i) * b) % np.uint64(bits)).astype(np.int64) for i in range(PROBES)]
 
 
-def _screen(key: tuple, mine: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    """Keys of a bucket that one of the bucket's filter layers has."""
-    keys = mine.fp.to_numpy()
-    seen = np.zeros(len(keys), dtype=bool)
-    for bits in filters.bits:
-        packed = np.frombuffer(bits, dtype=np.uint8)
-        has = np.ones(len(keys), dtype=bool)
-        for at in _positions(keys, len(packed) * 8):
-            has &= (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-        seen |= has
-    return pd.DataFrame({"fp": keys[seen]})
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys that one of their bucket's filters has, or that several files of the batch share.
+
+    Rows come sorted by bucket, the bucket's filters (with ``bits``) before its keys.
+    """
+    now, filters = None, []
+    for batch in batches:
+        buckets = np.asarray(batch.column(0))
+        if not len(buckets):
+            continue
+        fps, shared, bits = np.asarray(batch.column(1).fill_null(0)), np.asarray(batch.column(2).fill_null(False)), batch.column(3)
+        is_filter = np.asarray(bits.is_valid())
+        seen = np.zeros(len(buckets), dtype=bool)
+        edges = np.r_[0, np.nonzero((buckets[1:] != buckets[:-1]) | (is_filter[1:] != is_filter[:-1]))[0] + 1, len(buckets)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if buckets[lo] != now:
+                now, filters = buckets[lo], []
+            if is_filter[lo]:
+                filters += [np.frombuffer(x, dtype=np.uint8) for x in bits.slice(lo, hi - lo).to_pylist()]
+                continue
+            for packed in filters:
+                has = np.ones(hi - lo, dtype=bool)
+                for at in _positions(fps[lo:hi], len(packed) * 8):
+                    has &= (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                seen[lo:hi] |= has
+        take = ~is_filter & (seen | shared)
+        yield pa.RecordBatch.from_arrays([pa.array(fps[take]), pa.array(seen[take]), pa.array(shared[take])], names=["fp", "seen", "shared"])
 
 
 def _filter_layer(layer: int):
-    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys = rows.fp.to_numpy()
+    """A filter for each bucket, or for each part of it; rows come sorted by bucket."""
+
+    def filter_of(bucket: int, keys: np.ndarray) -> pa.RecordBatch:
         size = max(8, math.ceil(len(keys) * BITS_PER_KEY / 8))
         packed = np.zeros(size * 8, dtype=np.uint8)
         for at in _positions(keys, size * 8):
             packed[at] = 1
-        return pd.DataFrame({"bucket": [key[0]], "layer": [layer], "bits": [np.packbits(packed, bitorder="little").tobytes()]})
+        bits = np.packbits(packed, bitorder="little").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([layer], pa.int32()), pa.array([bits], pa.binary())], names=["bucket", "layer", "bits"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            buckets, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            if not len(buckets):
+                continue
+            edges = np.r_[0, np.nonzero(buckets[1:] != buckets[:-1])[0] + 1, len(buckets)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if now is not None and buckets[lo] != now:
+                    yield filter_of(now, np.concatenate(parts))
+                    parts = []
+                now = int(buckets[lo])
+                parts.append(keys[lo:hi])
+        if now is not None:
+            yield filter_of(now, np.concatenate(parts))
 
     return build
 
 
 @F.pandas_udf(T.BooleanType())
 def _same(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([same_words(tuple(x), tuple(y)) for x, y in zip(a, b)], dtype=bool)
+    return pd.Series([x is not None and y is not None and same_words(tuple(x), tuple(y)) for x, y in zip(a, b)], dtype=bool)
 
 
 class FingerprintStore:
@@ -108,77 +142,92 @@ class FingerprintStore:
     def bucket(self, fp) -> F.Column:
         return F.pmod(fp, F.lit(self.buckets)).cast("int")
 
-    def lookup(self, wanted: DataFrame) -> DataFrame:
-        """Store rows under the fingerprints ``wanted`` (fp)."""
+    def screen(self, prints: DataFrame, small: bool) -> DataFrame:
+        """(fp, seen, shared): fingerprints of the batch that a filter has seen or that several of its files share."""
+        keys = prints.groupBy("fp").agg((F.min("file_id") < F.max("file_id")).alias("shared"))
         if not self.layers:
-            return self.spark.createDataFrame([], _STORE)
-        keys = wanted.distinct().withColumn("bucket", self.bucket(F.col("fp")))
+            return keys.filter("shared").select("fp", F.lit(False).alias("seen"), "shared")
+        keys = keys.select(self.bucket(F.col("fp")).alias("bucket"), "fp", "shared", F.lit(None).cast("binary").alias("bits"))
         filters = self.spark.read.schema(_FILTERS).parquet(f"{self.path}/filters/*")
-        positive = written(keys.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_screen, "fp long"), "positive")
-        n = positive.count()
-        positive = positive.withColumn("bucket", self.bucket(F.col("fp")))
-        store = self.spark.read.schema(_STORE).option("basePath", self.path).parquet(f"{self.path}/prints/*")
-        return store.join(F.broadcast(positive) if n <= BROADCAST_ROWS else positive, ["bucket", "fp"])
-
-    def add(self, accepted: DataFrame) -> None:
-        prints = written(_prints(accepted).withColumn("bucket", self.bucket(F.col("fp"))), "prints")
-        size = max(1, min(self.buckets, math.ceil(prints.count() / 50_000)))
-        prints.repartition(size, "bucket").sortWithinPartitions("bucket", "fp").write.option("parquet.bloom.filter.enabled#fp", "true").parquet(f"{self.path}/prints/{self.layers:06d}")
-        prints.select("bucket", "fp").distinct().groupBy("bucket").applyInPandas(_filter_layer(self.layers), _FILTERS).coalesce(size).write.parquet(f"{self.path}/filters/{self.layers:06d}")
+        both = keys.unionByName(filters.select("bucket", "bits"), allowMissingColumns=True)
+        both = both.coalesce(1) if small else both.repartition("bucket")
+        return both.sortWithinPartitions("bucket", F.col("bits").isNull()).mapInArrow(_screen, "fp long, seen boolean, shared boolean")
+
+    def rows(self, wanted: DataFrame, small: bool) -> DataFrame:
+        """(fp, a, kind, a_words, a_size) of the store under the fingerprints ``wanted`` (fp)."""
+        store = self.spark.read.schema(_STORE).parquet(f"{self.path}/prints/*")
+        keys = wanted.select("fp", self.bucket(F.col("fp")).alias("bucket"))
+        found = store.join(F.broadcast(keys) if small else keys, ["bucket", "fp"])
+        return found.select("fp", F.col("file_id").alias("a"), "kind", F.col("words").alias("a_words"), F.col("size").alias("a_size"))
+
+    def add(self, accepted: DataFrame, rows: int, small: bool) -> None:
+        size = max(1, min(self.buckets, math.ceil(rows / 50_000)))
+        prints = _prints(accepted).select("fp", "kind", "file_id", "words", "size").withColumn("bucket", self.bucket(F.col("fp")))
+        prints = (prints if small else prints.repartition(size, "bucket")).sortWithinPartitions("bucket", "fp")
+        layer = f"{self.layers:06d}"
+        prints.write.option("parquet.bloom.filter.enabled#fp", "true").parquet(f"{self.path}/prints/{layer}")
+        written_prints = self.spark.read.schema(_STORE).parquet(f"{self.path}/prints/{layer}").select("bucket", "fp")
+        written_prints.mapInArrow(_filter_layer(self.layers), _FILTERS).write.parquet(f"{self.path}/filters/{layer}")
         self.layers += 1
 
 
 def _prints(files: DataFrame) -> DataFrame:
-    """(fp, kind, file_id, words, size) of each key and winnowed fingerprint."""
-    none = F.lit(None).cast("array<string>")
-    hashes = files.filter("hash_key is not null").select(F.col("hash_key").alias("fp"), F.lit(HASH).alias("kind"), "file_id", none.alias("words"), F.lit(0).alias("size"))
-    names = files.filter("name_key is not null").select(F.col("name_key").alias("fp"), F.lit(NAME).alias("kind"), "file_id", none.alias("words"), F.lit(0).alias("size"))
-    parts = files.select(F.explode("prints").alias("fp"), F.lit(WINNOWED).alias("kind"), "file_id", "words", F.size("prints").alias("size"))
-    return hashes.unionByName(names).unionByName(parts)
+    """(fp, kind, file_id, hash_key, name_key, words, size) of each key and winnowed fingerprint."""
+    keys = F.array(F.struct(F.col("hash_key").alias("fp"), F.lit(HASH).alias("kind")), F.struct(F.col("name_key").alias("fp"), F.lit(NAME).alias("kind")))
+    parts = F.transform("prints", lambda x: F.struct(x.alias("fp"), F.lit(WINNOWED).alias("kind")))
+    each = files.select("file_id", "hash_key", "name_key", "words", F.size("prints").alias("size"), F.explode(F.concat(keys, parts)).alias("p"))
+    words = F.when(F.col("p.kind") == WINNOWED, F.col("words")).alias("words")
+    return each.select("p.fp", "p.kind", "file_id", "hash_key", "name_key", words, "size").filter("fp is not null")
 
 
-def _alike(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """(name_key, ``key``) of names that share enough winnowed fingerprints and read the same apart from slips.
+class _Packing:
+    """Keeps a small batch in one partition, so that its many steps need no exchange; a large one stays spread.
 
-    ``left``: fp, name_key, words, size; ``right``: fp, ``key``, words, size.
+    Semi and anti joins are written as outer joins, as the optimiser would move them below the packing.
     """
-    r = right.select(F.col("fp"), F.col(key), F.col("words").alias("other_words"), F.col("size").alias("other_size"))
-    shared = left.join(r, "fp")
-    if key == "other_key":
-        shared = shared.filter("name_key < other_key")
-    shared = shared.groupBy("name_key", key).agg(F.count("*").alias("shared"), F.first("words").alias("words"), F.first("other_words").alias("other_words"), F.first("size").alias("size"), F.first("other_size").alias("other_size"))
-    return shared.filter(F.col("shared") >= COVERAGE * F.least("size", "other_size")).filter(_same("words", "other_words")).select("name_key", key)
-
-
-def _decide(new: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, cases) among files that repeat nothing in the store; see the module's text."""
-    spark = new.sparkSession
-    left = names.select(F.explode("prints").alias("fp"), "name_key", "words", F.size("prints").alias("size"))
-    near = _alike(left, left.withColumnRenamed("name_key", "other_key"), "other_key")
-    near = written(near.unionByName(near.select(F.col("other_key").alias("name_key"), F.col("name_key").alias("other_key"))), "near")
-    undecided, accepted, cases = new, [], []
+
+    def __init__(self, small: bool):
+        self.small = small
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return df.coalesce(1) if self.small else df
+
+    def join(self, left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+        return self(self(left).join(self(right).hint("merge"), on, how))
+
+    def minus(self, left: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+        gone = self(ids).select(on).distinct().withColumn("_gone", F.lit(True))
+        return self(self.join(left, gone, on, "left").filter("_gone is null").drop("_gone"))
+
+
+def _near_names(rows: DataFrame, pack: _Packing) -> DataFrame:
+    """(name_key, near): for names in ``rows`` (fp, name_key, words, size) those that read the same apart from slips."""
+    mine = pack(pack(rows).groupBy("fp", "name_key").agg(F.first("words").alias("words"), F.first("size").alias("size")))
+    other = mine.select("fp", F.col("name_key").alias("other_key"), F.col("words").alias("other_words"), F.col("size").alias("other_size"))
+    shared = pack.join(mine, other, "fp").filter("name_key < other_key").groupBy("name_key", "other_key")
+    shared = pack(shared.agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("words", "other_words", "size", "other_size"))))
+    near = shared.filter(F.col("shared") >= COVERAGE * F.least("size", "other_size")).filter(_same("words", "other_words"))
+    both = F.array(F.struct("name_key", "other_key"), F.struct(F.col("other_key").alias("name_key"), F.col("name_key").alias("other_key")))
+    return pack(near.select(F.explode(both).alias("p")).select("p.name_key", "p.other_key")).groupBy("name_key").agg(F.collect_set("other_key").alias("near"))
+
+
+def _decide(suspects: DataFrame, pack: _Packing) -> list[DataFrame]:
+    """Cases (file_id, a) among a batch's suspects (file_id, hash_key, name_key, near); see the module's text."""
+    cases: list[DataFrame] = []
+    undecided = pack(suspects)
     while True:
-        own = undecided.select("file_id", F.explode(F.array("hash_key", "name_key")).alias("key")).filter("key is not null")
+        own = pack(undecided.select("file_id", F.explode(F.array("hash_key", "name_key")).alias("key")).filter("key is not null"))
+        asks = pack(own.unionByName(undecided.select("file_id", F.explode("near").alias("key"))))
         first = own.groupBy("key").agg(F.min("file_id").alias("first"))
-        asked = own.unionByName(undecided.join(near, "name_key").select("file_id", F.col("other_key").alias("key")))
-        blocked = asked.join(first, "key").filter("first < file_id").select("file_id").distinct()
-        state = written(undecided.join(blocked.withColumn("blocked", F.lit(True)), "file_id", "left"), "state")
-        free = state.filter("blocked is null").drop("blocked")
-        accepted.append(free)
-        waiting = state.filter("blocked").drop("blocked")
-        if waiting.isEmpty():
-            break
-        held = free.select(F.col("file_id").alias("a"), F.explode(F.array("hash_key", "name_key")).alias("key")).filter("key is not null")
-        asks = waiting.select("file_id", F.explode(F.array("hash_key", "name_key")).alias("key")).filter("key is not null")
-        asks = asks.unionByName(waiting.join(near, "name_key").select("file_id", F.col("other_key").alias("key")))
-        case = written(asks.join(held, "key").filter("a < file_id").groupBy("file_id").agg(F.min("a").alias("a")), "cases")
-        cases.append(case)
-        undecided = waiting.join(case, "file_id", "left_anti")
-        undecided = written(undecided, "undecided")
+        blocked = pack.join(asks, first, "key").filter("first < file_id").select("file_id").distinct().withColumn("blocked", F.lit(True))
+        held = pack.minus(own, blocked, "file_id").select(F.col("file_id").alias("a"), "key")
+        case = pack.join(asks, held, "key").filter("a < file_id").groupBy("file_id").agg(F.min("a").alias("a"))
+        state = pack.join(pack.join(undecided, blocked, "file_id").drop("blocked"), case, "file_id", "left")
+        state = written(state, "state")
+        cases.append(state.filter("a is not null").select("file_id", "a"))
+        undecided = pack(state.filter("a is null").drop("a"))
         if undecided.isEmpty():
-            break
-    none = spark.createDataFrame([], "file_id long, a long")
-    return reduce(DataFrame.unionByName, accepted), reduce(DataFrame.unionByName, cases, none)
+            return cases
 
 
 def repeated_files(files: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -198,19 +247,27 @@ def repeated_files(files: DataFrame, buckets: int | None = None) -> DataFrame:
     store = FingerprintStore(spark, new_folder(spark, "store"), buckets or max(16, math.ceil(sum(sizes.values()) * 12 / 1_000_000)))
     found = []
     for number in sorted(sizes):
-        batch = prepared.filter(F.col("batch") == number).drop("batch")
-        names = written(batch.filter("name_key is not null").groupBy("name_key").agg(F.first("words").alias("words"), F.first("prints").alias("prints")), "names")
-        keys = batch.select(F.explode(F.array("hash_key", "name_key")).alias("fp")).filter("fp is not null")
-        hits = written(store.lookup(keys.unionByName(names.select(F.explode("prints").alias("fp")))).select("fp", "kind", "file_id", "words", "size"), "hits")
-        same_hash = batch.select("file_id", F.col("hash_key").alias("fp")).join(hits.filter(F.col("kind") == HASH).select("fp", F.col("file_id").alias("a")), "fp").select("file_id", "a")
-        same_name = batch.select("file_id", F.col("name_key").alias("fp")).join(hits.filter(F.col("kind") == NAME).select("fp", F.col("file_id").alias("a")), "fp").select("file_id", "a")
-        asked = names.select(F.explode("prints").alias("fp"), "name_key", "words", F.size("prints").alias("size"))
-        near = _alike(asked, hits.filter(F.col("kind") == WINNOWED).withColumnRenamed("file_id", "a"), "a")
-        spelled = batch.select("file_id", "name_key").join(near, "name_key").select("file_id", "a")
-        old = written(same_hash.unionByName(same_name).unionByName(spelled).groupBy("file_id").agg(F.min("a").alias("a")), "old")
-        new = batch.join(old, "file_id", "left_anti")
-        accepted, cases = _decide(new, names.join(new.select("name_key").distinct(), "name_key", "left_semi"))
-        store.add(accepted)
-        found += [old, cases]
+        small = sizes[number] <= BROADCAST_ROWS // 4
+        pack = _Packing(small)
+        batch = pack(prepared.filter(F.col("batch") == number).drop("batch"))
+        prints = _prints(batch)
+        rows = pack(written(pack.join(prints, store.screen(prints, small), "fp"), "rows"))
+        cases: list[DataFrame] = []
+        suspects = rows.filter("shared")
+        if store.layers:
+            # (file, accepted file) pairs under a common key, or under enough common fingerprints
+            past = store.rows(rows.filter("seen").select("fp").distinct(), small)
+            hits = pack.join(rows.filter("seen"), past, ["fp", "kind"]).groupBy("file_id", "a")
+            hits = hits.agg(F.min("kind").alias("kind"), F.count("*").alias("n"), F.max("words").alias("words"), F.max("a_words").alias("a_words"), F.max("size").alias("size"), F.max("a_size").alias("a_size"))
+            alike = (F.col("kind") < WINNOWED) | ((F.col("n") >= COVERAGE * F.least("size", "a_size")) & _same("words", "a_words"))
+            old = pack(written(pack(hits.filter(alike)).groupBy("file_id").agg(F.min("a").alias("a")), "old"))
+            cases.append(old)
+            suspects = pack.minus(suspects, old, "file_id")
+        near = _near_names(suspects.filter(F.col("kind") == WINNOWED), pack)
+        suspects = pack.join(pack(suspects.select("file_id", "hash_key", "name_key")).distinct(), near, "name_key", "left")
+        cases += _decide(written(suspects, "suspects"), pack)
+        gone = reduce(DataFrame.unionByName, cases)
+        found.append(gone)
+        store.add(pack.minus(batch, gone, "file_id"), 12 * sizes[number], small)
     pairs = reduce(DataFrame.unionByName, found, spark.createDataFrame([], "file_id long, a long"))
     return pairs.select(F.col("a").alias("file_id_a"), F.col("file_id").alias("file_id_b"))
