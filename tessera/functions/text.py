@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, functions as F
 
 #: White space and everything a word cannot hold, as one class each; the same in Java and in RE2.
@@ -10,10 +9,13 @@ SPACES = r"[ \t\n\r\x{b}\x{c}\x{85}\x{a0}\x{2003}]+"
 FORMATS = ("pdf", "docx", "pptx", "xlsx", "txt", "md")
 
 
-def stop_words(spark) -> list[str]:
-    """The public English stop list that ships with Spark, with what remains of a contraction."""
-    listed = StopWordsRemover.loadDefaultStopWords("english")
-    return sorted({p for w in listed for p in w.replace("'", " ").split()})
+# English words that say nothing about a passage.
+STOP_WORDS = (
+    "a about above after again against all am an and any are as at be because been before being below between both but by can could d did do does doing don down during each few for from "
+    "further had has have having he her here hers herself him himself his how i if in into is it its itself just ll m me more most my myself no nor not now o of off on once only or other "
+    "our ours ourselves out over own re s same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up ve very "
+    "was we were what when where which while who whom why will with would you your yours yourself yourselves"
+).split()
 
 
 def column(c: Column | str) -> Column:

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.functions.text import normalise_text, stop_words, terms
+from tessera.functions.text import STOP_WORDS, normalise_text, terms
 from tessera.functions.vectors import nearest_rows
 
 # Constants of the ranking.
@@ -35,8 +35,7 @@ def vector_ranks(queries: DataFrame, chunks: DataFrame, pool: int) -> DataFrame:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """``(query_id, term)``: the distinct words of each question, stop words left out."""
-    stops = stop_words(queries.sparkSession)
-    return queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term")).filter(~F.col("term").isin(stops))
+    return queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term")).filter(~F.col("term").isin(STOP_WORDS))
 
 
 def text_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:

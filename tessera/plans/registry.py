@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import catalog, charts, citations, conversations, graph, mutation, packing, retrieval
-from tessera.plans.oracle import SQL
+from tessera.plans.oracle import statements
 from tessera.session import table
 from tessera.sources.archives import assemble_calls
 from tessera.sources.extract import chunk_text
@@ -41,10 +41,17 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "graph_facts")
 
 
+def id_number(c: str) -> F.Column:
+    """The number that the first digits of a hexadecimal id write."""
+    return F.conv(F.substring(c, 1, 12), 16, 10).cast("long")
+
+
 def fact_links(spark: SparkSession, d: str) -> DataFrame:
-    """``(fact_id, chunk_id)``: a fact is stated by the chunks whose numbers, counted in order of id, agree with its own."""
-    f = facts(spark, d).select("fact_id", F.pmod(F.crc32("fact_id"), F.lit(997)).alias("k"))
-    c = chunks(spark, d).select("chunk_id", F.pmod(F.crc32("chunk_id"), F.lit(997)).alias("k"))
+    """``(fact_id, chunk_id)``: the tables hold no links; a fact is taken to be stated where its id falls among as many places as there are chunks."""
+    size = chunks(spark, d).agg(F.count("*").alias("size"))  # one row
+    place = lambda c: F.pmod(id_number(c), F.col("size")).alias("k")
+    f = facts(spark, d).crossJoin(size).select("fact_id", place("fact_id"))
+    c = chunks(spark, d).crossJoin(size).select("chunk_id", place("chunk_id"))
     return f.join(c, "k").select("fact_id", "chunk_id").distinct()
 
 
@@ -189,7 +196,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "passage_text": lambda s, d: c(s, d).select("chunk_id", tx.passage_text("filename", "page_number", "source_type", "content").alias("passage")),
         "token_estimate": lambda s, d: docs(s, d).select("doc_id", tx.token_estimate("text").alias("tokens")),
         "number_extraction": lambda s, d: _answers(s, d).select("message_id", F.size(tx.numbers("content")).alias("figures")).filter("figures > 0"),
-        "cited_sources": lambda s, d: citations.cited(_answers(s, d), "message_id", "content", 4).filter("size(cited) + size(dangling) > 0"),
+        "cited_sources": lambda s, d: citations.cited(_answers(s, d), "message_id", "content", 4).filter("size(cited) + size(dangling) > 0").select("message_id", F.array_join("cited", ",").alias("cited"), F.array_join("dangling", ",").alias("dangling")),
         "citation_segments": lambda s, d: citations.segments(_answers(s, d), "message_id", "content"),
         "chart_filter": lambda s, d: charts.filter_answers(_answers(s, d), "message_id", "content"),
         "chart_proposals": lambda s, d: charts.wants_chart(_answers(s, d), "message_id", "content"),
@@ -201,7 +208,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "orphan_phrases": lambda s, d: graph.orphan_phrases(phrases(s, d), facts(s, d)),
         "usable_phrases": lambda s, d: catalog.usable_phrases(phrases(s, d)).select("phrase_id"),
         "graph_totals": lambda s, d: graph.graph_totals(phrases(s, d), facts(s, d), _synonyms(s, d)),
-        "synonym_edges": lambda s, d: graph.synonym_edges(phrases(s, d).filter(F.pmod(F.crc32("phrase_id"), F.lit(50)) == 0), phrases(s, d)),
+        "synonym_edges": lambda s, d: graph.synonym_edges(phrases(s, d).filter(id_number("phrase_id") % 50 == 0), phrases(s, d)),
         "closest_facts": lambda s, d: graph.closest_facts(q(s, d), facts(s, d).join(phrases(s, d).select(F.col("phrase_id").alias("subject_id"), "embedding"), "subject_id")).select("query_id", "fact_id", F.round("similarity", 6).alias("similarity"), "rank"),
         "personalised_pagerank": _pagerank,
         "graph_search": _graph_search,
@@ -222,4 +229,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return statements()

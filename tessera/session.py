@@ -29,10 +29,21 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    guard(spark)
     return spark
 
 
+def guard(spark: SparkSession) -> None:
+    """Settings that results depend on.
+
+    Spark 4.1 takes a union of equally partitioned tables to be partitioned like them; where adaptive
+    execution has coalesced the sides differently, an aggregate above it then returns a key twice.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    guard(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -84,10 +95,12 @@ def remove(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, label: str = "cut") -> DataFrame:
     """Cut the lineage with a table in the shared folder; a lost executor costs no recomputation of it."""
     spark = df.sparkSession
+    guard(spark)
     path = new_folder(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def parallelism(spark: SparkSession) -> int:
+    guard(spark)
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
