@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.text import STOP_WORDS, normalise_text, terms
-from tessera.functions.vectors import nearest_rows
+from tessera.functions.vectors import cosine, nearest_rows
+from tessera.session import written
 
 # Constants of the ranking.
 RRF_K = 60
@@ -145,9 +146,8 @@ def document_ranks(queries: DataFrame, chunks: DataFrame, summaries: DataFrame,
 def search_within(queries: DataFrame, chunks: DataFrame, picked: DataFrame, limit: int) -> DataFrame:
     """``(query_id, filename, chunk_id, score, rank)``: hybrid candidates of each picked file (query_id, filename), both lists
     ranked within the file, the best ``4 * limit`` kept."""
-    from tessera.functions.vectors import cosine
-
     pool = 4 * limit
+    picked = written(picked.select("query_id", "filename"), "picked")
     n = picked.count()
     mine = chunks.select("chunk_id", "filename", "content", "embedding").join(F.broadcast(picked.select("query_id", "filename")) if n <= BROADCAST_ROWS else picked.select("query_id", "filename"), "filename")
     vec = queries.select("query_id", "vec")
@@ -164,7 +164,7 @@ def search_within(queries: DataFrame, chunks: DataFrame, picked: DataFrame, limi
 
 def routed_search(queries: DataFrame, chunks: DataFrame, summaries: DataFrame, limit: int, top: int = TOP_DOCUMENTS, per_document: int = PER_DOCUMENT, diversify: bool = True) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: the best documents first, then the best chunks of each, in the documents' order."""
-    documents = document_ranks(queries, chunks, summaries, top)
+    documents = written(document_ranks(queries, chunks, summaries, top), "documents")  # used three times; a few rows a query
     inside = search_within(queries, chunks, documents, per_document)
     if diversify:
         inside = mmr(inside, chunks, per_document, ["query_id", "filename"]).withColumnRenamed("mmr_rank", "rank")

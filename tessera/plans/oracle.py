@@ -64,11 +64,11 @@ def _documents() -> str:
 
 def _within() -> str:
     return f"""{_documents()},
-    wv AS (SELECT query_id, filename, chunk_id, row_number() OVER (PARTITION BY query_id, filename ORDER BY similarity DESC, chunk_id) AS rank
-           FROM sims JOIN top USING (query_id, filename) QUALIFY rank <= 24),
-    wt AS (SELECT query_id, filename, chunk_id, row_number() OVER (PARTITION BY query_id, filename ORDER BY matches.score DESC, chunk_id) AS rank
-           FROM matches JOIN chunks USING (chunk_id) JOIN top USING (query_id, filename) QUALIFY rank <= 24),
-    wboth AS (SELECT query_id, filename, chunk_id, round(coalesce(1 / (CAST(60 AS DOUBLE) + wv.rank), 0) + coalesce(1 / (CAST(60 AS DOUBLE) + wt.rank), 0), 9) AS score
+    wv AS (SELECT query_id, filename, chunk_id, row_number() OVER (PARTITION BY query_id, filename ORDER BY similarity DESC, chunk_id) AS r
+           FROM sims JOIN top USING (query_id, filename) QUALIFY r <= 24),
+    wt AS (SELECT query_id, filename, chunk_id, row_number() OVER (PARTITION BY query_id, filename ORDER BY matches.score DESC, chunk_id) AS r
+           FROM matches JOIN chunks USING (chunk_id) JOIN top USING (query_id, filename) QUALIFY r <= 24),
+    wboth AS (SELECT query_id, filename, chunk_id, round(coalesce(1 / (CAST(60 AS DOUBLE) + wv.r), 0) + coalesce(1 / (CAST(60 AS DOUBLE) + wt.r), 0), 9) AS score
               FROM wv FULL JOIN wt USING (query_id, filename, chunk_id))"""
 
 
