@@ -90,6 +90,7 @@ class ChartFilter:
 
     pending: str = ""
     block: str | None = None
+    begun: bool = False
     charts: int = 0
     dropped: int = 0
     specs: list[dict] = field(default_factory=list)
@@ -101,21 +102,21 @@ class ChartFilter:
             line, self.pending = self.pending.split("\n", 1)
             out.append(self._line(line, "\n"))
         # what cannot become a fence may go out before its line ends
-        if self.block is None and self.pending and not "```chart".startswith(self.pending.strip()[:8]) and not self.pending.lstrip().startswith("```") and self.pending.strip():
+        head = self.pending.lstrip(" \t")
+        if self.block is None and (self.begun or (head and not "```chart".startswith(head) and not head.startswith("```chart"))) and self.pending:
             out.append(self.pending)
-            self.pending = "\x00"
+            self.pending, self.begun = "", True
         return "".join(out)
 
     def _line(self, line: str, end: str) -> str:
-        started = line.startswith("\x00")
-        line = line.removeprefix("\x00")
+        begun, self.begun = self.begun, False
         if self.block is not None:
             if line.strip() == _FENCE:
                 body, self.block = self.block, None
                 return self._chart(body, end)
             self.block += line + "\n"
             return ""
-        if not started and _OPEN.match(line):
+        if not begun and _OPEN.match(line):
             self.block = ""
             return ""
         return line + end
@@ -131,14 +132,14 @@ class ChartFilter:
 
     def finish(self) -> str:
         last, self.pending = self.pending, ""
-        out = self._line(last, "") if last and last != "\x00" else ""
+        out = self._line(last, "") if last else ""
         if self.block is not None:
             self.block = None
             self.dropped += 1
         return out
 
-    def state(self) -> tuple[str, str | None, int, int]:
-        return self.pending, self.block, self.charts, self.dropped
+    def state(self) -> tuple[str, str | None, bool, int, int]:
+        return self.pending, self.block, self.begun, self.charts, self.dropped
 
 
 def filter_answer(answer: str) -> tuple[str, int, int]:

@@ -11,17 +11,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tessera.operators.charts import ChartFilter
 from tessera.operators.mutation import SnapshotStore, replace_documents
 
-_STATE = "pending string, block string, charts int, dropped int"
+_STATE = "pending string, block string, begun boolean, charts int, dropped int"
 _OUT = "turn_id string, seq long, text string, charts int, dropped int, ended boolean"
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     f = ChartFilter()
     if state.exists:
-        f.pending, f.block, f.charts, f.dropped = state.get
+        f.pending, f.block, f.begun, f.charts, f.dropped = state.get
     rows = pd.concat(list(batches)).sort_values("seq")
     out, ended = [], False
-    for seq, token, last in zip(rows.seq, rows.token, rows.last):
+    for seq, token, last in zip(rows["seq"], rows["token"], rows["last"]):
         text = f.feed(token if isinstance(token, str) else "")
         if bool(last):
             text, ended = text + f.finish(), True
