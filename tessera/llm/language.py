@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 LANGUAGES = ("en", "fr", "de", "es", "pt", "it", "nl", "am")
 #: Labelled rows of each language that are used for training, and characters of each; the only sample taken.
 ROWS_PER_LANGUAGE = 250
-CHARS_PER_ROW = 4_000
+CHARS_PER_ROW = 1_500
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 MIN_WORDS = 12
@@ -47,7 +47,7 @@ SEED_WORDS = {
 }
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_UNIT = re.compile(r"[\n\r\x0b\x0c\x85  ]+|(?<=[.!?;:።፤…])[\"'»”’)\]]*\s+|(?<=[።፤])")
+_UNIT = re.compile("[\n\r\x0b\x0c\x85\u2028\u2029]+|[.!?;:\u2026][\"'\u00bb\u201d\u2019)\\]]*\\s+|[\u1362\u1364]\\s*")
 _FENCE = re.compile(r"(?s)```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)")
 _TABLE = re.compile(r"(?m)^[ \t]*\|.*$")
 _BRACKET = re.compile(r"\([^()\n]{0,60}\d[^()\n]{0,20}\)")
@@ -76,7 +76,7 @@ def blank(text: str) -> str:
         text = _BRACKET.sub(spaces, text)
     if "<" in text or "@" in text or "[" in text or "://" in text:
         text = _TAG.sub(spaces, text)
-    if ".," in text or ". " in text or text.endswith("."):
+    if "., " in text or ".; " in text:
         text = _INITIALS.sub(spaces, text)
     return text
 
@@ -198,8 +198,8 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int
 def train(rows: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES, epochs: int = 2, rounds: int = 2, folds: int = 3, seed: int = 7) -> LanguageModel:
     """Fit on (label, text) rows; wrong labels are dropped where a first fit contradicts them."""
     rng = np.random.default_rng(seed)
-    texts, labels, held, fold = [], [], [], []
-    for label, text in rows:
+    texts, labels, held, fold, source = [], [], [], [], []
+    for number, (label, text) in enumerate(rows):
         test, part = rng.random() < 0.2, int(rng.integers(folds))
         clean = blank(text[:CHARS_PER_ROW])
         for a, b in units_of(clean):
@@ -208,13 +208,15 @@ def train(rows: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES, e
                 labels.append(languages.index(label))
                 held.append(test)
                 fold.append(part)
+                source.append(number)
     for i, lang in enumerate(languages):
         for _ in range(3):
             texts.append(SEED_WORDS[lang])
             labels.append(i)
             held.append(False)
             fold.append(-1)
-    label, held, fold = np.asarray(labels), np.asarray(held), np.asarray(fold)
+            source.append(len(rows) + i)
+    label, held, fold, source = np.asarray(labels), np.asarray(held), np.asarray(fold), np.asarray(source)
     example, bucket, value, n = _features(texts)
     df = np.bincount(bucket, minlength=BUCKETS)
     idf = np.log((1 + n) / (1 + df)) + 1
@@ -236,14 +238,14 @@ def train(rows: list[tuple[str, str]], languages: tuple[str, ...] = LANGUAGES, e
         w = model.weights()
         return np.stack([np.bincount(example, weights=w[bucket, c] * value, minlength=n) for c in range(len(languages))], 1) + model.bias
 
-    # a wrong label, and a stretch in another language, contradict what the other folds teach
+    # a row whose label the other folds contradict is dropped, and so are its stretches in another language
     agree = np.ones(n, dtype=bool)
     for _ in range(rounds):
-        votes = np.full(n, -1)
+        votes = np.zeros((n, len(languages)))
         for part in range(folds):
-            scores = logits(fit(np.nonzero((fold != part) & agree)[0], 1))
-            votes[fold == part] = scores.argmax(1)[fold == part]
-        agree = (votes == label) | (fold < 0)
+            votes[fold == part] = np.log(softmax(logits(fit(np.nonzero((fold != part) & agree)[0], 1))) + 1e-6)[fold == part]
+        whole = np.stack([np.bincount(source, weights=votes[:, c]) for c in range(len(languages))], 1).argmax(1)
+        agree = ((whole[source] == label) & (votes.argmax(1) == label)) | (fold < 0)
     model = fit(np.nonzero(~held & agree)[0], epochs)
     scores = logits(model)
     test = held & agree if (held & agree).any() else agree
@@ -351,10 +353,10 @@ def _segment(model_of) -> Callable:
 
 def _segment_batch(model: LanguageModel, table: np.ndarray, index: np.ndarray, counts: np.ndarray, spans: list, ids: list, labels: list) -> pa.RecordBatch:
     k = len(model.languages)
-    running = np.zeros((len(index) + 1, k + 1))
-    np.cumsum(table[index], axis=0, dtype=np.float64, out=running[1:])
-    ends = np.cumsum(counts)
-    sums = running[ends] - running[ends - counts]
+    sums = np.zeros((len(counts), k + 1))
+    some = counts > 0
+    if some.any():
+        sums[some] = np.add.reduceat(table[index], (np.cumsum(counts) - counts)[some], axis=0)
     logs = model.log_probabilities(sums)
     best = logs.argmax(1)
     rows: tuple[list, ...] = tuple([] for _ in range(9))
