@@ -7,10 +7,12 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -40,6 +42,26 @@ def guard(spark: SparkSession) -> None:
     execution has coalesced the sides differently, an aggregate above it then returns a key twice.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    _ship(spark)
+
+
+def _ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers once a session, wherever they start."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tessera-code-")  # the driver serves the archive from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, f"{os.path.basename(here)}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for at, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    context.addPyFile(archive)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
