@@ -12,6 +12,9 @@ put into one class first, so a group of copies never meets itself; only the clas
 can be anybody's nearest. Cells with more than ``hot_cell`` vectors are cut into blocks and searched
 exactly, block by block, keeping ``k`` partners per vector and block. ``K`` grows with the logarithm
 of the row count, and the number of tables follows from the recall wanted at the least similarity.
+
+Hashing finds only what is near. Where every vector must get its ``k`` nearest, however far they are,
+:func:`nearest_vectors` compares all of them, tile by tile: exact, in time quadratic in the rows.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ EDGE_RECALL = 0.9
 BITS = 192
 #: A table of at most this many rows (of a few dozen bytes) may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Vectors of one side of a tile of the exact search.
+TILE = 65_536
 _PAIRS_AT_ONCE = 2_000_000
 
 
@@ -310,7 +315,7 @@ def similar_vectors(
 
     ``vectors`` has ``vec_set`` string, ``id`` string (unique in its set) and ``embedding``. The similarity is the
     cosine, rounded to 6 places; of equals the smaller id comes first. Pairs less similar than ``least`` do not
-    come out; a pair exactly that similar is met with the probability ``recall``, nearer ones with a
+    come out, so many vectors have fewer than ``k`` (see :func:`nearest_vectors`); a pair exactly that similar is met with the probability ``recall``, nearer ones with a
     higher one. Null, empty and zero vectors and those with a null, NaN or infinite element take no part;
     vectors of different lengths are never compared. An empty table gives no rows.
     """
@@ -402,6 +407,112 @@ def similar_vectors(
     return directed.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("vec_set", F.col("id_a").alias("id"), F.col("id_b").alias("other_id"), "similarity", "rank")
 
 
+def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, id, length, vector) of each usable vector."""
+    for batch in batches:
+        for rows, m in _by_length(batch, 2):
+            vec_set, id_, vector = (batch.column(i).take(pa.array(rows)) for i in range(3))
+            yield pa.RecordBatch.from_arrays([vec_set, id_, pa.array(np.full(len(rows), m.shape[1], dtype=np.int32)), vector], names=["vec_set", "id", "dim", "embedding"])
+
+
+def _nearest_in(q: np.ndarray, base: np.ndarray, own: np.ndarray, k: int, step: int = 2_048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``q``, row of ``base``, similarity) of the ``k`` nearest of each row; of equals the earlier row of ``base``.
+
+    Both hold unit vectors; ``own`` is the row of ``base`` that a row of ``q`` must not meet, or -1. Single precision
+    only discards what lies further below the k-th than its error bound; all others are compared in double precision.
+    """
+    margin = 3e-6 + 2 * (q.shape[1] + 4) * 6e-8
+    q32, b32 = q.astype(np.float32), base.astype(np.float32)
+    rows, cols, sims = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    floor = np.full(len(q), -np.inf)
+    for lo in range(0, len(base), step):
+        rough = q32 @ b32[lo : lo + step].T
+        if rough.shape[1] > k + 1:
+            unfilled = np.nonzero(np.isneginf(floor))[0]
+            if len(unfilled):
+                floor[unfilled] = np.partition(rough[unfilled], -(k + 1), axis=1)[:, -(k + 1)] - margin
+        r, c = np.divmod(np.flatnonzero(rough >= floor.astype(np.float32)[:, None]), rough.shape[1])
+        c += lo
+        other = c != own[r]
+        r, c = r[other], c[other]
+        exact = [np.einsum("ij,ij->i", q[r[at : at + 50_000]], base[c[at : at + 50_000]]) for at in range(0, len(r), 50_000)]
+        rows, cols, sims = np.concatenate([rows, r]), np.concatenate([cols, c]), np.round(np.concatenate([sims, *exact]), 6)
+        order = np.lexsort((cols, -sims, rows))
+        rows, cols, sims = rows[order], cols[order], sims[order]
+        first = np.searchsorted(rows, np.arange(len(q)))
+        keep = np.arange(len(rows)) - first[rows] < k
+        rows, cols, sims = rows[keep], cols[keep], sims[keep]
+        many = np.bincount(rows, minlength=len(q))
+        full = np.nonzero(many >= k)[0]
+        floor[full] = sims[np.cumsum(many)[full] - 1] - margin
+    return rows, cols, sims
+
+
+def _tile_search(k: int) -> Callable:
+    """The ``k`` nearest of each asking row within one tile; rows come sorted by key, block and role, those asked first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors, base, place = None, [], [], None, {}
+        for batch in batches:
+            key, block, role = (np.asarray(batch.column(i)) for i in range(3))
+            edges = np.nonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (role[1:] != role[:-1])])[0]
+            for lo, hi in zip(edges, [*edges[1:], batch.num_rows]):
+                part = batch.slice(lo, hi - lo)
+                if (key[lo], block[lo]) != now:
+                    now, ids, vectors, base = (key[lo], block[lo]), [], [], None
+                m = np.asarray(part.column(5).flatten().cast(pa.float64())).reshape(part.num_rows, -1)
+                m = m / np.sqrt((m * m).sum(1))[:, None]
+                names = part.column(4).to_pylist()
+                if role[lo] == 0:
+                    ids += names
+                    vectors.append(m)
+                    continue
+                if not ids:
+                    continue
+                if base is None:
+                    order = sorted(range(len(ids)), key=ids.__getitem__)
+                    ids, base = [ids[i] for i in order], np.concatenate(vectors)[order]
+                    vectors, place = [], {x: i for i, x in enumerate(ids)}
+                own = np.array([place.get(x, -1) for x in names], dtype=np.int64)
+                partner = pa.array(ids, pa.string())
+                for at in range(0, len(names), 2_048):
+                    r, c, sims = _nearest_in(m[at : at + 2_048], base, own[at : at + 2_048], k)
+                    asked = part.slice(at).take(pa.array(r))
+                    yield pa.RecordBatch.from_arrays([asked.column(3), asked.column(4), partner.take(pa.array(c)), pa.array(sims)], names=["vec_set", "id", "other_id", "similarity"])
+
+    return run
+
+
+def nearest_vectors(vectors: DataFrame, k: int = 5, tile: int = TILE) -> DataFrame:
+    """``(vec_set, id, other_id, similarity, rank)``: the ``k`` most similar others of every vector, however far they are.
+
+    Takes what :func:`similar_vectors` takes and ranks as it does, but compares every two vectors of a set, so it is
+    exact and has no least similarity; a vector gets fewer than ``k`` rows only where its set holds fewer others.
+    Each side of a tile has about ``tile`` vectors; a vector is shuffled twice per tile side of its set.
+    """
+    spark = vectors.sparkSession
+    given = vectors.select("vec_set", F.col("id").cast("string").alias("id"), "embedding").filter("embedding is not null and id is not null")
+    kind = given.schema["embedding"].dataType.simpleString()
+    usable = written(given.mapInArrow(_usable, f"vec_set string, id string, dim int, embedding {kind}"), "usable")
+    sizes = usable.groupBy("vec_set", "dim").count().agg(F.max("count").alias("most"), F.count("*").alias("sets")).first()
+    if not sizes.sets:
+        return spark.createDataFrame([], "vec_set string, id string, other_id string, similarity double, rank int")
+    blocks = max(math.ceil(sizes.most / tile), round(math.sqrt(parallelism(spark) / sizes.sets)))
+    home = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    key = F.xxhash64("vec_set", "dim", "asking").alias("key")
+    base = usable.select("*", home.alias("block"), every.alias("asking")).select(key, "block", F.lit(0).alias("role"), "vec_set", "id", "embedding")
+    ask = usable.select("*", home.alias("asking"), every.alias("block")).select(key, "block", F.lit(1).alias("role"), "vec_set", "id", "embedding")
+    met = (
+        base.unionByName(ask)
+        .repartition(max(parallelism(spark), 4 * sizes.sets * blocks * blocks), "key", "block")
+        .sortWithinPartitions("key", "block", "role")
+        .mapInArrow(_tile_search(k), "vec_set string, id string, other_id string, similarity double")
+    )
+    best = Window.partitionBy("vec_set", "id").orderBy(F.desc("similarity"), F.asc("other_id"))
+    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
 def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.85, **options) -> DataFrame:
     """``(vec_table, id_a, id_b)``, smaller id first: pairs of which one is among the ``k`` nearest of the other."""
     near = similar_vectors(vectors, k, least, **options)

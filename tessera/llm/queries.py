@@ -58,6 +58,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.similar_pairs(_vectors(spark, sf_dir))
 
 
+def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar others of every usable vector, without a least similarity."""
+    return neighbours.nearest_vectors(_vectors(spark, sf_dir)).withColumnRenamed("vec_set", "vec_table")
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"))
 
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p7_found": p7_found,
+        "p7_neighbours": p7_neighbours,
         "p8_containers": p8_containers,
         "p8_fill": p8_fill,
         "p9_found": p9_found,

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tessera.llm.neighbours import probe_sets, similar_pairs, similar_vectors, tables_for
+from tessera.llm.neighbours import nearest_vectors, probe_sets, similar_pairs, similar_vectors, tables_for
 
 SCHEMA = "vec_set string, id string, embedding array<float>, similarity int"
 
@@ -62,3 +62,21 @@ def test_probes_and_tables():
     assert sets[0] == (0,) and len(set(sets)) == 20
     assert all(11 - r not in s for s in sets for r in s)
     assert tables_for(6, 0.548, 0.9, 1.5, 4) >= tables_for(6, 0.2, 0.9, 1.5, 4)
+
+
+@pytest.mark.parametrize("tile", [40, 65_536])
+def test_every_vector_gets_its_nearest_however_far(spark, tile):
+    rng = np.random.default_rng(4)
+    m = np.concatenate([rng.normal(size=(150, 16)), np.repeat(rng.normal(size=(1, 16)), 9, 0), families(4, 5)[:, :16]]).astype(np.float32)
+    ids = [f"v{i:03d}" for i in rng.permutation(len(m))]
+    rows = [("s", i, v.tolist(), 1) for i, v in zip(ids, m)]
+    rows += [("s", "zero", [0.0] * 16, 1), ("s", "none", None, 1), ("s", "long", [1.0] * 17, 1), ("t", "a", [1.0, 0.0], 1), ("t", "b", [-1.0, 0.0], 1)]
+    unit = m.astype(float) / np.linalg.norm(m.astype(float), axis=1)[:, None]
+    sims = np.round(unit @ unit.T, 6)
+    true = {("t", "a", "b", 1, -1.0), ("t", "b", "a", 1, -1.0)}
+    for i in range(len(ids)):
+        order = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-sims[i, j], ids[j]))[:5]
+        true |= {("s", ids[i], ids[j], n, float(sims[i, j])) for n, j in enumerate(order, 1)}
+    got = [(r.vec_set, r.id, r.other_id, r["rank"], r.similarity) for r in nearest_vectors(spark.createDataFrame(rows, SCHEMA), tile=tile).collect()]
+    assert set(got) == true and len(got) == len(true)
+    assert nearest_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
