@@ -1,11 +1,14 @@
 """Problem 4: link the spellings of one person or organisation.
 
 Suffix blocking. Names are parsed into forms, so that what differs in case, order, title, middle
-initial or legal form only is one form already. Each token is indexed under the shortest of its
+initial or legal form only is one form already. Each token of a person's name is indexed under the shortest of its
 suffixes, and of its reversal's, that is rare enough; a token that is too common even as a whole is
 refined with the name's other tokens, and so becomes rare, before anything would be discarded. Blocks
 are thus of bounded size. Pairs within a block are compared by the ratio of the longest common
-subsequence. Full spellings are grouped first; short ones (nickname, initial, firm without its kind)
+subsequence. A firm has one token, its core, and nothing to refine it with: distinct cores meet under
+what is left of them without the letters that slips may concern, or under a piece that slips leave
+whole if they are long, so every two cores that are one apart from slips meet, however many forms
+share them; the kinds of their forms are then compared all with all. Full spellings are grouped first; short ones (nickname, initial, firm without its kind)
 join a group only if it is the only one they fit.
 """
 
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.filenames import damerau
@@ -29,6 +33,8 @@ BLOCK = 40
 LONG_WORD = 12
 #: Occurrences from which two similar first names are held to be two names rather than one and a slip.
 ESTABLISHED = 5
+#: Cores of at least this length meet by pieces instead of deletions; up to two letters more they do both.
+LONG_CORE = 25
 # Titles, legal forms, words for kinds of organisation and their short forms.
 TITLES = frozenset("dr prof professor eng engineer ing director dir capt captain mr mrs ms miss sir dame rev hon ato judge col gen lt maj sgt mme mlle herr frau sr sra dott".split())
 LEGAL = [tuple(x.split()) for x in ("public limited company|private limited company|limited liability company|share company|public company|p l c|g m b h|l l c|s a r l|s p a|s c|s a|b v|n v|a g|l t d|i n c|plc|gmbh|ltd|limited|inc|incorporated|llc|sarl|spa|sc|bv|nv|ag|kg|oy|ab|pty|pvt").split("|")]
@@ -204,12 +210,37 @@ def compare_firms(a: str, kind_a: str, b: str, kind_b: str) -> tuple[str, bool]
     """("S" for the same firm, "B" if one is named without its kind; whether ``a`` is the fuller), None for another firm."""
     if not same_spelling(a, b) or len(a) < 3:
         return None
+    return compare_kinds(kind_a, kind_b)
+
+
+@lru_cache(maxsize=100_000)
+def compare_kinds(kind_a: str, kind_b: str) -> tuple[str, bool] | None:
+    """What :func:`compare_firms` finds for two firms of one core."""
     if kind_a == kind_b or (kind_a and kind_b and same_kind(kind_a, kind_b)):
         return "S", True
     x, y = set(kind_a.split()), set(kind_b.split())
     return ("B", y < x) if x < y or y < x else None
 
 
+def slip_keys(core: str) -> set[int]:
+    """Keys of which two cores that :func:`same_spelling` accepts share at least one."""
+    n = len(core)
+    left = {core}
+    if 4 <= n <= LONG_CORE + 1:
+        for _ in range(1 if n < LONG_WORD else 2):
+            left |= {w[:i] + w[i + 1 :] for w in left for i in range(len(w))}
+    keys = {f"d{w}" for w in left}
+    if n >= LONG_CORE:
+        # two slips touch at most four of five pieces, and shift the others by at most two letters
+        for length in range(n - 2, n + 3):
+            ends = [length * i // 5 for i in range(6)]
+            for i in range(5):
+                for start in range(max(ends[i] - 2, 0), ends[i] + 3):
+                    piece = core[start : start + ends[i + 1] - ends[i]]
+                    keys.add(f"s{length}/{i}/{piece}")
+    return {xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass")) - (1 << 63) for k in keys}
+
+
 _FORM = "class string, tokens array<string>, kind string"
 
 
@@ -228,19 +259,16 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between the forms of each block; rows come sorted by key."""
+    """Links between the persons' forms of each block; rows come sorted by key."""
     key, block = None, []
     out: tuple[list, list, list] = ([], [], [])
 
     def links(rows: list[tuple]) -> None:
-        for i, (form, tokens, kind, counts) in enumerate(rows):
-            for other, their, kind2, counts2 in rows[:i]:
-                if form[0] != other[0] or form == other:
+        for i, (form, tokens, counts) in enumerate(rows):
+            for other, their, counts2 in rows[:i]:
+                if form == other:
                     continue
-                if form[0] == "p":
-                    found = compare_people(tokens, their, {**dict(zip(tokens, counts)), **dict(zip(their, counts2))})
-                else:
-                    found = compare_firms(tokens[0], kind, their[0], kind2)
+                found = compare_people(tokens, their, {**dict(zip(tokens, counts)), **dict(zip(their, counts2))})
                 if found:
                     code, fuller = found
                     # the short form first; two full ones in the order of their text
@@ -255,7 +283,7 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         return made
 
     for batch in batches:
-        for k, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        for k, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if k != key:
                 links(block)
                 key, block = k, []
@@ -281,12 +309,53 @@ def _rare_keys(tokens: DataFrame, floor: int, block: int) -> DataFrame:
     return kept.groupBy("token", "text", F.substring("key", 1, 1).alias("way")).agg(F.min_by("key", "len").alias("key")).select("token", "text", "key")
 
 
+def _core_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [sorted(slip_keys(core)) for core in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["core", "keys"])
+
+
+def _same_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        same = [same_spelling(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield batch.filter(pa.array(same, pa.bool_()))
+
+
+def _compare_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between firms (form, kind, other, other_kind) whose cores are the same."""
+    for batch in batches:
+        out: tuple[list, list, list] = ([], [], [])
+        for form, kind, other, kind2 in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            found = compare_kinds(kind, kind2)
+            if found:
+                code, fuller = found
+                ordered = (min(form, other), max(form, other)) if code == "S" else (other, form) if fuller else (form, other)
+                for c, x in zip(out, (*ordered, code)):
+                    c.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["a", "b", "link"])
+
+
+def firm_links(typed: DataFrame) -> DataFrame:
+    """``(a, b, link)`` between the forms (form, class, tokens, kind) of firms: all that :func:`compare_firms` accepts."""
+    parts = parallelism(typed.sparkSession)
+    firms = written(typed.filter("class = 'firm' and length(tokens[0]) >= 3").select("form", F.col("tokens")[0].alias("core"), "kind"), "firms")
+    cores = firms.select("core").distinct().repartition(parts)
+    keys = written(cores.mapInArrow(_core_keys, "core string, keys array<long>").select("core", F.explode("keys").alias("key")), "cores")
+    meet = keys.join(keys.select("key", F.col("core").alias("other_core")), "key").filter("core < other_core")
+    near = meet.select("core", "other_core").distinct().repartition(parts).mapInArrow(_same_cores, "core string, other_core string")
+    other = firms.select(F.col("form").alias("other"), F.col("core").alias("other_core"), F.col("kind").alias("other_kind"))
+    alike = firms.join(near, "core").join(other, "other_core").select("form", "kind", "other", "other_kind")
+    equal = firms.join(other, F.col("core") == F.col("other_core")).filter("form < other").select("form", "kind", "other", "other_kind")
+    return alike.unionByName(equal).mapInArrow(_compare_forms, "a string, b string, link string")
+
+
 def name_links(forms: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(a, b, link)`` between distinct forms (form, class, tokens, kind); of unequal ones ``a`` is the shorter."""
     spark = forms.sparkSession
     typed = forms.select("form", "class", "tokens", "kind")
     token = written(typed.select("form", "class", F.posexplode("tokens").alias("i", "token"), F.col("tokens")), "tokens")
     counts = written(token.groupBy("token").agg(F.count("*").alias("n")), "counts")
+    token = token.filter("class = 'person'")
     # a surname typed as two words is indexed as one word as well
     joined = token.filter("size(tokens) > 2").select("form", F.explode(F.array(F.array_join(F.expr("slice(tokens, 2, size(tokens) - 1)"), ""), F.array_join(F.expr("slice(tokens, 1, size(tokens) - 1)"), ""))).alias("token")).distinct()
     indexed = written(token.filter(F.length("token") > 1).select("form", "token").unionByName(joined).distinct(), "indexed")
@@ -295,8 +364,8 @@ def name_links(forms: DataFrame, block: int = BLOCK) -> DataFrame:
     direct = indexed.join(plain, "token").select("form", F.concat(F.lit("t"), F.col("key")).alias("key"))
     # too common tokens, refined with each other token of the name, read forwards and backwards
     common = indexed.join(plain.select("token").distinct(), "token", "left_anti")
-    others = token.select("form", F.col("token").alias("other"))
-    pairs = common.join(others, "form").filter("token != other")
+    others = token.groupBy("form", F.col("token").alias("other")).agg(F.count("*").alias("times"))
+    pairs = common.join(others, "form").filter("token != other or times > 1")
     pairs = pairs.select("form", "token", F.explode(F.array(F.concat_ws("|", "token", "other"), F.concat_ws("|", "token", F.reverse("other")))).alias("text"))
     composite = pairs.groupBy("text").agg(F.count("*").alias("n"), F.first("token").alias("t")).select(F.col("text").alias("token"), "text", (F.length("t") + 2).alias("least"), "n")
     ends = composite.select("text", "n", F.explode(F.sequence(F.least("least", F.length("text")), F.length("text"))).alias("len")).select("text", "n", "len", F.expr("left(text, len)").alias("key"))
@@ -306,10 +375,10 @@ def name_links(forms: DataFrame, block: int = BLOCK) -> DataFrame:
     keys = direct.unionByName(refined).distinct()
     alone = keys.groupBy("key").count().filter("count > 1").select("key")
     with_counts = token.join(counts, "token").groupBy("form").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("c")).select("form", F.expr("transform(c, x -> x.n)").alias("counts"))
-    rows = keys.join(alone, "key").join(typed.select("form", "tokens", "kind").join(with_counts, "form"), "form")
+    rows = keys.join(alone, "key").join(typed.select("form", "tokens").join(with_counts, "form"), "form")
     parts = parallelism(spark) * 2
-    found = rows.select("key", "form", "tokens", "kind", "counts").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compare_blocks, "a string, b string, link string")
-    return found.distinct()
+    found = rows.select("key", "form", "tokens", "counts").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compare_blocks, "a string, b string, link string")
+    return found.unionByName(firm_links(typed)).distinct()
 
 
 def _merge(links: DataFrame, groups: DataFrame, kinds: list[str]) -> DataFrame:

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from tessera.llm.names import compare_people, is_nickname, lcs_ratio, name_groups, parse_name, same_names, same_spelling
+from tessera.llm.names import compare_firms, compare_people, is_nickname, lcs_ratio, name_groups, name_links, parse_name, same_names, same_spelling, slip_keys
 
 NAMES = "phrase_id string, phrase string, form string, key int"
 
@@ -54,3 +56,33 @@ def test_pairs_repeats_and_empty(spark):
     pairs = same_names(spark.createDataFrame(rows, NAMES), "phrase_id", "phrase").collect()
     assert [(r.id_a, r.id_b) for r in pairs] == [("a", "b")]
     assert same_names(spark.createDataFrame([], NAMES), "phrase_id", "phrase").count() == 0
+
+
+def test_firms_of_a_common_core_are_compared(spark):
+    kinds = ["bank", "university", "museum", "hotel", "port", "railway", "union", "club", "school", "clinic", "college", "airline"]
+    names = [f"{core} {a} {b}" for core in ("abay", "bonabar") for a in kinds for b in kinds if a < b] + ["abbay bank hotel", "bonbar club hotel", "bonabar union", "bonabar gmbh"]
+    names += [f"{first} {core}" for first in ("anna", "peter", "maria", "john") for core in ("abay", "bonabar", "abayneh")] + ["martin martin", "martin martyn"]
+    names += [f"martin {x}{y}rolin" for x in "bdfgklm" for y in "aeiouyr"]
+    parsed = {"|".join((c, " ".join(t), k)): (c, t, k) for c, t, k in map(parse_name, names)}
+    true = set()
+    for a, (class_a, tokens_a, kind_a) in parsed.items():
+        for b, (class_b, tokens_b, kind_b) in parsed.items():
+            if a < b and class_a == class_b == "firm" and compare_firms(tokens_a[0], kind_a, tokens_b[0], kind_b):
+                true.add((a, b))
+    forms = spark.createDataFrame([(f, *x) for f, x in parsed.items()], "form string, class string, tokens array<string>, kind string")
+    found = {tuple(sorted((r.a, r.b))) for r in name_links(forms).collect()}
+    assert {p for p in found if p[0].startswith("firm")} == true and len(true) > 40
+    assert ("person|martin martin|", "person|martin martyn|") in found
+
+
+def test_every_slip_in_a_core_leaves_a_key():
+    rng = random.Random(3)
+    for n in (3, 4, 5, 8, 11, 12, 13, 22, 24, 25, 26, 27, 28, 40, 90):
+        for _ in range(150):
+            core = "".join(rng.choice("abcdefgh") for _ in range(n))
+            other = list(core)
+            for _ in range(rng.choice([1, 2])):
+                i, how = rng.randrange(len(other) - 1), rng.randrange(4)
+                other[i : i + 2] = {0: other[i : i + 2][::-1], 1: other[i : i + 1], 2: ["x", *other[i : i + 2]], 3: ["x", other[i + 1]]}[how]
+            other = "".join(other)
+            assert not same_spelling(core, other) or slip_keys(core) & slip_keys(other), (core, other)
