@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -90,15 +91,18 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([h.view(np.int64) for h in hashed], pa.list_(pa.int64()))], names=["item_id", "item_words"])
 
 
-def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for item, words in zip(batch.column(0).to_pylist(), batch.column(1)):
-            h = np.asarray(words.values).view(np.uint64)
-            for s in seeds(h):
-                if len(s):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(s.view(np.int64)), pa.array(np.full(len(s), item, dtype=np.int64)), pa.array(np.arange(len(s), dtype=np.int32))], names=["seed", "item_id", "item_pos"]
-                    )
+def _item_seeds(masks: tuple[str, ...]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = np.asarray(words.values).view(np.uint64)
+                for s in seeds(h, masks):
+                    if len(s):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(s.view(np.int64)), pa.array(np.full(len(s), item, dtype=np.int64)), pa.array(np.arange(len(s), dtype=np.int32))], names=["seed", "item_id", "item_pos"]
+                        )
+
+    return run
 
 
 def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,12 +132,12 @@ def bloom_filter(spark: SparkSession, item_seeds: DataFrame):
     return spark.sparkContext.broadcast(packed)
 
 
-def _stretches(filter_bits) -> Callable:
+def _stretches(filter_bits, masks: tuple[str, ...]) -> Callable:
     """(doc_id, first word, word hashes, hit positions, hit seeds) of the stretches of a document around passing seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = filter_bits.value
-        longest = max(map(len, MASKS))
+        longest = max(map(len, masks))
 
         def passes(values: np.ndarray) -> np.ndarray:
             first, second = _bits(values)
@@ -146,7 +150,7 @@ def _stretches(filter_bits) -> Callable:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hashes = word_hashes(text)
                 places, values = [], []
-                for s in seeds(hashes):
+                for s in seeds(hashes, masks):
                     hit = passes(s)
                     places.append(hit)
                     values.append(s[hit])
@@ -194,7 +198,48 @@ def compare_diagonal(a: np.ndarray, b: np.ndarray, shift: int, anchor: int, drop
     return longest, int(equal[at - left : at + right].sum()), left + right, lo + at - left
 
 
-def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
+def best_overlap(a: np.ndarray, b: np.ndarray, shift: int, anchor: int, least_words: int = 13, similarity: float = 0.8) -> tuple[int, int, int, int]:
+    """Like :func:`compare_diagonal`, but the best of all overlaps of the diagonal that meet both limits; zeros if none does.
+
+    Overlaps grow from each run of equal words. Where none of them meets the limits, the stretch with the most
+    equal words that does is taken.
+    """
+    lo, hi = max(0, shift), min(len(a), len(b) + shift)
+    equal = a[lo:hi] == b[lo - shift : hi - shift]
+    if len(equal) < least_words or np.count_nonzero(equal) < similarity * least_words - 1e-9:
+        return 0, 0, 0, lo
+    count = np.r_[0, np.cumsum(equal)]
+    level = count - similarity * np.arange(len(count))
+    if (level[least_words:] - np.minimum.accumulate(level)[: len(level) - least_words]).max() < -1e-9:
+        return 0, 0, 0, lo
+    first = compare_diagonal(a, b, shift, anchor)
+    edges = np.diff(np.r_[0, equal.astype(np.int8), 0])
+    starts, ends = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
+    meets = lambda m: m[2] >= least_words and m[1] >= similarity * m[2] - 1e-9
+    found, upto = [first] if meets(first) else [], -1
+    for start in starts:
+        if start >= upto:
+            grown = compare_diagonal(a, b, shift, lo + int(start))
+            upto = grown[3] - lo + grown[2]
+            if meets(grown):
+                found.append(grown)
+    if not found:
+        for start in starts:
+            words = ends - start
+            same = count[ends] - count[start]
+            ok = np.nonzero((words >= least_words) & (same >= similarity * words - 1e-9))[0]
+            if len(ok):
+                at = ok[np.argmax(same[ok])]
+                found.append((first[0], int(same[at]), int(words[at]), lo + int(start)))
+    # a stretch that meets the limits only with unequal words at its ends has no such run; it is taken as it is
+    if not found:
+        reach = np.nonzero(level[least_words:] - np.minimum.accumulate(level)[: len(level) - least_words] >= -1e-9)[0][0] + least_words
+        start = int(np.argmin(level[: reach - least_words + 1]))
+        found.append((first[0], int(count[reach] - count[start]), int(reach - start), lo + start))
+    return max(found, key=lambda m: (m[1], m[2], -m[3]))
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, measure: Callable = compare_diagonal) -> DataFrame:
     """``(doc_id, item_id, start, longest_run, equal_words, overlap_words)``: each overlap of a document with an item.
 
     ``longest_run`` counts consecutive equal words, ``overlap_words`` the aligned stretch with
@@ -204,10 +249,10 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null and item_id is not null")
     known = written(texts.mapInArrow(_item_rows, "item_id long, item_words array<long>").distinct(), "items")
-    table = written(known.mapInArrow(_item_seeds, "seed long, item_id long, item_pos int").distinct(), "seeds")
+    table = written(known.mapInArrow(_item_seeds(masks), "seed long, item_id long, item_pos int").distinct(), "seeds")
     bits = bloom_filter(spark, table)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null and doc_id is not null")
-    found = docs.mapInArrow(_stretches(bits), "doc_id long, start long, words array<long>, places array<int>, seeds array<long>")
+    found = docs.mapInArrow(_stretches(bits, masks), "doc_id long, start long, words array<long>, places array<int>, seeds array<long>")
     found = written(found.withColumn("stretch", F.xxhash64("doc_id", "start", "words")), "stretches")
     hits = found.select("doc_id", "stretch", F.explode(F.arrays_zip("places", "seeds")).alias("hit")).select("doc_id", "stretch", F.col("hit.places").alias("place"), F.col("hit.seeds").alias("seed"))
     right = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
@@ -217,7 +262,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     @F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("longest_run", "equal_words", "overlap_words", "first")]))
     def aligned_words(words: pd.Series, item_words: pd.Series, shift: pd.Series, anchor: pd.Series) -> pd.DataFrame:
-        rows = [compare_diagonal(np.asarray(a), np.asarray(b), int(s), int(p)) for a, b, s, p in zip(words, item_words, shift, anchor)]
+        rows = [measure(np.asarray(a), np.asarray(b), int(s), int(p)) for a, b, s, p in zip(words, item_words, shift, anchor)]
         return pd.DataFrame(rows, columns=["longest_run", "equal_words", "overlap_words", "first"])
 
     measured = aligned.select("doc_id", "item_id", "start", aligned_words("words", "item_words", "shift", "anchor").alias("m"))
@@ -233,6 +278,7 @@ def leaks(documents: DataFrame, items: DataFrame, least_run: int = 13) -> DataFr
 
 def tolerant_leaks(documents: DataFrame, items: DataFrame, least_words: int = 13, similarity: float = 0.8) -> DataFrame:
     """Overlaps of at least ``least_words`` words of which the share ``similarity`` is equal, the best per document and item."""
-    near = leaked_items(documents, items).filter((F.col("overlap_words") >= least_words) & (F.col("equal_words") >= similarity * F.col("overlap_words")))
+    measured = leaked_items(documents, items, measure=partial(best_overlap, least_words=least_words, similarity=similarity))
+    near = measured.filter((F.col("overlap_words") >= least_words) & (F.col("equal_words") >= similarity * F.col("overlap_words") - 1e-9))
     best = F.max(F.struct("equal_words", "overlap_words", "longest_run", (-F.col("start")).alias("s"))).alias("b")
     return near.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.s")).alias("start"), "b.longest_run", "b.equal_words", "b.overlap_words")

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tessera.llm.leakage import MASKS, compare_diagonal, leaked_items, leaks, tolerant_leaks, words_of
+from tessera.llm.leakage import MASKS, best_overlap, compare_diagonal, leaked_items, leaks, tolerant_leaks, words_of
 
 DOCS = "doc_id long, text string, words string, seed int"
 ITEMS = "item_id long, text string, kind string"
@@ -68,3 +68,17 @@ def test_diagonal_and_empty(spark):
     none = spark.createDataFrame([], DOCS)
     assert leaked_items(none, spark.createDataFrame([], ITEMS)).count() == 0
     assert leaks(none, spark.createDataFrame([(1, "a " * 20, None)], ITEMS)).count() == 0
+
+
+def test_an_overlap_after_a_poor_fragment_is_measured(spark):
+    rng = random.Random(9)
+    source = made(rng, 60)
+    changed = [w if i < 9 or i >= 20 else "wrong" for i, w in enumerate(source)]
+    docs = spark.createDataFrame([(1, " ".join(made(rng, 40) + changed + made(rng, 40)), "x", 1)], DOCS)
+    items = spark.createDataFrame([(5, " ".join(source), None)], ITEMS)
+    assert leaks(docs, items).count() == 1
+    best = tolerant_leaks(docs, items).first()
+    assert (best.doc_id, best.item_id, best.start, best.equal_words, best.overlap_words) == (1, 5, 60, 40, 40)
+    a, b = np.arange(20), np.arange(20)
+    b[8:12] = -1  # four wrong words in a row, yet 16 of 20 are equal
+    assert best_overlap(a, b, 0, 0) == (8, 16, 20, 0)
