@@ -5,7 +5,8 @@ most 13 words; words at the other positions may differ. Seeds of the items fill
 fixed size; one pass over the corpus keeps the stretches of documents whose seeds pass it, the rest
 of the text leaves no trace. The stretches' seeds are joined with the items' seeds, and each hit's
 diagonal is compared word by word: that gives the longest run of equal words and the overlap that
-tolerates substitutions.
+tolerates substitutions. Runs of equal words need the heavy masks only; overlaps with substitutions are
+sought with lighter ones that no overlap within the limits can miss. Words put in or left out end an overlap.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from tessera.session import written
 
 #: Masks over word positions; every one fits into a run of 13 words. Fixed values.
 MASKS = ("1101100110101", "1110010100111", "1011101000111")
+#: Masks for overlaps with substitutions. Of at least 13 words of which 0.8 are equal, four in a row are equal, or the
+#: words are 15 in four runs of three, which the second mask meets; so every such overlap has a seed.
+TOLERANT_MASKS = ("1111", "11101110111")
 BLOOM_BITS = 1 << 26
 #: A table of at most this many slim rows may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -278,7 +282,9 @@ def leaks(documents: DataFrame, items: DataFrame, least_run: int = 13) -> DataFr
 
 def tolerant_leaks(documents: DataFrame, items: DataFrame, least_words: int = 13, similarity: float = 0.8) -> DataFrame:
     """Overlaps of at least ``least_words`` words of which the share ``similarity`` is equal, the best per document and item."""
-    measured = leaked_items(documents, items, measure=partial(best_overlap, least_words=least_words, similarity=similarity))
+    if least_words < 13 or similarity < 0.8:
+        raise ValueError("the masks meet every overlap of at least 13 words with a similarity of at least 0.8")
+    measured = leaked_items(documents, items, TOLERANT_MASKS, partial(best_overlap, least_words=least_words, similarity=similarity))
     near = measured.filter((F.col("overlap_words") >= least_words) & (F.col("equal_words") >= similarity * F.col("overlap_words") - 1e-9))
     best = F.max(F.struct("equal_words", "overlap_words", "longest_run", (-F.col("start")).alias("s"))).alias("b")
     return near.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.s")).alias("start"), "b.longest_run", "b.equal_words", "b.overlap_words")

@@ -1,8 +1,9 @@
+import itertools
 import random
 
 import numpy as np
 
-from tessera.llm.leakage import MASKS, best_overlap, compare_diagonal, leaked_items, leaks, tolerant_leaks, words_of
+from tessera.llm.leakage import MASKS, TOLERANT_MASKS, best_overlap, compare_diagonal, leaked_items, leaks, tolerant_leaks, words_of
 
 DOCS = "doc_id long, text string, words string, seed int"
 ITEMS = "item_id long, text string, kind string"
@@ -82,3 +83,18 @@ def test_an_overlap_after_a_poor_fragment_is_measured(spark):
     a, b = np.arange(20), np.arange(20)
     b[8:12] = -1  # four wrong words in a row, yet 16 of 20 are equal
     assert best_overlap(a, b, 0, 0) == (8, 16, 20, 0)
+
+
+def test_every_pattern_within_the_limits_has_a_seed(spark):
+    for words in range(13, 26):
+        for wrong in itertools.combinations(range(1, words - 1), words // 5):
+            pattern = [i not in wrong for i in range(words)]
+            assert any(all(pattern[at + i] for i, c in enumerate(m) if c == "1") for m in TOLERANT_MASKS for at in range(words - len(m) + 1)), pattern
+    patterns = [(n, w) for n in (13, 15) for w in itertools.combinations(range(1, n - 1), n // 5)][::4]
+    docs, items = [], []
+    for k, (n, wrong) in enumerate(patterns):
+        text = [f"w{k}x{i}" for i in range(n)]
+        items.append((k, " ".join(text), None))
+        docs.append((k, " ".join(f"other{k}" if i in wrong else w for i, w in enumerate(text)), "x", 1))
+    got = {(r.doc_id, r.item_id) for r in tolerant_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == {(k, k) for k in range(len(patterns))}
