@@ -17,6 +17,8 @@ _YEAR_FIRST = re.compile(r"(?<![0-9a-z])((?:19|20)\d\d)([-._ /]?)(0[1-9]|1[0-2])
 _DAY_FIRST = re.compile(r"(?<![0-9a-z])(0?[1-9]|[12]\d|3[01])([-._ /])(0?[1-9]|1[0-2])\2((?:19|20)\d\d)(?![0-9a-z])")
 _CODE = re.compile(r"^([a-z]+)(\d{4,})$")
 GRAM, WINDOW = 4, 3
+#: Up to this many letters two slips may leave no winnowed fingerprint in common.
+SHORT = 24
 
 
 def canonical_name(path: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
@@ -125,3 +127,25 @@ def fingerprints(words: tuple[str, ...], numbers: tuple[str, ...]) -> list[int]:
     for i in range(max(len(grams) - WINDOW + 1, 1) if grams else 0):
         picked.add(min(grams[i : i + WINDOW]))
     return sorted(picked)
+
+
+def slip_prints(words: tuple[str, ...], numbers: tuple[str, ...]) -> list[int]:
+    """Prints of a short name of which two that :func:`same_words` accepts share one, bound to all numbers.
+
+    Of three words one is whole. Of two, one is whole or each has one slip; a single one may have two. Words
+    that are typed apart have one slip together.
+    """
+    text = "".join(words)
+    if not text or len(text) > SHORT:
+        return []
+
+    def without(some: set[str]) -> set[str]:
+        return {w[:i] + w[i + 1 :] for w in some for i in range(len(w))}
+
+    parts = {*words, text, *without({text})}
+    if len(words) <= 2:
+        parts |= without(set(words))
+    if len(words) == 1 and len(text) >= 5:
+        parts |= without(without({text}))
+    bound = xxhash.xxh64_intdigest("\x1f".join(numbers), 7)
+    return sorted(xxhash.xxh64_intdigest(w, bound) for w in parts if w)

@@ -1,9 +1,9 @@
 """Problem 2: check each new batch of files against everything accepted before.
 
 Accepted files leave fingerprints in a store in the shared folder: of their hash, of their name as it
-reads, and winnowed ones of the name's letters. Each batch adds a layer to the store and a layer of
+reads, winnowed ones of the name's letters, and if it is short one for each slip it may have. Each batch adds a layer to the store and a layer of
 Bloom filters, one filter a bucket. A new batch's fingerprints are screened by the filters, bucket by
-bucket; only positives are looked up in the store, candidates must share enough of their winnowed
+bucket; only positives are looked up in the store, candidates must share one of a slip or enough of their winnowed
 fingerprints, and the names are then compared. History is neither read as a whole nor fingerprinted again.
 
 Within a batch, files are decided in rounds: a file with no earlier undecided file under one of its
@@ -23,16 +23,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tessera.llm.filenames import canonical_hash, canonical_name, fingerprints, same_words
+from tessera.llm.filenames import canonical_hash, canonical_name, fingerprints, same_words, slip_prints
 from tessera.session import new_folder, written
 
-HASH, NAME, WINNOWED = 0, 1, 2
+HASH, NAME, WINNOWED, SLIP = 0, 1, 2, 3
 BITS_PER_KEY = 12
 PROBES = 4
 #: Share of the smaller winnowed set that two spellings of one name must have in common.
 COVERAGE = 0.2
 BROADCAST_ROWS = 100_000
-_PREPARED = "file_id long, batch int, hash_key long, name_key long, words array<string>, prints array<long>"
+_PREPARED = "file_id long, batch int, hash_key long, name_key long, words array<string>, prints array<long>, slips array<long>"
 _STORE = "fp long, kind int, file_id long, words array<string>, size int, bucket int"
 _FILTERS = "bucket int, layer int, bits binary"
 
@@ -44,7 +44,7 @@ def _signed(x: int) -> int:
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, names, hashes, numbers = (batch.column(i).to_pylist() for i in range(4))
-        rows: tuple[list, ...] = ([], [], [], [])
+        rows: tuple[list, ...] = ([], [], [], [], [])
         for name, value in zip(names, hashes):
             digest = canonical_hash(value)
             rows[0].append(None if digest is None else _signed(xxhash.xxh64_intdigest(digest, 1)))
@@ -55,7 +55,8 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows[1].append(None)
             rows[2].append(list(words))
             rows[3].append([_signed(x) for x in fingerprints(words, digits)])
-        types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            rows[4].append([_signed(x) for x in slip_prints(words, digits)])
+        types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), *(pa.array(c, t) for c, t in zip(rows, types))], names=[c.split()[0] for c in _PREPARED.split(", ")])
 
 
@@ -175,8 +176,9 @@ def _prints(files: DataFrame) -> DataFrame:
     """(fp, kind, file_id, hash_key, name_key, words, size) of each key and winnowed fingerprint."""
     keys = F.array(F.struct(F.col("hash_key").alias("fp"), F.lit(HASH).alias("kind")), F.struct(F.col("name_key").alias("fp"), F.lit(NAME).alias("kind")))
     parts = F.transform("prints", lambda x: F.struct(x.alias("fp"), F.lit(WINNOWED).alias("kind")))
-    each = files.select("file_id", "hash_key", "name_key", "words", F.size("prints").alias("size"), F.explode(F.concat(keys, parts)).alias("p"))
-    words = F.when(F.col("p.kind") == WINNOWED, F.col("words")).alias("words")
+    slips = F.transform("slips", lambda x: F.struct(x.alias("fp"), F.lit(SLIP).alias("kind")))
+    each = files.select("file_id", "hash_key", "name_key", "words", F.size("prints").alias("size"), F.explode(F.concat(keys, parts, slips)).alias("p"))
+    words = F.when(F.col("p.kind") >= WINNOWED, F.col("words")).alias("words")
     return each.select("p.fp", "p.kind", "file_id", "hash_key", "name_key", words, "size").filter("fp is not null")
 
 
@@ -201,12 +203,12 @@ class _Packing:
 
 
 def _near_names(rows: DataFrame, pack: _Packing) -> DataFrame:
-    """(name_key, near): for names in ``rows`` (fp, name_key, words, size) those that read the same apart from slips."""
-    mine = pack(pack(rows).groupBy("fp", "name_key").agg(F.first("words").alias("words"), F.first("size").alias("size")))
-    other = mine.select("fp", F.col("name_key").alias("other_key"), F.col("words").alias("other_words"), F.col("size").alias("other_size"))
-    shared = pack.join(mine, other, "fp").filter("name_key < other_key").groupBy("name_key", "other_key")
-    shared = pack(shared.agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("words", "other_words", "size", "other_size"))))
-    near = shared.filter(F.col("shared") >= COVERAGE * F.least("size", "other_size")).filter(_same("words", "other_words"))
+    """(name_key, near): for names in ``rows`` (fp, kind, name_key, words, size) those that read the same apart from slips."""
+    mine = pack(pack(rows).groupBy("fp", "kind", "name_key").agg(F.first("words").alias("words"), F.first("size").alias("size")))
+    other = mine.select("fp", "kind", F.col("name_key").alias("other_key"), F.col("words").alias("other_words"), F.col("size").alias("other_size"))
+    shared = pack.join(mine, other, ["fp", "kind"]).filter("name_key < other_key").groupBy("name_key", "other_key")
+    shared = pack(shared.agg(F.count("*").alias("shared"), F.max("kind").alias("kind"), *(F.first(c).alias(c) for c in ("words", "other_words", "size", "other_size"))))
+    near = shared.filter((F.col("kind") == SLIP) | (F.col("shared") >= COVERAGE * F.least("size", "other_size"))).filter(_same("words", "other_words"))
     both = F.array(F.struct("name_key", "other_key"), F.struct(F.col("other_key").alias("name_key"), F.col("name_key").alias("other_key")))
     return pack(near.select(F.explode(both).alias("p")).select("p.name_key", "p.other_key")).groupBy("name_key").agg(F.collect_set("other_key").alias("near"))
 
@@ -258,12 +260,12 @@ def repeated_files(files: DataFrame, buckets: int | None = None) -> DataFrame:
             # (file, accepted file) pairs under a common key, or under enough common fingerprints
             past = store.rows(rows.filter("seen").select("fp").distinct(), small)
             hits = pack.join(rows.filter("seen"), past, ["fp", "kind"]).groupBy("file_id", "a")
-            hits = hits.agg(F.min("kind").alias("kind"), F.count("*").alias("n"), F.max("words").alias("words"), F.max("a_words").alias("a_words"), F.max("size").alias("size"), F.max("a_size").alias("a_size"))
-            alike = (F.col("kind") < WINNOWED) | ((F.col("n") >= COVERAGE * F.least("size", "a_size")) & _same("words", "a_words"))
+            hits = hits.agg(F.min("kind").alias("kind"), F.max("kind").alias("last"), F.count("*").alias("n"), F.max("words").alias("words"), F.max("a_words").alias("a_words"), F.max("size").alias("size"), F.max("a_size").alias("a_size"))
+            alike = (F.col("kind") < WINNOWED) | (((F.col("last") == SLIP) | (F.col("n") >= COVERAGE * F.least("size", "a_size"))) & _same("words", "a_words"))
             old = pack(written(pack(hits.filter(alike)).groupBy("file_id").agg(F.min("a").alias("a")), "old"))
             cases.append(old)
             suspects = pack.minus(suspects, old, "file_id")
-        near = _near_names(suspects.filter(F.col("kind") == WINNOWED), pack)
+        near = _near_names(suspects.filter(F.col("kind") >= WINNOWED), pack)
         suspects = pack.join(pack(suspects.select("file_id", "hash_key", "name_key")).distinct(), near, "name_key", "left")
         cases += _decide(written(suspects, "suspects"), pack)
         gone = reduce(DataFrame.unionByName, cases)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tessera.llm.filenames import canonical_hash, canonical_name, damerau, fingerprints, same_words
+from tessera.llm.filenames import canonical_hash, canonical_name, damerau, fingerprints, same_words, slip_prints
 from tessera.llm.history import repeated_files
 
 FILES = "file_id long, filename string, sha256 string, batch_no int, fp string, a int"
@@ -73,3 +73,28 @@ def test_nulls_repeats_and_empty(spark):
     rows = [(1, None, None, None, None, None), (2, "", None, 0, "x", 1), (3, "---.pdf", None, 0, "x", 1), (4, None, h(4), 0, "x", 1), (4, None, h(4), 0, "x", 1), (5, None, h(4), None, "x", 1), (None, "A 1.txt", h(1), 0, "x", 1), (6, "A" * 5_000 + " 1.txt", None, 0, "x", 1)]
     assert found(spark, rows) == {(4, 5)}
     assert found(spark, []) == set()
+
+
+def test_short_names_with_slips_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(0, "a/Budget 2024.pdf", h(900), 0, "x", 1), (1, "a/Bugdet 2024.pdf", h(901), 1, "x", 1), (2, "b/Bud get 2024.pdf", h(902), 1, "x", 1), (3, "b/Budget 2025.pdf", h(903), 1, "x", 1)]
+    for i in range(4, 120):
+        name = rng.choice(["img", "untitled", "invoice", "tax form", "site plan", "red ink set"])
+        other = list(name)
+        for _ in range(rng.choice([0, 1, 2])):
+            at = rng.randrange(len(other) - 1)
+            other[at : at + 2] = rng.choice([other[at : at + 2][::-1], other[at : at + 1], ["q", *other[at : at + 2]]]) if len(other) > 2 else other
+        rows.append((i, f"d/{''.join(other)} {5000 + rng.randrange(6)}.pdf", h(i), i // 40, "x", 1))
+    got = found(spark, rows)
+    assert got == brute(rows) and (0, 1) in got
+    for _ in range(3000):
+        words = [rng.choice(["img", "budget", "untitled", "site", "minutes", "plan", "kx"]) for _ in range(rng.choice([1, 1, 2, 3]))]
+        other = " ".join(words)
+        for _ in range(2):
+            at = rng.randrange(max(len(other) - 1, 1))
+            if len(other) < 3:
+                continue
+            other = other[:at] + rng.choice([other[at : at + 2][::-1], other[at + 1], "q" + other[at : at + 2], "q" + other[at + 1]]) + other[at + 2 :]
+        a, b = tuple(sorted(words)), tuple(sorted(other.split()))
+        if max(len("".join(a)), len("".join(b))) <= 24 and b and same_words(a, b):
+            assert set(slip_prints(a, ("1",))) & set(slip_prints(b, ("1",))), (a, b)
