@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.operators.graph import without_orphans
+from tessera.session import names_in, publish, read_text
 
 
 def replace_documents(chunks: DataFrame, new: DataFrame) -> DataFrame:
@@ -68,46 +70,38 @@ def rechunk_guard(chunks: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 class SnapshotStore:
-    """Tables as numbered snapshot folders with a pointer file; a commit shows all its tables or none. One writer."""
+    """Tables as numbered snapshot folders; a commit shows all its tables or none.
+
+    Each commit publishes a pointer of its own number, which appears whole or not at all; the newest pointer
+    counts. A crash before that leaves the last commit as it was. Of two writers that start from the same
+    commit one gets a :class:`Conflict` and writes again.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self) -> str:
-        return f"{self.root}/current"
-
-    def _files(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._pointer())
-        return jvm, path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _newest(self) -> int:
+        return max((int(n) for n in names_in(self.spark, f"{self.root}/commits") if n.isdigit()), default=0)
 
     def versions(self) -> dict[str, str]:
-        jvm, path, fs = self._files()
-        if not fs.exists(path):
-            return {}
-        stream = fs.open(path)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        number = self._newest()
+        return json.loads(read_text(self.spark, f"{self.root}/commits/{number:08d}")) if number else {}
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.versions()[name])
 
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Write new snapshots, then move the pointer to them."""
+    def commit(self, tables: dict[str, DataFrame]) -> int:
+        """Write new snapshots, then publish the pointer to them; returns the number of the commit."""
+        before = self._newest()
         known = self.versions()
-        number = int(known.get("_number", "0")) + 1
         for name, df in tables.items():
-            target = f"{self.root}/{name}/{number:08d}"
-            df.write.mode("overwrite").parquet(target)
+            target = f"{self.root}/{name}/{before + 1:08d}-{uuid.uuid4().hex[:8]}"
+            df.write.mode("errorifexists").parquet(target)
             known[name] = target
-        known["_number"] = str(number)
-        jvm, path, fs = self._files()
-        fresh = jvm.org.apache.hadoop.fs.Path(f"{self._pointer()}.{number}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps(known).encode()))
-        out.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(fresh, path)
+        if not publish(self.spark, f"{self.root}/commits/{before + 1:08d}", json.dumps(known)):
+            raise Conflict(f"another writer made commit {before + 1} first")
+        return before + 1
+
+
+class Conflict(RuntimeError):
+    """Another writer was first."""

@@ -96,19 +96,56 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _storage(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, whatever storage ``path`` is on."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     local = path.removeprefix("file://")
     if os.path.isdir(local):
         shutil.rmtree(local, ignore_errors=True)
         return
     try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        storage, target = _storage(spark, path)
+        storage.delete(target, True)
     except Exception:  # the session may have ended before; the folder's owner then cleans it
         pass
 
 
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders directly in ``folder``, sorted; none if it does not exist. Names that begin with a dot are left out."""
+    storage, target = _storage(spark, folder)
+    if not storage.exists(target):
+        return []
+    return sorted(n for n in (s.getPath().getName() for s in storage.listStatus(target)) if not n.startswith("."))
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    storage, target = _storage(spark, path)
+    stream = storage.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Make the file ``path`` appear with its whole content at once; False, and nothing changed, if it is there already."""
+    storage, target = _storage(spark, path)
+    if storage.exists(target):
+        return False
+    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    out = storage.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if storage.rename(draft, target):
+        return True
+    storage.delete(draft, False)
+    return False
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Drop a table written by :func:`written` that nothing will read again."""
     _remove(spark, path)
