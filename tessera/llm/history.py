@@ -1,40 +1,49 @@
 """Problem 2: check each new batch of files against everything accepted before.
 
-Accepted files leave fingerprints in a store in the shared folder: of their hash, of their name as it
-reads, winnowed ones of the name's letters, and if it is short one for each slip it may have. Each batch adds a layer to the store and a layer of
-Bloom filters, one filter a bucket. A new batch's fingerprints are screened by the filters, bucket by
-bucket; only positives are looked up in the store, candidates must share one of a slip or enough of their winnowed
-fingerprints, and the names are then compared. History is neither read as a whole nor fingerprinted again.
+Accepted files leave fingerprints in a persistent store: of their hash, of their name as it reads,
+winnowed ones of the name's letters, and if it is short one for each slip it may have. The store is a
+folder that outlives the session: :class:`FingerprintStore` opens it, :func:`add_batch` holds one batch
+against it and adds what is accepted. Fingerprints lie in folders by bucket; each batch adds a layer of
+them and of Bloom filters, one filter a bucket. A new batch's fingerprints are screened by the filters,
+bucket by bucket; only the buckets of positives are read from the store, candidates must share one of a
+slip or enough of their winnowed fingerprints, and the names are then compared. A layer counts once its
+marker is published, so a batch that failed half-way leaves nothing and is added again. Layers of one tier
+are merged when they are many, so a fingerprint is rewritten as often as the logarithm of the layers.
 
 Within a batch, files are decided in rounds: a file with no earlier undecided file under one of its
 keys is accepted; one with an earlier accepted file is a case. Keys, not pairs, carry the groups, so a
-group of copies costs one row a copy, however large it is.
+group of copies costs one row a copy, however large it is. Each batch ends in tables of the store, so
+plans do not grow with the batches.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tessera.llm.filenames import canonical_hash, canonical_name, fingerprints, same_words, slip_prints
-from tessera.session import new_folder, written
+from tessera.session import names_in, new_folder, publish, read_text, remove, written
 
 HASH, NAME, WINNOWED, SLIP = 0, 1, 2, 3
 BITS_PER_KEY = 12
 PROBES = 4
 #: Share of the smaller winnowed set that two spellings of one name must have in common.
 COVERAGE = 0.2
-BROADCAST_ROWS = 100_000
+#: So many layers of one tier are merged into one of the next.
+MERGE = 8
+#: Fingerprints that a bucket is planned for.
+BUCKET_KEYS = 1_000_000
 _PREPARED = "file_id long, batch int, hash_key long, name_key long, words array<string>, prints array<long>, slips array<long>"
 _STORE = "fp long, kind int, file_id long, words array<string>, size int, bucket int"
-_FILTERS = "bucket int, layer int, bits binary"
+_FILTERS = "bucket int, bits binary"
+_CASES = "file_id long, a long"
 
 
 def _signed(x: int) -> int:
@@ -99,34 +108,31 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(fps[take]), pa.array(seen[take]), pa.array(shared[take])], names=["fp", "seen", "shared"])
 
 
-def _filter_layer(layer: int):
-    """A filter for each bucket, or for each part of it; rows come sorted by bucket."""
+def _filter_of(bucket: int, keys: np.ndarray) -> pa.RecordBatch:
+    size = max(8, math.ceil(len(keys) * BITS_PER_KEY / 8))
+    packed = np.zeros(size * 8, dtype=np.uint8)
+    for at in _positions(keys, size * 8):
+        packed[at] = 1
+    bits = np.packbits(packed, bitorder="little").tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([bits], pa.binary())], names=["bucket", "bits"])
 
-    def filter_of(bucket: int, keys: np.ndarray) -> pa.RecordBatch:
-        size = max(8, math.ceil(len(keys) * BITS_PER_KEY / 8))
-        packed = np.zeros(size * 8, dtype=np.uint8)
-        for at in _positions(keys, size * 8):
-            packed[at] = 1
-        bits = np.packbits(packed, bitorder="little").tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([layer], pa.int32()), pa.array([bits], pa.binary())], names=["bucket", "layer", "bits"])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-        for batch in batches:
-            buckets, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            if not len(buckets):
-                continue
-            edges = np.r_[0, np.nonzero(buckets[1:] != buckets[:-1])[0] + 1, len(buckets)]
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if now is not None and buckets[lo] != now:
-                    yield filter_of(now, np.concatenate(parts))
-                    parts = []
-                now = int(buckets[lo])
-                parts.append(keys[lo:hi])
-        if now is not None:
-            yield filter_of(now, np.concatenate(parts))
-
-    return build
+def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A filter for each bucket, or for each part of it; rows come file by file, so a bucket's rows lie together."""
+    now, parts = None, []
+    for batch in batches:
+        buckets, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        if not len(buckets):
+            continue
+        edges = np.r_[0, np.nonzero(buckets[1:] != buckets[:-1])[0] + 1, len(buckets)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if now is not None and buckets[lo] != now:
+                yield _filter_of(now, np.concatenate(parts))
+                parts = []
+            now = int(buckets[lo])
+            parts.append(keys[lo:hi])
+    if now is not None:
+        yield _filter_of(now, np.concatenate(parts))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -135,41 +141,74 @@ def _same(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 class FingerprintStore:
-    """Fingerprints and Bloom filters of accepted files, as parquet layers below one folder."""
+    """Fingerprints, Bloom filters and cases of the batches so far, below one folder; opening it makes it if it is new.
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.path, self.buckets, self.layers = spark, path, buckets, 0
+    ``buckets`` counts only for a new store. One writer at a time: of two that add the same layer, the second fails.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self.spark, self.path = spark, path.rstrip("/")
+        publish(spark, f"{self.path}/store", json.dumps({"buckets": buckets}))
+        self.buckets: int = json.loads(read_text(spark, f"{self.path}/store"))["buckets"]
+        self.known: dict[str, dict] = {n: json.loads(read_text(spark, f"{self.path}/layers/{n}")) for n in names_in(spark, f"{self.path}/layers")}
+
+    def layers(self, tier: int | None = None) -> list[str]:
+        """Names of the layers in force, of one tier or of all."""
+        gone = {n for x in self.known.values() for n in x["merged"]}
+        return [n for n, x in self.known.items() if n not in gone and tier in (None, x["tier"])]
 
     def bucket(self, fp) -> F.Column:
         return F.pmod(fp, F.lit(self.buckets)).cast("int")
 
-    def screen(self, prints: DataFrame, small: bool) -> DataFrame:
+    def _read(self, what: str, schema: str, layers: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{what}").parquet(*(f"{self.path}/{what}/layer={n}" for n in layers))
+
+    def screen(self, prints: DataFrame) -> DataFrame:
         """(fp, seen, shared): fingerprints of the batch that a filter has seen or that several of its files share."""
         keys = prints.groupBy("fp").agg((F.min("file_id") < F.max("file_id")).alias("shared"))
-        if not self.layers:
+        layers = self.layers()
+        if not layers:
             return keys.filter("shared").select("fp", F.lit(False).alias("seen"), "shared")
         keys = keys.select(self.bucket(F.col("fp")).alias("bucket"), "fp", "shared", F.lit(None).cast("binary").alias("bits"))
-        filters = self.spark.read.schema(_FILTERS).parquet(f"{self.path}/filters/*")
-        both = keys.unionByName(filters.select("bucket", "bits"), allowMissingColumns=True)
-        both = both.coalesce(1) if small else both.repartition("bucket")
+        both = keys.unionByName(self._read("filters", _FILTERS, layers), allowMissingColumns=True).repartition("bucket")
         return both.sortWithinPartitions("bucket", F.col("bits").isNull()).mapInArrow(_screen, "fp long, seen boolean, shared boolean")
 
-    def rows(self, wanted: DataFrame, small: bool) -> DataFrame:
-        """(fp, a, kind, a_words, a_size) of the store under the fingerprints ``wanted`` (fp)."""
-        store = self.spark.read.schema(_STORE).parquet(f"{self.path}/prints/*")
-        keys = wanted.select("fp", self.bucket(F.col("fp")).alias("bucket"))
-        found = store.join(F.broadcast(keys) if small else keys, ["bucket", "fp"])
-        return found.select("fp", F.col("file_id").alias("a"), "kind", F.col("words").alias("a_words"), F.col("size").alias("a_size"))
-
-    def add(self, accepted: DataFrame, rows: int, small: bool) -> None:
-        size = max(1, min(self.buckets, math.ceil(rows / 50_000)))
-        prints = _prints(accepted).select("fp", "kind", "file_id", "words", "size").withColumn("bucket", self.bucket(F.col("fp")))
-        prints = (prints if small else prints.repartition(size, "bucket")).sortWithinPartitions("bucket", "fp")
-        layer = f"{self.layers:06d}"
-        prints.write.option("parquet.bloom.filter.enabled#fp", "true").parquet(f"{self.path}/prints/{layer}")
-        written_prints = self.spark.read.schema(_STORE).parquet(f"{self.path}/prints/{layer}").select("bucket", "fp")
-        written_prints.mapInArrow(_filter_layer(self.layers), _FILTERS).write.parquet(f"{self.path}/filters/{layer}")
-        self.layers += 1
+    def rows(self, buckets: list[int]) -> DataFrame:
+        """(fp, kind, a, a_words, a_size) of the store in these buckets; no file of another bucket is read."""
+        store = self._read("prints", _STORE, self.layers()).filter(F.col("bucket").isin(buckets))
+        return store.select("fp", "kind", F.col("file_id").alias("a"), F.col("words").alias("a_words"), F.col("size").alias("a_size"))
+
+    def _write(self, prints: DataFrame, tier: int, merged: list[str]) -> None:
+        name = f"{len(self.known):06d}"
+        folder = lambda what: f"{self.path}/{what}/layer={name}"
+        rows = prints.withColumn("bucket", self.bucket(F.col("fp"))).repartition("bucket").sortWithinPartitions("bucket", "fp")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(folder("prints"))
+        self._read("prints", _STORE, [name]).select("bucket", "fp").mapInArrow(_filters, _FILTERS).write.mode("overwrite").parquet(folder("filters"))
+        marker = {"tier": tier, "merged": merged}
+        if not publish(self.spark, f"{self.path}/layers/{name}", json.dumps(marker)):
+            raise RuntimeError(f"another writer added layer {name} to {self.path}")
+        self.known[name] = marker
+
+    def add(self, accepted: DataFrame, cases: DataFrame) -> str:
+        """A new layer of these files (as prepared), and the batch's cases (file_id, a) beside it; returns its name."""
+        name = f"{len(self.known):06d}"
+        cases.write.mode("overwrite").parquet(f"{self.path}/cases/layer={name}")
+        self._write(_prints(accepted).select("fp", "kind", "file_id", "words", "size"), 0, [])
+        tier = 0
+        while len(old := self.layers(tier)) >= MERGE:
+            self._write(self._read("prints", _STORE, old).drop("bucket", "layer"), tier + 1, old)
+            for n in old:
+                remove(self.spark, f"{self.path}/prints/layer={n}")
+                remove(self.spark, f"{self.path}/filters/layer={n}")
+            tier += 1
+        return name
+
+    def cases(self, layers: list[str] | None = None) -> DataFrame:
+        """(file_id_a, file_id_b) of these batches' cases, or of all."""
+        every = [n for n, x in self.known.items() if not x["merged"]] if layers is None else layers
+        if not every:
+            return self.spark.createDataFrame([], "file_id_a long, file_id_b long")
+        return self._read("cases", _CASES, every).select(F.col("a").alias("file_id_a"), F.col("file_id").alias("file_id_b"))
 
 
 def _prints(files: DataFrame) -> DataFrame:
@@ -182,94 +221,89 @@ def _prints(files: DataFrame) -> DataFrame:
     return each.select("p.fp", "p.kind", "file_id", "hash_key", "name_key", words, "size").filter("fp is not null")
 
 
-class _Packing:
-    """Keeps a small batch in one partition, so that its many steps need no exchange; a large one stays spread.
-
-    Semi and anti joins are written as outer joins, as the optimiser would move them below the packing.
-    """
-
-    def __init__(self, small: bool):
-        self.small = small
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        return df.coalesce(1) if self.small else df
-
-    def join(self, left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-        return self(self(left).join(self(right).hint("merge"), on, how))
-
-    def minus(self, left: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-        gone = self(ids).select(on).distinct().withColumn("_gone", F.lit(True))
-        return self(self.join(left, gone, on, "left").filter("_gone is null").drop("_gone"))
-
-
-def _near_names(rows: DataFrame, pack: _Packing) -> DataFrame:
+def _near_names(rows: DataFrame) -> DataFrame:
     """(name_key, near): for names in ``rows`` (fp, kind, name_key, words, size) those that read the same apart from slips."""
-    mine = pack(pack(rows).groupBy("fp", "kind", "name_key").agg(F.first("words").alias("words"), F.first("size").alias("size")))
+    mine = rows.groupBy("fp", "kind", "name_key").agg(F.first("words").alias("words"), F.first("size").alias("size"))
     other = mine.select("fp", "kind", F.col("name_key").alias("other_key"), F.col("words").alias("other_words"), F.col("size").alias("other_size"))
-    shared = pack.join(mine, other, ["fp", "kind"]).filter("name_key < other_key").groupBy("name_key", "other_key")
-    shared = pack(shared.agg(F.count("*").alias("shared"), F.max("kind").alias("kind"), *(F.first(c).alias(c) for c in ("words", "other_words", "size", "other_size"))))
+    shared = mine.join(other, ["fp", "kind"]).filter("name_key < other_key").groupBy("name_key", "other_key")
+    shared = shared.agg(F.count("*").alias("shared"), F.max("kind").alias("kind"), *(F.first(c).alias(c) for c in ("words", "other_words", "size", "other_size")))
     near = shared.filter((F.col("kind") == SLIP) | (F.col("shared") >= COVERAGE * F.least("size", "other_size"))).filter(_same("words", "other_words"))
     both = F.array(F.struct("name_key", "other_key"), F.struct(F.col("other_key").alias("name_key"), F.col("name_key").alias("other_key")))
-    return pack(near.select(F.explode(both).alias("p")).select("p.name_key", "p.other_key")).groupBy("name_key").agg(F.collect_set("other_key").alias("near"))
+    return near.select(F.explode(both).alias("p")).select("p.name_key", "p.other_key").groupBy("name_key").agg(F.collect_set("other_key").alias("near"))
 
 
-def _decide(suspects: DataFrame, pack: _Packing) -> list[DataFrame]:
+def _decide(suspects: DataFrame) -> list[DataFrame]:
     """Cases (file_id, a) among a batch's suspects (file_id, hash_key, name_key, near); see the module's text."""
     cases: list[DataFrame] = []
-    undecided = pack(suspects)
+    undecided = suspects
     while True:
-        own = pack(undecided.select("file_id", F.explode(F.array("hash_key", "name_key")).alias("key")).filter("key is not null"))
-        asks = pack(own.unionByName(undecided.select("file_id", F.explode("near").alias("key"))))
+        own = undecided.select("file_id", F.explode(F.array("hash_key", "name_key")).alias("key")).filter("key is not null")
+        asks = own.unionByName(undecided.select("file_id", F.explode("near").alias("key")))
         first = own.groupBy("key").agg(F.min("file_id").alias("first"))
-        blocked = pack.join(asks, first, "key").filter("first < file_id").select("file_id").distinct().withColumn("blocked", F.lit(True))
-        held = pack.minus(own, blocked, "file_id").select(F.col("file_id").alias("a"), "key")
-        case = pack.join(asks, held, "key").filter("a < file_id").groupBy("file_id").agg(F.min("a").alias("a"))
-        state = pack.join(pack.join(undecided, blocked, "file_id").drop("blocked"), case, "file_id", "left")
-        state = written(state, "state")
+        blocked = asks.join(first, "key").filter("first < file_id").select("file_id").distinct()
+        held = own.join(blocked, "file_id", "left_anti").groupBy("key").agg(F.min("file_id").alias("a"))
+        case = asks.join(held, "key").filter("a < file_id").groupBy("file_id").agg(F.min("a").alias("a"))
+        state = undecided.join(blocked, "file_id").join(case, "file_id", "left")
+        left = Observation()
+        state = written(state.observe(left, F.count(F.when(F.col("a").isNull(), 1)).alias("undecided")), "state")
         cases.append(state.filter("a is not null").select("file_id", "a"))
-        undecided = pack(state.filter("a is null").drop("a"))
-        if undecided.isEmpty():
+        if not left.get["undecided"]:
             return cases
+        undecided = state.filter("a is null").drop("a")
+
+
+def _prepared(files: DataFrame, *more) -> DataFrame:
+    picked = files.select(F.col("file_id").cast("long").alias("file_id"), "filename", "sha256", *more).filter("file_id is not null")
+    return picked.groupBy("file_id").agg(F.min(F.struct("batch", "filename", "sha256")).alias("r")).select("file_id", "r.filename", "r.sha256", "r.batch").mapInArrow(_prepare, _PREPARED)
+
+
+def _add_prepared(store: FingerprintStore, batch: DataFrame) -> str:
+    prints = _prints(batch)
+    found = Observation()
+    flagged = prints.join(store.screen(prints), "fp").withColumn("bucket", store.bucket(F.col("fp")))
+    seen_buckets = F.collect_set(F.when(F.col("seen"), F.col("bucket"))).alias("buckets")  # bounded by the buckets of the store
+    rows = written(flagged.observe(found, seen_buckets, F.count(F.when(F.col("shared"), 1)).alias("shared")), "rows")
+    cases: list[DataFrame] = []
+    suspects = rows.filter("shared")
+    if buckets := sorted(found.get["buckets"]):
+        # (file, accepted file) pairs under a common key, or under enough common fingerprints
+        hits = rows.filter("seen").join(store.rows(buckets), ["fp", "kind"]).groupBy("file_id", "a")
+        hits = hits.agg(F.min("kind").alias("kind"), F.max("kind").alias("last"), F.count("*").alias("n"), F.max("words").alias("words"), F.max("a_words").alias("a_words"), F.max("size").alias("size"), F.max("a_size").alias("a_size"))
+        alike = (F.col("kind") < WINNOWED) | (((F.col("last") == SLIP) | (F.col("n") >= COVERAGE * F.least("size", "a_size"))) & _same("words", "a_words"))
+        cases.append(written(hits.filter(alike).groupBy("file_id").agg(F.min("a").alias("a")), "old"))
+        suspects = suspects.join(cases[0], "file_id", "left_anti")
+    if found.get["shared"]:
+        near = _near_names(suspects.filter(F.col("kind") >= WINNOWED))
+        cases += _decide(written(suspects.select("file_id", "hash_key", "name_key").distinct().join(near, "name_key", "left"), "suspects"))
+    gone = store.spark.createDataFrame([], _CASES)
+    for some in cases:
+        gone = gone.unionByName(some)
+    return store.add(batch.join(gone.select("file_id"), "file_id", "left_anti"), gone)
+
+
+def add_batch(store: FingerprintStore, files: DataFrame) -> DataFrame:
+    """``(file_id_a, file_id_b)``: the files b of one batch that repeat a file a, accepted earlier or in this batch; the others are accepted.
+
+    Nulls, malformed hashes and rows with one id as in :func:`repeated_files`. Nothing of the history but the
+    filters of the batch's buckets and the fingerprints in buckets of positives is read.
+    """
+    batch = written(_prepared(files, F.lit(0).alias("batch")).drop("batch"), "batch")
+    return store.cases([_add_prepared(store, batch)])
 
 
-def repeated_files(files: DataFrame, buckets: int | None = None) -> DataFrame:
+def repeated_files(files: DataFrame, buckets: int | None = None, path: str | None = None) -> DataFrame:
     """``(file_id_a, file_id_b)``: each file b that repeats an accepted file a, found batch by batch.
 
     Files arrive by batch (null last) and ``file_id``; of rows with one id one counts, rows without id
     none. A null or malformed hash matches nothing, nor does a null name or one without letters and
-    digits. If several accepted files match, a is the first. An empty table gives no rows.
+    digits. If several accepted files match, a is the first. An empty table gives no rows. The store is
+    made in ``path``, which stays, or in a folder of this session.
     """
     spark = files.sparkSession
-    picked = files.select(F.col("file_id").cast("long").alias("file_id"), "filename", "sha256", F.coalesce(F.col("batch_no").cast("int"), F.lit(2**31 - 1)).alias("batch"))
-    picked = picked.filter("file_id is not null").groupBy("file_id").agg(F.min(F.struct("batch", "filename", "sha256")).alias("r")).select("file_id", "r.filename", "r.sha256", "r.batch")
-    path = new_folder(spark, "prepared")
-    picked.mapInArrow(_prepare, _PREPARED).write.partitionBy("batch").parquet(path)
-    prepared = spark.read.schema(_PREPARED).parquet(path)
+    folder = new_folder(spark, "prepared")
+    _prepared(files, F.coalesce(F.col("batch_no").cast("int"), F.lit(2**31 - 1)).alias("batch")).write.partitionBy("batch").parquet(folder)
+    prepared = spark.read.schema(_PREPARED).parquet(folder)
     sizes = {r.batch: r["count"] for r in prepared.groupBy("batch").count().collect()}  # one row a batch
-    store = FingerprintStore(spark, new_folder(spark, "store"), buckets or max(16, math.ceil(sum(sizes.values()) * 12 / 1_000_000)))
-    found = []
-    for number in sorted(sizes):
-        small = sizes[number] <= BROADCAST_ROWS // 4
-        pack = _Packing(small)
-        batch = pack(prepared.filter(F.col("batch") == number).drop("batch"))
-        prints = _prints(batch)
-        rows = pack(written(pack.join(prints, store.screen(prints, small), "fp"), "rows"))
-        cases: list[DataFrame] = []
-        suspects = rows.filter("shared")
-        if store.layers:
-            # (file, accepted file) pairs under a common key, or under enough common fingerprints
-            past = store.rows(rows.filter("seen").select("fp").distinct(), small)
-            hits = pack.join(rows.filter("seen"), past, ["fp", "kind"]).groupBy("file_id", "a")
-            hits = hits.agg(F.min("kind").alias("kind"), F.max("kind").alias("last"), F.count("*").alias("n"), F.max("words").alias("words"), F.max("a_words").alias("a_words"), F.max("size").alias("size"), F.max("a_size").alias("a_size"))
-            alike = (F.col("kind") < WINNOWED) | (((F.col("last") == SLIP) | (F.col("n") >= COVERAGE * F.least("size", "a_size"))) & _same("words", "a_words"))
-            old = pack(written(pack(hits.filter(alike)).groupBy("file_id").agg(F.min("a").alias("a")), "old"))
-            cases.append(old)
-            suspects = pack.minus(suspects, old, "file_id")
-        near = _near_names(suspects.filter(F.col("kind") >= WINNOWED), pack)
-        suspects = pack.join(pack(suspects.select("file_id", "hash_key", "name_key")).distinct(), near, "name_key", "left")
-        cases += _decide(written(suspects, "suspects"), pack)
-        gone = reduce(DataFrame.unionByName, cases)
-        found.append(gone)
-        store.add(pack.minus(batch, gone, "file_id"), 12 * sizes[number], small)
-    pairs = reduce(DataFrame.unionByName, found, spark.createDataFrame([], "file_id long, a long"))
-    return pairs.select(F.col("a").alias("file_id_a"), F.col("file_id").alias("file_id_b"))
+    store = FingerprintStore(spark, path or new_folder(spark, "store"), buckets or max(8, math.ceil(sum(sizes.values()) * 20 / BUCKET_KEYS)))
+    layers = [_add_prepared(store, prepared.filter(F.col("batch") == number).drop("batch")) for number in sorted(sizes)]
+    return store.cases(layers)

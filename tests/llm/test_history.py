@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tessera.llm.filenames import canonical_hash, canonical_name, damerau, fingerprints, same_words, slip_prints
-from tessera.llm.history import repeated_files
+from tessera.llm.history import FingerprintStore, add_batch, repeated_files
 
 FILES = "file_id long, filename string, sha256 string, batch_no int, fp string, a int"
 
@@ -46,10 +46,10 @@ def test_names_that_say_the_same():
     assert len(set(fingerprints(("cable", "norvel", "plan"), ("1",))) & set(fingerprints(("cable", "norvle", "plan"), ("1",)))) >= 2
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_equals_brute_force_over_batches(spark, spread, monkeypatch):
-    if spread:  # batches beyond the bound are not packed into one partition
-        monkeypatch.setattr("tessera.llm.history.BROADCAST_ROWS", 4)
+@pytest.mark.parametrize("merged", [False, True])
+def test_equals_brute_force_over_batches(spark, merged, monkeypatch):
+    if merged:  # layers are merged as they come
+        monkeypatch.setattr("tessera.llm.history.MERGE", 2)
     rng = random.Random(1)
     kinds, firms = ["Cable Plan", "Work Plan", "Stock Count"], ["Norvel Rail", "Taskan Bank", "Dovric Clinic"]
     rows = []
@@ -98,3 +98,29 @@ def test_short_names_with_slips_equal_brute_force(spark):
         a, b = tuple(sorted(words)), tuple(sorted(other.split()))
         if max(len("".join(a)), len("".join(b))) <= 24 and b and same_words(a, b):
             assert set(slip_prints(a, ("1",))) & set(slip_prints(b, ("1",))), (a, b)
+
+
+def test_a_store_is_opened_again(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    make = lambda rows: spark.createDataFrame(rows, FILES)
+    first = add_batch(FingerprintStore(spark, path, 4), make([(1, "a/Work Plan Norvel 1.txt", h(1), 0, "x", 1), (2, "a/Stock Count 2.txt", h(2), 0, "x", 1)]))
+    assert first.count() == 0
+    again = FingerprintStore(spark, path, 99)  # as in a later session; the number of buckets is the store's
+    assert again.buckets == 4 and len(again.layers()) == 1
+    got = add_batch(again, make([(3, "b/WORK-PLAN Norvle 1.pdf", h(3), 1, "x", 1), (4, "b/Other 7.txt", h(2), 1, "x", 1), (5, "c/New 8.txt", h(5), 1, "x", 1), (6, "c/new_8.txt", h(6), 1, "x", 1)]))
+    assert {(r.file_id_a, r.file_id_b) for r in got.collect()} == {(1, 3), (2, 4), (5, 6)}
+    third = FingerprintStore(spark, path)
+    assert {(r.file_id_a, r.file_id_b) for r in add_batch(third, make([(7, "d/New 8.doc", h(7), 2, "x", 1)])).collect()} == {(5, 7)}
+    assert third.cases().count() == 4
+
+
+def test_a_batch_that_failed_leaves_nothing(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/store"
+    rows = spark.createDataFrame([(1, "a/Work Plan 1.txt", h(1), 0, "x", 1)], FILES)
+    monkeypatch.setattr("tessera.llm.history.publish", lambda *_: False)
+    with pytest.raises(Exception):
+        add_batch(FingerprintStore(spark, path, 4), rows)
+    monkeypatch.undo()
+    store = FingerprintStore(spark, path, 4)
+    assert store.layers() == [] and add_batch(store, rows).count() == 0
+    assert {(r.file_id_a, r.file_id_b) for r in add_batch(store, spark.createDataFrame([(2, "b/Work Plan 1.txt", None, 1, "x", 1)], FILES)).collect()} == {(1, 2)}
