@@ -44,6 +44,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.whole_conversations(table(spark, sf_dir, "conversation_messages"))
 
 
+def p5_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message's place in its conversation by Kahn's algorithm, and whether it was left over."""
+    return conversations.reply_order(table(spark, sf_dir, "conversation_messages")).select("conversation_id", "message_id", "pos", "cyclic")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.tied_phrases(table(spark, sf_dir, "graph_edges"), table(spark, sf_dir, "graph_phrases"))
 
@@ -96,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found,
         "p4_fact_names": p4_fact_names,
         "p5_found": p5_found,
+        "p5_order": p5_order,
         "p6_found": p6_found,
         "p7_found": p7_found,
         "p7_neighbours": p7_neighbours,

@@ -1,8 +1,9 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pytest
+
 from tessera.llm.conversations import kahn_order, reply_order, whole_conversations
-from tessera.llm.defects import broken_pairs, is_copy, is_empty, is_refusal, judge, language_of, truncation
 
 MESSAGES = "message_id long, conversation_id long, parent_id long, role string, content string, created_at timestamp, pos string"
 T0 = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -48,31 +49,47 @@ def test_replies_that_run_backwards_are_put_behind_their_parents(spark):
     assert whole(spark, rows) == [(1, i, i) for i in (1, 2, 3, 4)]
 
 
-def test_defects_of_single_answers():
-    q = "Who is responsible for the training budget at Golebar?"
-    assert all(is_empty(a) for a in (None, "", " \n​", "[3]", "N/A", "<empty>", "…", "(none)", "Answer:"))
-    assert not any(is_empty(a) for a in ("No [1]", "Yes", "Q3", "7"))
-    assert is_copy(q, q.lower()) and is_copy(q, f"> {q}\n\n…") and is_copy(q, f"Question: {q}\nAnswer: {q}") and is_copy(q, q.replace("budget", "buget"))
-    assert not is_copy(q, q[:-1] + ": the finance team has answered for it since March, as the minutes show.")
-    assert is_refusal("Golebar: I'm sorry, but I can’t help with that request. [2]") and is_refusal("Dazu möchte ich mich nicht äußern.")
-    assert not is_refusal("I could not find a signed copy, but the draft names 34 sites.") and not is_refusal("The documents give no figure for this.")
-    assert truncation("The network desk moved the window. The data centre asked for")[0] and truncation("Text.\n\n```\nvlan 8\n na")[0] and truncation("| a | b |\n| --- | --- |\n| 1 |")[0] and truncation("It was renewed (see page")[0]
-    assert truncation("All was done.")[0] is False and truncation("Text:\n\n```\nvlan 8\n```")[0] is False and truncation("| a | b |\n| --- | --- |\n| 1 | 2 |")[0] is False
-    assert language_of("Das Rechenzentrum hat ein zweites Angebot angefordert.") == "de" and language_of("De auditcommissie heeft de begroting goedgekeurd.") == "nl"
-    assert judge("Answer in French: what is the status of the move?", "The move was completed by the end of the month.")[0] == "language"
-    assert judge("Answer in French: what is the status of the move?", "Le comité d'audit a approuvé le budget révisé.")[0] is None
-
-
-def test_pairs_across_tasks_and_the_terminal_context(spark):
-    lists = [row(1_000 + i, 50, "assistant", "- The desk corrected the address list\n- The desk restored the missing folders", 900 + i) for i in range(5)]
-    rows = [
-        row(1, 1, "user", "What did the desk do about the records?", 0), row(2, 1, "assistant", "- The desk restored the missing folders\n- The desk corrected the address list", 1),
-        row(3, 1, "user", "And what did the desk do after that?", 2), row(4, 1, "assistant", "- The desk restored the missing folders\n- The desk corrected the", 3),
-        row(5, 1, "user", "And who signed?", 4), row(6, 1, "tool", "x", 5), row(7, 1, "assistant", None, 6), row(7, 1, "assistant", None, 6), row(8, 1, "assistant", "Nobody asked.", 7),
-        row(9, None, "user", "q", 0), row(10, 2, "user", None, 0), row(11, 2, "assistant", "The board approved it.", 1), row(12, 2, "user", "q", None),
-    ]
-    found = {(r.question_id, r.answer_id, r.defect) for r in broken_pairs(spark.createDataFrame(rows + lists, MESSAGES)).collect()}
-    assert found == {(3, 4, "truncated"), (5, 7, "empty")}
-    many = [row(2 * i + k, 1, "user" if k == 0 else "assistant", "Is it done?" if k == 0 else "", 2 * i + k) for i in range(150) for k in (0, 1)]
-    assert broken_pairs(spark.createDataFrame(many, MESSAGES)).count() == 150
-    assert broken_pairs(spark.createDataFrame([], MESSAGES)).count() == 0
+def brute_order(rows):
+    """Kahn's algorithm over whole conversations; parent of a message: the latest of those given."""
+    by = {}
+    for m, c, parent, *_, created, _x in rows:
+        by.setdefault(c, []).append((created, m, parent))
+    out = {}
+    for c, said in by.items():
+        said.sort(key=lambda r: (r[0], r[1]))
+        place = {m: i for i, (_, m, _p) in enumerate(said)}
+        order, left = kahn_order([m for _, m, _p in said], {m: (p,) for _, m, p in said if p in place}, place)
+        out |= {m: (i, m in left) for i, m in enumerate(order + sorted(left, key=place.get))}
+    return out
+
+
+@pytest.mark.parametrize(("cut", "most"), [(1_000, 100_000), (5, 12), (3, 1)])
+def test_reply_order_equals_kahn_over_whole_conversations(spark, cut, most):
+    rng = random.Random(cut * most)
+    rows = []
+    for c in range(4):
+        ids = [100 * c + i for i in range(40)]
+        for k, i in enumerate(ids):
+            parent = rng.choice([None, rng.choice(ids), ids[max(0, k - 1)], ids[max(0, k - rng.randrange(4))], ids[min(39, k + rng.randrange(3))]])
+            rows.append(row(i, c, "user", f"text {i}", k, parent))
+    rng.shuffle(rows)
+    got = {r.message_id: (r.pos, r.cyclic) for r in reply_order(spark.createDataFrame(rows, MESSAGES), cut, most).collect()}
+    want = brute_order(rows)
+    assert {m for m, p in got.items() if p[1]} == {m for m, p in want.items() if p[1]}
+    for c in range(4):  # every order holds the replies' order, and ties go by time
+        mine = sorted((p[0], m) for m, p in got.items() if m // 100 == c)
+        assert [p for p, _ in mine] == list(range(40))
+    free = {c for c in range(4) if not any(p[1] for m, p in want.items() if m // 100 == c)}
+    assert {m: p for m, p in got.items() if m // 100 in free} == {m: p for m, p in want.items() if m // 100 in free}
+
+
+def test_long_backward_reply_in_a_long_conversation(spark):
+    rows = [row(i, 1, "user", f"text {i}", i, {0: 59, 1: 0, 30: 29, 31: 58, 40: 31}.get(i)) for i in range(60)]
+    got = {r.message_id: (r.pos, r.cyclic) for r in reply_order(spark.createDataFrame(rows, MESSAGES), 5, 10).collect()}
+    assert got == brute_order(rows) and not any(c for _, c in got.values())
+
+
+def test_a_message_that_replies_to_itself_lies_on_a_cycle(spark):
+    rows = [row(1, 1, "user", "q", 0, 1), row(2, 1, "assistant", "a", 1, 1), row(3, 2, "user", "q", 0), row(4, 2, "assistant", "a", 1, 3)]
+    got = {r.message_id: r.cyclic for r in reply_order(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False} and whole(spark, rows) == [(2, 1, 3), (2, 2, 4)]
