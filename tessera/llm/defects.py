@@ -4,12 +4,14 @@ Pairs are neighbours in the order of a conversation. Messages are range-partitio
 and time, so a conversation with most of the rows is spread over many tasks; one pass pairs the
 neighbours and judges them, and the rows at the partitions' ends are paired in a second, tiny pass.
 
-* copy: the answer is compressed with zstandard, with the question as dictionary; a copy leaves
-  almost nothing to encode.
+* copy: the answer is compressed with zstandard, with the question as dictionary, and the question
+  with the answer as dictionary; a copy leaves almost nothing to encode either way. Letters are spread
+  to several bytes first, so that short texts too compress by what they share.
 * refusal, empty, language: dictionaries.
-* truncated: the structure of fences, tables and brackets, and a terminal-context model of where
-  lines end: how often the last two words end a line and how often a line goes on after them,
-  counted over all answers.
+* truncated: a terminal-context model. An answer ends in a context: an open fence, bracket or table
+  row, a mark, a list item or a line with its last two words. Within all answers it is counted how
+  often the text goes on in such a context and how often a line ends there; an answer is truncated if
+  it ends where, by these counts and a weak prior, ending has a probability below ``LEAST_END``.
 """
 
 from __future__ import annotations
@@ -18,15 +20,28 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm.conversations import ASSISTANT, USER, turns
 from tessera.session import parallelism, written
 
+#: Bytes that a letter is spread to before compression, and where one of the texts has fewer than ``FEW_LETTERS``.
+SPREAD, SPREAD_SHORT, FEW_LETTERS = 6, 16, 24
+#: A copy leaves at most this share of the compressed answer, and of the question given the answer, to encode, or so few bytes.
+COPY_SHARE, COPY_BACK, COPY_BYTES = 0.33, 0.2, 14
+#: An answer is truncated if ending in its context is less probable than this.
+LEAST_END = 0.01
+#: Weight of the prior against one count.
+PRIOR_WEIGHT = 0.02
+#: Contexts to be judged are sent to all tasks if they are no more than this; else they are joined.
+BROADCAST_CONTEXTS = 100_000
+
 # Function words by language.
 FUNCTION_WORDS = {
     "en": "the of and to in is was were that with for on as by at from this which are has have had its it be or not an a all who what when how much did does about our their although while because after before during following under without within any why explain list which when please our they been will would should can into than then there being against between year last next each every",
@@ -48,24 +63,24 @@ LANGUAGE_NAMES = {
     "nl": "dutch néerlandais neerlandais niederländisch niederlandisch neerlandés holandés holandês neerlandês olandese nederlands",
     "am": "amharic amharique amharisch amhárico amárico amarico amaarico amhaars",
 }
-# What a declined answer says.
+# What a declined answer says; a pattern is tried only where one of its literal parts stands.
 REFUSALS = [
-    r"\b(?:can(?:no|')?t|can not|won't|will not|(?:am|'m) (?:un|not )able to|unable to|not allowed to|not permitted to|(?:am|'m) afraid i can't) (?:be able to )?(?:help|assist|answer|comply|provide|discuss|respond|share|do that|fulfil|fulfill|complete (?:this|that) request|support)\b",
-    r"\bwon't be (?:able to (?:help|assist|answer|provide|discuss)|answering|discussing|helping)\b",
-    r"\b(?:i am|i'm) (?:unable|not able) to (?:comply|help|assist|answer|provide|discuss)\b",
-    r"\bagainst my (?:guidelines|policy|policies|rules)\b|\boutside (?:of )?what i am allowed\b",
-    r"\bnot something i (?:can|could|am able to|may) (?:get into|discuss|talk about|help with|answer|comment on)\b",
-    r"\b(?:would|'d|had) rather not (?:comment|say|answer|discuss|talk)\b|\bprefer not to (?:comment|say|answer|discuss)\b",
-    r"\b(?:must|have to|need to) decline\b|\bi decline\b|\bno comment on\b",
-    r"\blet's talk about something else\b|\bdo not feel comfortable (?:answering|discussing|with)\b|\bdon't feel comfortable\b",
-    r"\bne (?:peux|puis|pouvons|suis) pas (?:autorisée? à |en mesure de |vous )?(?:répondre|aider|fournir|commenter|discuter)\b|\bimpossible de (?:vous )?(?:aider|répondre)\b|\bpréfère ne pas (?:me prononcer|répondre|commenter|en parler)\b",
-    r"\bne suis pas (?:autorisée?|habilitée?) à\b|\bje dois (?:décliner|refuser)\b",
-    r"\bdabei (?:kann|darf) ich (?:leider )?nicht helfen\b|\bkann ich (?:leider )?nicht (?:beantworten|helfen|sagen|weiterhelfen)\b|\bdarf ich (?:leider )?nicht (?:beantworten|sagen|besprechen)\b|\bmöchte ich mich nicht äußern\b|\bich (?:kann|darf|möchte) (?:dazu |diese (?:frage|anfrage) |ihnen |dir |dabei )?(?:leider )?nicht (?:beantworten|helfen|antworten|weiterhelfen|sagen)\b",
-    r"\bno (?:puedo|podemos) (?:ayudar|responder|contestar|comentar|proporcionar)|\bno me (?:está|es) (?:permitido|posible) (?:responder|contestar|ayudar|hablar)|\bprefiero no (?:pronunciarme|responder|comentar|hablar)|\bdebo (?:negarme|declinar)",
-    r"\bnão posso (?:ajudar|responder|comentar|fornecer)|\bprefiro não (?:responder|comentar|me pronunciar)|\bnão (?:me é|estou) (?:permitido|autorizad[oa])",
-    r"\bnon posso (?:aiutar|rispondere|commentare|fornire)|\bpreferisco non (?:rispondere|commentare|pronunciarmi)|\bnon mi è (?:permesso|consentito)",
-    r"\bkan (?:ik )?(?:u |je )?(?:daar |hier |daarbij |hierbij )?(?:helaas )?niet (?:mee |bij )?(?:helpen|beantwoorden|antwoorden)\b|\b(?:mag|wil) ik (?:helaas )?niet (?:beantwoorden|bespreken|zeggen)\b|\bliever niet\b",
-    r"ይቅርታ.*(?:አልችልም|አይቻለኝም|መርዳት አልችልም)",
+    ("can't|cannot|cant|can not|won't|will not|able to|allowed to|permitted to|afraid i", r"\b(?:can(?:no|')?t|can not|won't|will not|(?:am|'m) (?:un|not )able to|unable to|not allowed to|not permitted to|(?:am|'m) afraid i can't) (?:be able to )?(?:help|assist|answer|comply|provide|discuss|respond|share|do that|fulfil|fulfill|complete (?:this|that) request|support)\b"),
+    ("won't be", r"\bwon't be (?:able to (?:help|assist|answer|provide|discuss)|answering|discussing|helping)\b"),
+    ("unable|not able", r"\b(?:i am|i'm) (?:unable|not able) to (?:comply|help|assist|answer|provide|discuss)\b"),
+    ("against my|outside ", r"\bagainst my (?:guidelines|policy|policies|rules)\b|\boutside (?:of )?what i am allowed\b"),
+    ("not something i", r"\bnot something i (?:can|could|am able to|may) (?:get into|discuss|talk about|help with|answer|comment on)\b"),
+    ("rather not|prefer not", r"\b(?:would|'d|had) rather not (?:comment|say|answer|discuss|talk)\b|\bprefer not to (?:comment|say|answer|discuss)\b"),
+    ("decline|no comment on", r"\b(?:must|have to|need to) decline\b|\bi decline\b|\bno comment on\b"),
+    ("talk about something else|comfortable", r"\blet's talk about something else\b|\bdo not feel comfortable (?:answering|discussing|with)\b|\bdon't feel comfortable\b"),
+    ("pas |impossible|préfère ne", r"\bne (?:peux|puis|pouvons|suis) pas (?:autorisée? à |en mesure de |vous )?(?:répondre|aider|fournir|commenter|discuter)\b|\bimpossible de (?:vous )?(?:aider|répondre)\b|\bpréfère ne pas (?:me prononcer|répondre|commenter|en parler)\b"),
+    ("suis pas|je dois", r"\bne suis pas (?:autorisée?|habilitée?) à\b|\bje dois (?:décliner|refuser)\b"),
+    ("nicht", r"\bdabei (?:kann|darf) ich (?:leider )?nicht helfen\b|\bkann ich (?:leider )?nicht (?:beantworten|helfen|sagen|weiterhelfen)\b|\bdarf ich (?:leider )?nicht (?:beantworten|sagen|besprechen)\b|\bmöchte ich mich nicht äußern\b|\bich (?:kann|darf|möchte) (?:dazu |diese (?:frage|anfrage) |ihnen |dir |dabei )?(?:leider )?nicht (?:beantworten|helfen|antworten|weiterhelfen|sagen)\b"),
+    ("puedo|podemos|me está|me es|prefiero|debo ", r"\bno (?:puedo|podemos) (?:ayudar|responder|contestar|comentar|proporcionar)|\bno me (?:está|es) (?:permitido|posible) (?:responder|contestar|ayudar|hablar)|\bprefiero no (?:pronunciarme|responder|comentar|hablar)|\bdebo (?:negarme|declinar)"),
+    ("não", r"\bnão posso (?:ajudar|responder|comentar|fornecer)|\bprefiro não (?:responder|comentar|me pronunciar)|\bnão (?:me é|estou) (?:permitido|autorizad[oa])"),
+    ("non ", r"\bnon posso (?:aiutar|rispondere|commentare|fornire)|\bpreferisco non (?:rispondere|commentare|pronunciarmi)|\bnon mi è (?:permesso|consentito)"),
+    ("niet|liever", r"\bkan (?:ik )?(?:u |je )?(?:daar |hier |daarbij |hierbij )?(?:helaas )?niet (?:mee |bij )?(?:helpen|beantwoorden|antwoorden)\b|\b(?:mag|wil) ik (?:helaas )?niet (?:beantwoorden|bespreken|zeggen)\b|\bliever niet\b"),
+    ("ይቅርታ", r"ይቅርታ.*(?:አልችልም|አይቻለኝም|መርዳት አልችልም)"),
 ]
 # Stand-ins for an answer that is not there.
 STAND_INS = frozenset(
@@ -74,8 +89,13 @@ STAND_INS = frozenset(
     "keine antwort|sans réponse|sin respuesta|sem resposta|nessuna risposta|geen antwoord".split("|")
 )
 
+_VISIBLE = re.compile(r"[^\W_]")
+_LONGEST = max(map(len, STAND_INS))
 _CITATION = re.compile(r"\s*\[\d+(?:\s*,\s*\d+)*\]")
-_REFUSAL = re.compile("|".join(REFUSALS))
+_REFUSALS = [(tuple(parts.split("|")), re.compile(pattern)) for parts, pattern in REFUSALS]
+_FENCED = re.compile(r"(?s)```.*?(?:```|$)")
+_ETHIOPIC = re.compile("[\u1200-\u137f]")
+_DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _SENTENCE_END = re.compile(r"[.!?。！？።፧‽][\"'»”’)\]*_`]*$")
 _CLOSING = {")": "(", "]": "[", "}": "{"}
@@ -89,16 +109,24 @@ _SPOKEN = {word: tuple(lang for lang in _LEXICON if word in _LEXICON[lang]) for
 _ENDINGS = [
     ("ciones", ("es",)), ("ción", ("es",)), ("ções", ("pt",)), ("ção", ("pt",)), ("zione", ("it",)), ("zioni", ("it",)), ("mente", ("es", "pt", "it")),
     ("ungen", ("de",)), ("ung", ("de",)), ("keit", ("de",)), ("heid", ("nl",)), ("ingen", ("nl",)), ("aient", ("fr",)), ("eux", ("fr",)), ("eur", ("fr",)),
-    ("ing", ("en",)), ("ness", ("en",)), ("ted", ("en",)), ("ned", ("en",)), ("sed", ("en",)), ("wed", ("en",)), ("yed", ("en",)), ("ías", ("es",)), ("ía", ("es",)), ("ó", ("es",)), ("ou", ("pt",)), ("ato", ("it",)), ("ito", ("it",)), ("uto", ("it",)),
+    ("ing", ("en",)), ("ness", ("en",)), *((f"{c}ed", ("en",)) for c in "bcdfghjklmnpqrstvwxyz"), ("ías", ("es",)), ("ía", ("es",)), ("ó", ("es",)), ("ou", ("pt",)), ("ato", ("it",)), ("ito", ("it",)), ("uto", ("it",)),
     ("ado", ("es", "pt")), ("ados", ("es", "pt")), ("lijk", ("nl",)), ("lijke", ("nl",)), ("és", ("fr",)), ("ée", ("fr",)),
 ]
 _LETTERS = {"¿": ("es",), "¡": ("es",), "ñ": ("es",), "ß": ("de",), "ã": ("pt",), "õ": ("pt",), "ä": ("de",), "ö": ("de",), "œ": ("fr",), "ê": ("fr", "pt"), "ç": ("fr", "pt"), "ù": ("fr", "it"), "ò": ("it",), "ì": ("it",)}
 
 
+@lru_cache(maxsize=16)
 def plain(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("’", "'").replace("‘", "'").lower()
 
 
+@lru_cache(maxsize=200_000)
+def _signs(word: str) -> tuple[str, ...]:
+    """The languages that a word speaks for."""
+    spoken = _SPOKEN.get(word)
+    return next((langs for ending, langs in _ENDINGS if len(word) > len(ending) + 1 and word.endswith(ending)), ()) if spoken is None else spoken
+
+
 def language_of(text: str, least: float = 1.0) -> str | None:
     """Language by function words, word endings and letters, or None if they speak too softly or for two languages.
 
@@ -106,16 +134,14 @@ def language_of(text: str, least: float = 1.0) -> str | None:
     """
     if not text:
         return None
-    text = re.sub(r"(?s)```.*?(?:```|$)", " ", text)
-    ethiopic = sum("\u1200" <= c <= "\u137f" for c in text)
-    if ethiopic * 2 > sum(c.isalpha() for c in text):
-        return "am" if ethiopic >= 4 else None
+    text = _FENCED.sub(" ", text)
+    if _ETHIOPIC.search(text):
+        ethiopic = len(_ETHIOPIC.findall(text))
+        if ethiopic * 2 > sum(c.isalpha() for c in text):
+            return "am" if ethiopic >= 4 else None
     scores = dict.fromkeys(_LEXICON, 0.0)
     for word in (p for w in _WORD.findall(plain(text)) for p in w.split("'")):
-        spoken = _SPOKEN.get(word)
-        if spoken is None:
-            spoken = next((langs for ending, langs in _ENDINGS if len(word) > len(ending) + 1 and word.endswith(ending)), ())
-        for lang in spoken:
+        for lang in (spoken := _signs(word)):
             scores[lang] += 1 / len(spoken)
     for letter, langs in _LETTERS.items():
         if letter in text:
@@ -134,52 +160,83 @@ def asked_language(question: str) -> str | None:
     return None
 
 
-def residual(question: str, answer: str) -> tuple[int, int]:
-    """Compressed bytes of the answer with and without the question as zstandard dictionary, without frame overhead."""
-    data, prompt = answer.encode("utf-8", "surrogatepass"), question.encode("utf-8", "surrogatepass")
-    options = zstandard.ZstdCompressionParameters(compression_level=9, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3, window_log=min(27, max(10, len(prompt + data).bit_length() + 1)))
-    base = len(zstandard.ZstdCompressor(compression_params=options).compress(b""))
-    alone = len(zstandard.ZstdCompressor(compression_params=options).compress(data)) - base
+@lru_cache(maxsize=8_192)
+def _code(letter: str, size: int) -> bytes:
+    return xxhash.xxh3_128_digest(letter.encode("utf-8", "surrogatepass"))[:size]
+
+
+@lru_cache(maxsize=64)
+def _options(log: int) -> tuple[zstandard.ZstdCompressionParameters, zstandard.ZstdCompressor, int]:
+    """Parameters for texts of up to ``2 ** log`` bytes, a compressor without dictionary, and what it makes of nothing."""
+    options = zstandard.ZstdCompressionParameters(
+        window_log=max(10, log), hash_log=max(7, min(log, 22)), chain_log=max(7, min(log, 22)), search_log=4, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0
+    )
+    plain_compressor = zstandard.ZstdCompressor(compression_params=options)
+    return options, plain_compressor, len(plain_compressor.compress(b""))
+
+
+def residual(prompt: bytes, data: bytes) -> tuple[int, int]:
+    """Compressed bytes of ``data`` with and without ``prompt`` as zstandard dictionary, without frame overhead."""
+    options, alone, base = _options(min(27, (len(prompt) + len(data)).bit_length()))
     given = zstandard.ZstdCompressionDict(prompt, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return len(zstandard.ZstdCompressor(compression_params=options, dict_data=given).compress(data)) - base, alone
+    with_prompt = zstandard.ZstdCompressor(compression_params=options, dict_data=given)
+    return len(with_prompt.compress(data)) - base, len(alone.compress(data)) - base
 
 
-def _letters(text: str) -> str:
-    return " ".join(_WORD.findall(plain(text)))
+def _letters(text: str) -> list[str]:
+    return _WORD.findall(plain(text))
 
 
 def is_copy(question: str, answer: str) -> bool:
-    """The answer gives back the question, perhaps lightly altered or several times, and nothing more."""
+    """The answer gives back the question, perhaps lightly altered or several times, and nothing more.
+
+    Decided by compression alone. Two texts whose distinct words have less than a quarter of their letters
+    in common leave more to encode than a copy may, so they are not compressed.
+    """
     q, a = _letters(question), _letters(_CITATION.sub(" ", answer))
-    if len(q) < 8 or len(a) < 0.6 * len(q):
+    if not q or not a:
         return False
-    slack = max(14, len(q) // 4)
-    times = a.count(q)
-    if times and len(a) - times * len(q) <= slack + 9 * (times - 1):
-        return True
-    if abs(len(a) - len(q)) > 0.35 * len(q):
+    asked, said = set(q), set(a)
+    if len(said) > 3 and len(asked) > 3:
+        common = sum(map(len, asked & said))
+        if common * 4 < min(sum(map(len, asked)), sum(map(len, said))):
+            return False
+    q, a = " ".join(q), " ".join(a)
+    size = SPREAD_SHORT if min(len(q), len(a)) < FEW_LETTERS else SPREAD
+    prompt, data = (b"".join(_code(c, size) for c in text) for text in (q, a))
+    left, alone = residual(prompt, data)
+    if left > max(COPY_BYTES, COPY_SHARE * alone):
         return False
-    with_question, alone = residual(q, a)
-    return with_question <= max(12, 0.45 * alone)
+    back, alone = residual(data, prompt)
+    return back <= max(COPY_BYTES, COPY_BACK * alone)
 
 
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
     rest = _CITATION.sub(" ", answer)
+    if len(_VISIBLE.findall(rest)) > _LONGEST:
+        return False  # letters or figures, and more of them than any stand-in has
     text = "".join(c for c in rest if not c.isspace() and unicodedata.category(c) not in ("Cf", "Cc")).lower()
     spaced = " ".join(plain(rest).split()).strip()
     return not any(c.isalnum() for c in text) or text in STAND_INS or spaced in STAND_INS or spaced.rstrip(".:") in STAND_INS
 
 
+def _declines(text: str) -> bool:
+    return any(any(p in text for p in parts) and pattern.search(text) for parts, pattern in _REFUSALS)
+
+
 def is_refusal(answer: str) -> bool:
-    """Declines, in a text too short to hold an answer besides."""
+    """Declines in at least half of what it says, or in any of it if that is short; other text may be an answer besides."""
     text = " ".join(plain(_CITATION.sub(" ", answer)).split())
-    return len(text) <= 400 and bool(_REFUSAL.search(text))
+    if len(text) <= 400 or not _declines(text):
+        return _declines(text)
+    sentences = [s for s in re.split(r"(?<=[.!?።])\s+", text) if s]
+    return 2 * sum(len(s) for s in sentences if _declines(s)) >= len(text)
 
 
 def _masked(word: str) -> str:
-    return re.sub(r"\d+", "0", word)
+    return word if word.isalpha() else _DIGITS.sub("0", word)
 
 
 def context_key(words: list[str]) -> str:
@@ -211,67 +268,76 @@ def _open_brackets(text: str) -> bool:
     return bool(stack)
 
 
-def truncation(answer: str) -> tuple[bool | None, str | None, str | None]:
-    """(cut or not, None if a context decides; the context; "list", "start" or "short")."""
+#: Contexts an answer may end in, and how probable it is beforehand that a text is complete there.
+CONTEXTS = {
+    "stop": 0.99, "block": 0.99, "row": 0.99, "name": 0.99, "short": 0.5,
+    "fence": 0.005, "part of a row": 0.005, "bracket": 0.005, "ellipsis": 0.005, "mark": 0.005, "number": 0.005, "line": 0.005, "unlike": 0.005, "item": 0.005, "start": 0.005, "word": 0.005,
+}
+
+
+def terminal_context(answer: str) -> tuple[str, str]:
+    """(kind, context) in which the answer ends; for items and short lines the context is the last two words, else it is the kind."""
+
+    def of(kind: str, words: list[str] | None = None) -> tuple[str, str]:
+        return kind, context_key(words) if words else f"#{kind}"
+
     text = answer.strip()
     if text.count("```") % 2:
-        return True, None, None
+        return of("fence")
     if text.endswith("```"):
-        return False, None, None
+        return of("block")
     lines = text.split("\n")
     if lines[-1].lstrip().startswith("|"):
-        return _table_cut(lines), None, None
+        return of("part of a row" if _table_cut(lines) else "row")
     body = _CITATION.sub("", text).rstrip()
-    outside = re.sub(r"(?s)```.*?```", " ", _LIST_MARK.sub("", body))
-    if _open_brackets(outside):
-        return True, None, None
+    if _open_brackets(re.sub(r"(?s)```.*?```", " ", _LIST_MARK.sub("", body))):
+        return of("bracket")
     if not body:
-        return False, None, None
+        return of("stop")
     last_line = body.split("\n")[-1]
     if body.endswith(("…", "...")):
-        return True, None, None
-    if _SENTENCE_END.search(body):
-        item = _LIST_LINE.match(last_line)
-        return (True, None, None) if item is None and re.fullmatch(r"\s*\d+[.)]", last_line) else (False, None, None)
-    if body[-1] in ",;:-–—/(":
-        return True, None, None
+        return of("ellipsis")
     item = _LIST_LINE.match(last_line)
+    if _SENTENCE_END.search(body):
+        return of("number" if item is None and _BARE_NUMBER.fullmatch(last_line) else "stop")
+    if body[-1] in _MARKS:
+        return of("mark")
     if item:
         # where the items before end with a full stop, so must the last
         others = [m.group(1).rstrip() for m in map(_LIST_LINE.match, body.split("\n")[:-1]) if m]
         if others and all(_SENTENCE_END.search(_CITATION.sub("", o).rstrip()) for o in others):
-            return True, None, None
+            return of("unlike")
         words = _WORD.findall(plain(item.group(1)))
-        return (None, context_key(words), "list") if words else (True, None, None)
+        return of("item", words) if words else of("mark")
     words = _WORD.findall(plain(last_line))
     if len(_WORD.findall(body)) > 6 or "\n" in body.strip():
-        return True, None, None
+        return of("line")
     if len(words) < 2:
-        return bool(words) and words[0] in _SPOKEN and words[0] not in _YES_NO, None, None
-    # four or more words without a figure look like the start of a sentence: cut unless lines are known to end so
-    start = len(words) > 3 and all(w.isalpha() for w in words[-3:])
-    return None, context_key(words), "start" if start else "short"
+        return of("word" if words and words[0] in _SPOKEN and words[0] not in _YES_NO else "name")
+    # four or more words without a figure look like the start of a sentence
+    return of("start" if len(words) > 3 and all(w.isalpha() for w in words[-3:]) else "short", words)
 
 
 _YES_NO = frozenset("no non nein não nee all alle none todos todas tous toutes".split())
 _LIST_MARK = re.compile(r"(?m)^\s*(?:\d+|[a-zA-Z])\)\s")
+_BARE_NUMBER = re.compile(r"\s*\d+[.)]")
+_MARKS = ",;:-–—/("
 
 
 def judge(question: str | None, answer: str | None) -> tuple[str | None, str | None, str | None]:
-    """(defect, context that decides whether the answer is truncated, kind of its line)."""
+    """(defect, context that decides whether the answer is truncated, kind of the context); without context the defect is sure."""
     if is_empty(answer):
         return "empty", None, None
     question = question or ""
-    if is_copy(question, answer):
+    bare = _CITATION.sub(" ", answer)
+    if is_copy(question, bare):
         return "copy", None, None
-    if is_refusal(answer):
+    if is_refusal(bare):
         return "refusal", None, None
-    cut, context, kind = truncation(answer)
-    if cut:
-        return "truncated", None, None
+    kind, context = terminal_context(answer)
     wanted = asked_language(question) or language_of(question)
     if wanted:
-        got = language_of(answer, 1.5)
+        got = language_of(bare, 1.5)
         if got and got != wanted:
             return "language", context, kind
     return None, context, kind
@@ -311,22 +377,64 @@ def _judge_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"question_id": b.question_id, "answer_id": b.answer_id, "defect": [f[0] for f in found], "context": [f[1] for f in found], "line": [f[2] for f in found]})
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often two words in a row end an unpunctuated list item that is not the last line, and how often a line goes on after them."""
-    for batch in batches:
-        ends: Counter = Counter()
-        inside: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            lines = _CITATION.sub("", text).split("\n")
-            for i, line in enumerate(lines):
-                item = _LIST_LINE.match(line)
-                words = [_masked(w) for w in _WORD.findall(plain(item.group(1) if item else line))]
-                keys = [f"{a} {b}" for a, b in zip(["<s>", *words], words)]
-                inside.update(keys[:-1])
-                if keys and item and i < len(lines) - 1 and not _SENTENCE_END.search(line.rstrip()):
-                    ends[keys[-1]] += 1
-        keys = list(inside.keys() | ends.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64())], names=["context", "goes_on", "ends"])
+def _count(text: str, ends: Counter, inside: Counter, wanted: frozenset[str] | None, last: frozenset[str] | None) -> None:
+    """Add what the lines of one answer, but for the last, say about contexts; ``wanted`` None stands for all."""
+    lines = plain(_CITATION.sub("", text)).split("\n")
+    fenced, cells = False, 0
+    for i, line in enumerate(lines):
+        more, bare = i < len(lines) - 1, line.strip()
+        if bare.startswith("```"):
+            fenced = not fenced
+            continue
+        if fenced:
+            inside["#fence"] += more
+            continue
+        if bare.startswith("|"):
+            cells = cells or bare.count("|")
+            full = bare.endswith("|") and bare.count("|") == cells and not set(bare) <= set("|-: ")
+            (ends if full else inside)["#row" if full else "#part of a row"] += more
+            continue
+        cells = 0
+        item = _LIST_LINE.match(line)
+        words = [_masked(w) for w in _WORD.findall(item.group(1) if item else line)]
+        pairs = list(zip(["<s>", *words], words))
+        for a, b in pairs[:-1]:
+            if last is None or b in last:
+                key = f"{a} {b}"
+                if wanted is None or key in wanted:
+                    inside[key] += 1
+        inside["#line"] += max(0, len(words) - 7)
+        if not more or not bare:
+            continue
+        if _SENTENCE_END.search(bare):
+            if _BARE_NUMBER.fullmatch(bare):
+                inside["#number"] += 1
+            else:
+                ends["#stop"] += 1
+        elif bare[-1] in _MARKS:
+            inside["#mark"] += 1
+        elif _open_brackets(_LIST_MARK.sub("", bare)):
+            inside["#bracket"] += 1
+        elif item and words:
+            key = " ".join(pairs[-1])
+            if wanted is None or key in wanted:
+                ends[key] += 1
+
+
+def _contexts(wanted: frozenset[str] | None):
+    last = None if wanted is None else frozenset(w.split(" ")[-1] for w in wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often a text goes on in a context, and how often a line ends there and others follow."""
+        for batch in batches:
+            ends: Counter = Counter()
+            inside: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                _count(text, ends, inside, wanted, last)
+            keys = list(inside.keys() | ends.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([ends[k] for k in keys], pa.int64())], names=["context", "goes_on", "ends"])
+
+    return run
 
 
 def broken_pairs(messages: DataFrame) -> DataFrame:
@@ -344,21 +452,27 @@ def broken_pairs(messages: DataFrame) -> DataFrame:
     judged = ordered.select(F.spark_partition_id().alias("part"), "conversation_id", "message_id", "speaker", "content").mapInArrow(_pairs, _PAIR)
     judged = written(judged, "judged")
 
-    # the last row of a partition and the first of the next; two rows a partition
+    # the last row of a partition and the first of the next; two rows a partition, without their texts
     by_part = Window.orderBy("part", F.when(F.col("kind") == "first", 0).otherwise(1))
-    ends = judged.filter("kind != 'pair'").select("part", "kind", *(F.lead(c).over(by_part).alias(f"next_{c}") for c in ("kind", "conversation_id", "message_id", "speaker", "content")), "conversation_id", "message_id", "speaker", "content")
+    names = ["kind", "part", "conversation_id", "message_id", "speaker"]
+    ends = judged.filter("kind != 'pair'").select(*names, *(F.lead(c).over(by_part).alias(f"next_{c}") for c in names))
     across = ends.filter((F.col("kind") == "last") & (F.col("next_kind") == "first") & (F.col("conversation_id") == F.col("next_conversation_id")) & (F.col("speaker") == USER) & (F.col("next_speaker") == ASSISTANT))
-    across = across.select(F.col("message_id").alias("question_id"), F.col("next_message_id").alias("answer_id"), F.col("content").alias("question"), F.col("next_content").alias("answer"))
+    texts = judged.filter("kind != 'pair'")
+    across = across.select("part", "next_part", F.col("message_id").alias("question_id"), F.col("next_message_id").alias("answer_id"))
+    across = across.join(texts.filter("kind = 'last'").select("part", F.col("content").alias("question")), "part").join(texts.filter("kind = 'first'").select(F.col("part").alias("next_part"), F.col("content").alias("answer")), "next_part")
     across = across.mapInPandas(_judge_ends, "question_id long, answer_id long, defect string, context string, line string")
     pairs = judged.filter("kind = 'pair'").select("question_id", "answer_id", "defect", "context", "line").unionByName(across)
     sure = pairs.filter("context is null and defect is not null").select("question_id", "answer_id", "defect")
 
-    open_ended = pairs.filter("context is not null")
-    wanted = open_ended.select("context").distinct()
+    ending = pairs.filter("context is not null")
+    asked = ending.select("context").distinct()
+    few = asked.limit(BROADCAST_CONTEXTS + 1).collect()  # bounded by the parameter; a limit only to see whether it is exceeded
+    wanted = frozenset(r.context for r in few) if len(few) <= BROADCAST_CONTEXTS else None
     answers = turns(messages).filter((F.col("speaker") == ASSISTANT) & F.col("content").isNotNull()).select("content")
-    model = answers.mapInArrow(_contexts, "context string, goes_on long, ends long").groupBy("context").agg(F.sum("goes_on").alias("goes_on"), F.sum("ends").alias("ends"))
-    model = model.join(wanted, "context", "left_semi")
-    seen = open_ended.join(model, "context", "left").withColumns({"goes_on": F.coalesce("goes_on", F.lit(0)), "ends": F.coalesce("ends", F.lit(0))})
-    cut = F.when(F.col("line").isin("list", "start"), F.col("ends") == 0).otherwise((F.col("goes_on") > 0) & (F.col("ends") == 0))
-    decided = seen.withColumn("defect", F.when(cut, "truncated").otherwise(F.col("defect"))).filter("defect is not null").select("question_id", "answer_id", "defect")
+    model = answers.mapInArrow(_contexts(wanted), "context string, goes_on long, ends long")
+    model = model.join(asked, "context", "left_semi").groupBy("context").agg(F.sum("goes_on").alias("goes_on"), F.sum("ends").alias("ends"))
+    seen = ending.join(model, "context", "left").withColumns({"goes_on": F.coalesce("goes_on", F.lit(0)), "ends": F.coalesce("ends", F.lit(0))})
+    prior = F.element_at(F.create_map(*(F.lit(x) for pair in CONTEXTS.items() for x in pair)), F.col("line"))
+    probability = (F.col("ends") + PRIOR_WEIGHT * prior) / (F.col("ends") + F.col("goes_on") + PRIOR_WEIGHT)
+    decided = seen.withColumn("defect", F.when(probability < LEAST_END, "truncated").otherwise(F.col("defect"))).filter("defect is not null").select("question_id", "answer_id", "defect")
     return sure.unionByName(decided)
