@@ -7,6 +7,8 @@ from pyspark.sql import Column, functions as F
 #: White space and everything a word cannot hold, as one class each; the same in Java and in RE2.
 SPACES = r"[ \t\n\r\x{b}\x{c}\x{85}\x{a0}\x{2003}]+"
 FORMATS = ("pdf", "docx", "pptx", "xlsx", "txt", "md")
+#: Characters of a passage that a reader sees.
+EXCERPT_CHARS = 6_000
 
 
 # English words that say nothing about a passage.
@@ -68,9 +70,24 @@ def passage_text(filename: Column | str, page: Column | str, kind: Column | str,
     return F.concat(head, mark, F.lit("\n"), column(content))
 
 
+def excerpt_label(kind: Column | str, page: Column | str) -> Column:
+    """What an excerpt is: of a figure, of the data of a chart, or text, with its page."""
+    at = F.concat(F.lit("page "), column(page).cast("string"))
+    what = F.when(column(kind) == "image_caption", "description of a figure").when(column(kind) == "chart_data", "data behind a chart")
+    return F.coalesce(F.when(what.isNotNull(), F.concat(what, F.coalesce(F.concat(F.lit(", "), at), F.lit("")))), at, F.lit("text"))
+
+
+def excerpt(c: Column | str) -> Column:
+    return F.substring(column(c), 1, EXCERPT_CHARS)
+
+
+# Fixed value: what counts as a number.
+NUMBER = r"(-?[0-9][0-9,]*(?:\.[0-9]+)?|-?\.[0-9]+)"
+
+
 def numbers(c: Column | str) -> Column:
     """Numbers in order, commas dropped."""
-    found = F.regexp_extract_all(column(c), F.lit(r"(-?[0-9][0-9,]*(?:\.[0-9]+)?|-?\.[0-9]+)"), F.lit(1))
+    found = F.regexp_extract_all(column(c), F.lit(NUMBER), F.lit(1))
     return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")))
 
 
@@ -83,8 +100,15 @@ def strip_thinking(c: Column | str) -> Column:
     return F.regexp_replace(column(c), r"(?s)<think>.*?</think>", "")
 
 
-def shorten(c: Column | str, most: int) -> Column:
-    return F.when(F.length(column(c)) > most, F.concat(F.substring(column(c), 1, most), F.lit("…"))).otherwise(column(c))
+# Characters kept of each kind of text, and what marks the cut.
+CUTS = {"history": (500, "..."), "summary": (400, "..."), "preview": (200, "..."), "title": (60, ""), "snippet": (500, "")}
+
+
+def shorten(c: Column | str, kind: str) -> Column:
+    """Text cut as its kind is, white space around it dropped; shorter text stays."""
+    most, mark = CUTS[kind]
+    text = F.trim(column(c))
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
 
 
 def cursor_encode(stamp: Column | str, key: Column | str) -> Column:
@@ -93,4 +117,11 @@ def cursor_encode(stamp: Column | str, key: Column | str) -> Column:
 
 
 def cursor_decode(c: Column | str) -> Column:
-    return F.unbase64(F.translate(column(c), "-_", "+/")).cast("string")
+    """``(stamp, key)`` of a cursor; null where it is none: not of the alphabet, or without a time and a key."""
+    text = F.translate(F.regexp_replace(column(c), "=+$", ""), "-_", "+/")
+    good = text.rlike("^[A-Za-z0-9+/]+$") & (F.length(text) % 4 != 1)
+    padded = F.rpad(text, (F.ceil(F.length(text) / 4) * 4).cast("int"), "=")
+    plain = F.when(good, F.try_to_binary(padded, F.lit("base64")).try_cast("string"))
+    stamp, key = F.split_part(plain, F.lit("|"), F.lit(1)), F.split_part(plain, F.lit("|"), F.lit(2))
+    valid = F.try_to_timestamp(stamp).isNotNull() & (F.length(key) > 0) & (F.size(F.split(plain, r"\|")) == 2)
+    return F.when(valid, F.struct(stamp.alias("stamp"), key.alias("key")))

@@ -121,10 +121,9 @@ def duplicate_files(files: DataFrame, recorded: DataFrame | None = None) -> Data
 
 def identical_document(batch: DataFrame, known: DataFrame) -> DataFrame:
     """``(filename, holder)``: files of a batch whose hash another name holds already, in the store or earlier in the batch."""
-    held = known.filter("sha256 is not null").groupBy("sha256").agg(F.min("filename").alias("holder"))
-    within = Window.partitionBy("sha256").orderBy("filename")
-    rows = batch.filter("sha256 is not null").withColumn("first_name", F.first("filename").over(within))
-    joined = rows.join(held, "sha256", "left").withColumn("holder", F.coalesce("holder", "first_name"))
+    held = known.filter("sha256 is not null").groupBy("sha256").agg(F.min("filename").alias("old"))
+    first = batch.filter("sha256 is not null").groupBy("sha256").agg(F.min("filename").alias("first"))
+    joined = batch.join(first, "sha256").join(held, "sha256", "left").withColumn("holder", F.coalesce("old", "first"))
     return joined.filter("holder != filename").select("filename", "holder")
 
 

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.text import cursor_encode
+from tessera.operators.ranking import running_offset
 from tessera.session import written
 
 
 def backfill_parents(messages: DataFrame) -> DataFrame:
-    """``(message_id, parent_id)``: messages without a parent get the one before in their conversation."""
-    order = Window.partitionBy("conversation_id").orderBy("created_at", "message_id")
-    rows = messages.filter("conversation_id is not null and created_at is not null")
-    return rows.select("message_id", F.coalesce("parent_id", F.lag("message_id").over(order)).alias("parent_id"))
+    """``(message_id, parent_id)``: messages without a parent get the one before in their conversation.
+
+    Rows are numbered over ranges of conversation and time, so a conversation with most of the rows is spread
+    over many tasks, and each meets the row numbered before it.
+    """
+    rows = messages.filter("conversation_id is not null and created_at is not null").select("message_id", "conversation_id", "parent_id", "created_at")
+    placed = written(running_offset(rows, ["conversation_id"], ["created_at", "message_id"], F.lit(1), "place"), "placed")
+    before = placed.select("conversation_id", (F.col("place") + 1).alias("place"), F.col("message_id").alias("before"))
+    return placed.join(before, ["conversation_id", "place"], "left").select("message_id", F.coalesce("parent_id", "before").alias("parent_id"))
 
 
 def active_leaves(messages: DataFrame) -> DataFrame:
@@ -21,25 +27,27 @@ def active_leaves(messages: DataFrame) -> DataFrame:
     return rows.groupBy("conversation_id").agg(F.max(F.struct("created_at", "message_id"))["message_id"].alias("active_id"))
 
 
-def paths_to_root(messages: DataFrame, leaves: DataFrame, most: int = 10_000, cut_every: int = 10) -> DataFrame:
+def paths_to_root(messages: DataFrame, leaves: DataFrame) -> DataFrame:
     """``(leaf_id, message_id, depth)`` from each leaf up to its root, all leaves at once.
 
     Paths double: each round joins the pointers with themselves, so a path of n messages takes about
-    log2(n) rounds. Missing parents end a path; a cycle ends after ``most`` steps.
+    log2(n) rounds, whatever its length. Missing parents end a path; on a cycle it ends once round, and each
+    message has its least depth.
     """
     parent = messages.select("message_id", "parent_id").filter("message_id is not null").groupBy("message_id").agg(F.max("parent_id").alias("parent_id"))
     known = parent.select(F.col("message_id").alias("parent_id"))
     hop = written(parent.filter("parent_id is not null and parent_id != message_id").join(known, "parent_id", "left_semi").select("message_id", "parent_id"), "hops")
-    reached = leaves.select(F.col("message_id").alias("leaf_id"), "message_id", F.lit(0).alias("depth")).distinct()
-    length = 1
-    while length <= most:
+    reached = leaves.select(F.col("message_id").alias("leaf_id"), "message_id", F.lit(0).cast("long").alias("depth")).distinct()
+    length, size = 1, -1
+    while True:
         far = reached.join(hop, "message_id").select("leaf_id", F.col("parent_id").alias("message_id"), (F.col("depth") + length).alias("depth"))
-        if far.isEmpty():
-            break
         reached = written(reached.unionByName(far).groupBy("leaf_id", "message_id").agg(F.min("depth").alias("depth")), "paths")
+        now = reached.count()
+        if now == size:  # nothing new was reached, on cycles either
+            return reached
+        size = now
         hop = written(hop.select("message_id", F.col("parent_id").alias("m")).join(hop.select(F.col("message_id").alias("m"), "parent_id"), "m").select("message_id", "parent_id"), "hops")
         length *= 2
-    return reached
 
 
 def list_conversations(messages: DataFrame, limit: int, after: tuple[str, int] | None = None, search: str | None = None) -> DataFrame:
@@ -69,6 +77,18 @@ def rename(conversations: DataFrame, conversation_id: int, title: str, owner: st
     return conversations.withColumn("title", F.when(mine, F.lit(title)).otherwise(F.col("title")))
 
 
+def rename_all(conversations: DataFrame, wanted: DataFrame) -> DataFrame:
+    """New snapshot after the renamings of ``wanted`` (conversation_id, owner_id, title); those of other owners change nothing."""
+    new = wanted.groupBy("conversation_id", "owner_id").agg(F.max("title").alias("_new"))
+    return conversations.join(new, ["conversation_id", "owner_id"], "left").withColumn("title", F.coalesce("_new", "title")).drop("_new")
+
+
+def exists_for(asked: DataFrame, conversations: DataFrame, owner: str) -> DataFrame:
+    """``asked`` (conversation_id, ...) with ``mine``: whether the conversation is there and of this owner."""
+    own = conversations.filter(F.col("owner_id") == owner).select("conversation_id").distinct().withColumn("_mine", F.lit(True))
+    return asked.join(own, "conversation_id", "left").withColumn("mine", F.coalesce("_mine", F.lit(False))).drop("_mine")
+
+
 def append_turn(messages: DataFrame, conversations: DataFrame, turn: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(messages, conversations) after turns (conversation_id, question_id, answer_id, parent, question, answer, created_at).
 
@@ -84,5 +104,7 @@ def append_turn(messages: DataFrame, conversations: DataFrame, turn: DataFrame)
 
 
 def delete_conversations(messages: DataFrame, conversations: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(messages, conversations) without those of ``gone`` (conversation_id)."""
-    return messages.join(gone, "conversation_id", "left_anti"), conversations.join(gone, "conversation_id", "left_anti")
+    """(messages, conversations) without those of ``gone`` (conversation_id, and owner_id: then only the owner's own)."""
+    keys = [c for c in ("conversation_id", "owner_id") if c in gone.columns]
+    lost = conversations.join(gone.select(*keys).distinct(), keys, "left_semi").select("conversation_id").distinct()
+    return messages.join(lost, "conversation_id", "left_anti"), conversations.join(lost, "conversation_id", "left_anti")

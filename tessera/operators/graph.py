@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.functions.text import normalise_phrase
-from tessera.functions.vectors import nearest_rows
+from tessera.functions.vectors import nearest_rows, similarities
+from tessera.operators.catalog import corpus_stamp
 from tessera.session import written
 
 # Constants of the graph ranking.
@@ -42,10 +46,14 @@ def build_graph(triples: DataFrame, usable: DataFrame | None = None) -> tuple[Da
     return phrases, facts, rows.select("fact_id", "chunk_id").distinct()
 
 
-def fact_edges(facts: DataFrame) -> DataFrame:
-    """``(phrase_a, phrase_b, facts)``: how many facts join two phrases, either way round."""
-    ends = facts.filter("subject_id is not null and object_id is not null and subject_id != object_id")
-    return ends.groupBy(F.least("subject_id", "object_id").alias("phrase_a"), F.greatest("subject_id", "object_id").alias("phrase_b")).agg(F.count("*").alias("facts"))
+def fact_edges(facts: DataFrame, links: DataFrame) -> DataFrame:
+    """``(phrase_a, phrase_b, facts)``: how often passages state a fact that joins two phrases, either way round.
+
+    A fact counts once for each passage in ``links`` (fact_id, chunk_id); one that no passage states is no edge.
+    """
+    stated = links.select("fact_id", "chunk_id").distinct().groupBy("fact_id").agg(F.count("*").alias("n"))
+    ends = facts.select("fact_id", "subject_id", "object_id").distinct().filter("subject_id is not null and object_id is not null and subject_id != object_id").join(stated, "fact_id")
+    return ends.groupBy(F.least("subject_id", "object_id").alias("phrase_a"), F.greatest("subject_id", "object_id").alias("phrase_b")).agg(F.sum("n").alias("facts"))
 
 
 def passage_edges(links: DataFrame, facts: DataFrame) -> DataFrame:
@@ -55,11 +63,11 @@ def passage_edges(links: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def weighted_edges(facts: DataFrame, links: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """``(a, b, weight)``: 2 a fact, 2 times a synonym's weight, 1 between passage and phrase; undirected, ``a < b``.
+    """``(a, b, weight)``: 2 for each passage that states a fact, 2 times a synonym's weight, 1 between passage and phrase; undirected, ``a < b``.
 
     Null, NaN and infinite synonym weights and loops are left out.
     """
-    by_fact = fact_edges(facts).select("phrase_a", "phrase_b", (F.lit(2.0) * F.col("facts")).alias("weight"))
+    by_fact = fact_edges(facts, links).select("phrase_a", "phrase_b", (F.lit(2.0) * F.col("facts")).alias("weight"))
     w = F.col("weight").cast("double")
     good = synonyms.filter(w.isNotNull() & ~F.isnan(w) & (F.abs(w) < float("inf")) & F.expr("phrase_a != phrase_b"))
     by_name = good.select(F.least("phrase_a", "phrase_b").alias("phrase_a"), F.greatest("phrase_a", "phrase_b").alias("phrase_b"), (F.lit(2.0) * w).alias("weight"))
@@ -100,6 +108,12 @@ def closest_facts(queries: DataFrame, facts: DataFrame, k: int = LINKING_TOP_K)
     return found.withColumnRenamed("id", "fact_id")
 
 
+def fact_floor(queries: DataFrame, facts: DataFrame) -> DataFrame:
+    """``(query_id, low)``: the least similarity of any fact (fact_id, embedding) to each question, found as the nearest to its opposite."""
+    opposite = queries.select("query_id", F.transform("vec", lambda x: -x.cast("double")).alias("vec"))
+    return closest_facts(opposite, facts, 1).select("query_id", (-F.col("similarity")).alias("low"))
+
+
 def min_max(c: str, by: str) -> F.Column:
     """Column scaled to 0..1 within the group; 1 where all values are equal."""
     w = Window.partitionBy(by)
@@ -107,35 +121,60 @@ def min_max(c: str, by: str) -> F.Column:
     return F.when(high == low, F.lit(1.0)).otherwise((F.col(c) - low) / (high - low))
 
 
-def graph_search(queries: DataFrame, chunks: DataFrame, facts: DataFrame, links: DataFrame, synonyms: DataFrame, fact_vectors: DataFrame, limit: int, pool: int = 200) -> DataFrame:
-    """``(query_id, chunk_id, score, rank)``: passages ranked by walks from the phrases of the closest facts.
+def seed_phrases(queries: DataFrame, facts: DataFrame, links: DataFrame, fact_vectors: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """``(query_id, phrase_id, weight)``: the phrases that walks start from.
 
-    A phrase in several kept facts takes the last one's score for its weight, and the mean of them to be
-    chosen as a seed; the weight is divided by the passages that name it. Passages near the question
-    join with a small weight. Without a kept fact the order is by similarity.
+    The closest facts are scored between the least similar fact of all and the closest; ``kept`` (query_id,
+    fact_id) names those that a filter left. A phrase takes its last kept fact's score, divided by the
+    passages that name it; the phrases with the best mean scores are chosen.
     """
     near = closest_facts(queries, fact_vectors)
-    floor = near.groupBy("query_id").agg(F.min("similarity").alias("low"), F.max("similarity").alias("high"))
-    scored = near.join(floor, "query_id").withColumn("s", F.when(F.col("high") == F.col("low"), 1.0).otherwise((F.col("similarity") - F.col("low")) / (F.col("high") - F.col("low"))))
-    ends = scored.join(facts.select("fact_id", "subject_id", "object_id"), "fact_id").select("query_id", "rank", "s", F.explode(F.array("subject_id", "object_id")).alias("phrase_id")).filter("phrase_id is not null")
-    named = passage_edges(links, facts)
-    spread = named.groupBy("phrase_id").agg(F.count("*").alias("passages"))
+    top = near.groupBy("query_id").agg(F.max("similarity").alias("high")).join(fact_floor(queries, fact_vectors), "query_id")
+    scored = near.join(top, "query_id").withColumn("s", F.when(F.col("high") > F.col("low"), (F.col("similarity") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(1.0))
+    if kept is not None:
+        scored = scored.join(kept.select("query_id", "fact_id").distinct(), ["query_id", "fact_id"], "left_semi")
+    ends = scored.join(facts.select("fact_id", "subject_id", "object_id").distinct(), "fact_id").select("query_id", "rank", "s", F.explode(F.array("subject_id", "object_id")).alias("phrase_id")).filter("phrase_id is not null")
+    spread = passage_edges(links, facts).groupBy("phrase_id").agg(F.count("*").alias("passages"))
     seeds = ends.groupBy("query_id", "phrase_id").agg(F.max_by("s", "rank").alias("last"), F.avg("s").alias("mean")).join(spread, "phrase_id", "left")
-    order = Window.partitionBy("query_id").orderBy(F.desc("mean"), "phrase_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("mean", 9)), "phrase_id")
     seeds = seeds.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= LINKING_TOP_K)
-    seeds = seeds.select("query_id", F.concat(F.lit("p:"), F.col("phrase_id")).alias("vertex"), (F.col("last") / F.greatest(F.coalesce("passages", F.lit(0)), F.lit(1))).alias("weight"))
-    similar = nearest_rows(queries.select("query_id", "vec"), chunks.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vec")), pool)
-    similar = written(similar, "similar")
-    passages = similar.select("query_id", F.concat(F.lit("c:"), F.col("id")).alias("vertex"), (F.lit(PASSAGE_WEIGHT) * min_max("similarity", "query_id")).alias("weight"))
+    return seeds.select("query_id", "phrase_id", (F.col("last") / F.greatest(F.coalesce("passages", F.lit(0)), F.lit(1))).alias("weight"))
+
+
+def graph_search(queries: DataFrame, chunks: DataFrame, facts: DataFrame, links: DataFrame, synonyms: DataFrame, fact_vectors: DataFrame, limit: int, kept: DataFrame | None = None) -> DataFrame:
+    """``(query_id, chunk_id, score, rank)``: passages ranked by walks from the phrases of the closest facts.
+
+    Every passage with a usable vector joins the walks with a small weight, by its similarity scaled to 0..1.
+    Without a kept fact the order is by similarity. ``kept`` as in :func:`seed_phrases`.
+    """
+    seeds = seed_phrases(queries, facts, links, fact_vectors, kept).select("query_id", F.concat(F.lit("p:"), F.col("phrase_id")).alias("vertex"), "weight")
+    seeds = written(seeds, "seeds")
+    similar = written(similarities(queries.select("query_id", "vec"), chunks.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))), "similar")
     some = seeds.filter("weight > 0").select("query_id").distinct()
-    reset = seeds.unionByName(passages.join(some, "query_id", "left_semi"))
-    ranks = personalised_pagerank(weighted_edges(facts, links, synonyms), reset).filter(F.col("vertex").startswith("c:"))
+    bounds = similar.groupBy("query_id").agg(F.min("similarity").alias("low"), F.max("similarity").alias("high"))
+    scaled = F.when(F.col("high") == F.col("low"), F.lit(1.0)).otherwise((F.col("similarity") - F.col("low")) / (F.col("high") - F.col("low")))
+    passages = similar.join(some, "query_id", "left_semi").join(bounds, "query_id").select("query_id", F.concat(F.lit("c:"), F.col("id")).alias("vertex"), (F.lit(PASSAGE_WEIGHT) * scaled).alias("weight"))
+    ranks = personalised_pagerank(weighted_edges(facts, links, synonyms), seeds.unionByName(passages)).filter(F.col("vertex").startswith("c:"))
     walked = ranks.select("query_id", F.expr("substring(vertex, 3)").alias("chunk_id"), F.round("score", 9).alias("score"))
     plain = similar.join(some, "query_id", "left_anti").select("query_id", F.col("id").alias("chunk_id"), F.col("similarity").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return walked.unionByName(plain).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
+class GraphCache:
+    """The weighted edges of a graph, built again only when its stamp changes; one build at a time."""
+
+    def __init__(self):
+        self._lock, self._stamp, self._edges = threading.Lock(), None, None
+
+    def edges(self, facts: DataFrame, links: DataFrame, synonyms: DataFrame) -> DataFrame:
+        stamp = tuple(corpus_stamp({"facts": facts, "links": links, "synonyms": synonyms}).first())
+        with self._lock:
+            if stamp != self._stamp:
+                self._edges, self._stamp = written(weighted_edges(facts, links, synonyms), "graph"), stamp
+            return self._edges
+
+
 def synonym_edges(new: DataFrame, phrases: DataFrame, threshold: float = SYNONYM_THRESHOLD, neighbours: int = SYNONYM_NEIGHBOURS) -> DataFrame:
     """``(phrase_a, phrase_b, weight)``: each new phrase with its most similar others from the threshold up, at most ``neighbours``.
 
@@ -172,6 +211,9 @@ def phrase_facts(phrases: DataFrame, facts: DataFrame) -> DataFrame:
     return by_subject.union(phrases.join(facts, phrases.phrase_id == facts.object_id).select("phrase_id", "fact_id")).distinct()
 
 
-def graph_totals(phrases: DataFrame, facts: DataFrame, edges: DataFrame) -> DataFrame:
+def graph_totals(phrases: DataFrame, facts: DataFrame, links: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: how many phrases, facts, links, synonym edges, chunks whose facts were extracted, and chunks."""
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    return one(phrases, "phrases").crossJoin(one(facts, "facts")).crossJoin(one(edges, "edges"))  # one row each
+    done = links.select("chunk_id").distinct()
+    parts = [one(phrases, "phrases"), one(facts, "facts"), one(links, "links"), one(edges, "edges"), one(chunks.join(done, "chunk_id", "left_semi"), "extracted"), one(chunks, "chunks")]
+    return reduce(lambda a, b: a.crossJoin(b), parts)  # one row each

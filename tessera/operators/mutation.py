@@ -29,6 +29,42 @@ def insert_missing(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
     return table.unionByName(fresh.select(*table.columns))
 
 
+def insert_or_get(table: DataFrame, rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the table with what was missing, the distinct keys of ``rows`` with ``inserted``: whether they are new)."""
+    asked = rows.dropDuplicates(keys)
+    there = table.select(*keys).distinct().withColumn("_there", F.lit(True))
+    told = asked.join(there, keys, "left").select(*keys, F.col("_there").isNull().alias("inserted"))
+    return insert_missing(table, rows, keys), told
+
+
+def reject_duplicates(files: DataFrame, known: DataFrame) -> DataFrame:
+    """``(file_id, filename, holder)``: uploads of a batch whose hash another name holds, in the store or earlier in the batch.
+
+    ``files`` (file_id, filename, sha256), ``known`` (filename, sha256); within a batch the smaller id was first.
+    The same name may hold its hash again; null hashes are never duplicates.
+    """
+    held = known.filter("sha256 is not null").groupBy("sha256").agg(F.min("filename").alias("old"))
+    first = files.filter("sha256 is not null").groupBy("sha256").agg(F.min(F.struct("file_id", "filename"))["filename"].alias("new"))
+    holder = F.coalesce("old", "new").alias("holder")
+    return files.join(first, "sha256").join(held, "sha256", "left").select("file_id", "filename", holder).filter("filename != holder")
+
+
+def delete_owner(users: DataFrame, conversations: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(users, conversations, messages) without the users of ``gone`` (owner_id) and all that hangs on them."""
+    lost = conversations.join(gone.select("owner_id").distinct(), "owner_id", "left_semi").select("conversation_id").distinct()
+    return users.join(gone, "owner_id", "left_anti"), conversations.join(lost, "conversation_id", "left_anti"), messages.join(lost, "conversation_id", "left_anti")
+
+
+def touch_users(users: DataFrame, seen: DataFrame, age: int = 300) -> DataFrame:
+    """Users (owner_id, name, seen_at) after sign-ins of the same columns: new ones are added, and known ones changed
+    only if their name differs or they were last seen more than ``age`` seconds before."""
+    newest = seen.groupBy("owner_id").agg(F.max(F.struct("seen_at", "name")).alias("n"))
+    joined = users.join(newest, "owner_id", "full_outer")
+    old = F.coalesce(F.unix_timestamp("n.seen_at") - F.unix_timestamp("seen_at") > age, F.lit(True))
+    change = F.col("n").isNotNull() & (old | ~F.col("n.name").eqNullSafe(F.col("name")))
+    return joined.select("owner_id", F.when(change, F.col("n.name")).otherwise(F.col("name")).alias("name"), F.when(change, F.col("n.seen_at")).otherwise(F.col("seen_at")).alias("seen_at"))
+
+
 def stamp(table: DataFrame, keys: DataFrame, key: str, column: str, when: Column) -> DataFrame:
     """``column`` set where the key was processed."""
     marked = keys.select(key).distinct().withColumn("_done", F.lit(True))
@@ -103,5 +139,37 @@ class SnapshotStore:
         return before + 1
 
 
+    def append(self, name: str, rows: DataFrame) -> int:
+        """Add rows to a table, or begin it with them."""
+        return self.commit({name: self.read(name).unionByName(rows.select(*self.read(name).columns)) if name in self.versions() else rows})
+
+    def read_buckets(self, name: str) -> DataFrame | None:
+        """A table that :meth:`replace_files` keeps, or None before its first file."""
+        paths = [p for k, p in self.versions().items() if k.startswith(f"{name}/")]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def replace_files(self, name: str, rows: DataFrame, buckets: int = 64) -> int | None:
+        """Replace every file of ``rows`` (filename, ...) as a whole; only the buckets of files that hold one of them are written.
+
+        A bucket's folder stays as it is while no file of it comes again, so a small batch rewrites a small part.
+        """
+        bucket = F.pmod(F.xxhash64("filename"), F.lit(buckets)).cast("int")
+        touched = sorted(r.b for r in rows.select(bucket.alias("b")).distinct().collect())  # at most as many as buckets
+        if not touched:
+            return None
+        known = self.versions()
+        old = [known[f"{name}/{b}"] for b in touched if f"{name}/{b}" in known]
+        whole = replace_documents(self.spark.read.parquet(*old), rows) if old else rows
+        target = f"{self.root}/{name}/{self._newest() + 1:08d}-{uuid.uuid4().hex[:8]}"
+        whole.withColumn("_bucket", bucket).repartition("_bucket").write.mode("errorifexists").partitionBy("_bucket").parquet(target)
+        return self._point({f"{name}/{b}": f"{target}/_bucket={b}" for b in touched})
+
+    def _point(self, paths: dict[str, str]) -> int:
+        number = self._newest() + 1
+        if not publish(self.spark, f"{self.root}/commits/{number:08d}", json.dumps({**self.versions(), **paths})):
+            raise Conflict(f"another writer made commit {number} first")
+        return number
+
+
 class Conflict(RuntimeError):
     """Another writer was first."""

@@ -41,32 +41,63 @@ def number_sources(rows: DataFrame, group: str, order: str, key: Column, offset:
     return marked.join(numbered.select(group, "_first", "number"), [group, "_first"]).withColumn("pointer", F.col(order) != F.col("_first")).drop("_key", "_first")
 
 
+def number_within(rows: DataFrame, group: str, order: str, key: Column, text: Column, room: int, offset: int = 0, separator: int = 3) -> DataFrame:
+    """``(group, place, number, pointer, line)``: numbered results as a model reads them, as many whole ones as fit in ``room`` tokens.
+
+    A source seen before comes as a line that points at its number. Each line costs its tokens and a
+    separator. What is left out is said in a last line, without number.
+    """
+    marked = number_sources(rows.withColumn("_text", text), group, order, key, offset)
+    again = F.format_string("[%d] (same passage as [%d] above)", "number", "number")
+    lines = marked.withColumn("line", F.when(F.col("pointer"), again).otherwise(F.concat(F.format_string("[%d] ", "number"), F.coalesce("_text", F.lit("")))))
+    cost = F.floor(F.length("line") / 1.5) + 1 + separator
+    running = Window.partitionBy(group).orderBy(order)
+    cut = lines.withColumn("used", F.sum(cost).over(running.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(running))
+    kept = cut.filter(F.col("used") <= room).select(group, "place", "number", "pointer", "line")
+    rest = cut.filter(F.col("used") > room).groupBy(group).agg(F.count("*").alias("n"), F.min("place").alias("place"))
+    notice = rest.select(group, "place", F.lit(None).cast("int").alias("number"), F.lit(None).cast("boolean").alias("pointer"), F.format_string("(%d more results did not fit and were left out.)", "n").alias("line"))
+    return kept.unionByName(notice)
+
+
 def spread_sample(chunks: DataFrame, slots: int = 40) -> DataFrame:
-    """``(filename, chunk_id, place)``: of files with more than ``slots`` text chunks the first of each page and an even spread of the rest."""
-    text = chunks.filter("source_type = 'text'").select("filename", "chunk_id", "chunk_index", "page_number")
-    whole = Window.partitionBy("filename")
-    page = Window.partitionBy("filename", "page_number").orderBy("chunk_index", "chunk_id")
-    rows = text.withColumn("n", F.count("*").over(whole)).withColumn("first", F.row_number().over(page) == 1)
-    small = rows.filter(F.col("n") <= slots).select("filename", "chunk_id", "chunk_index")
-    big = rows.filter(F.col("n") > slots)
-    heads = big.filter("first").withColumn("h", F.row_number().over(Window.partitionBy("filename").orderBy("chunk_index", "chunk_id"))).filter(F.col("h") <= slots)
-    left = big.filter("first").groupBy("filename").agg(F.greatest(F.lit(slots) - F.count("*"), F.lit(0)).alias("left"))
-    rest = big.filter("not first").withColumn("i", F.row_number().over(Window.partitionBy("filename").orderBy("chunk_index", "chunk_id")) - 1).withColumn("m", F.count("*").over(whole)).join(left, "filename")
-    # position k of the spread takes item floor(k * m / left)
-    k = F.ceil(F.col("i") * F.col("left") / F.col("m"))
-    even = rest.filter((F.col("left") > 0) & (k < F.col("left")) & (F.floor(k * F.col("m") / F.col("left")) == F.col("i")))
+    """``(filename, chunk_id, place)``: the text chunks that a summary is written from.
+
+    All of them but for spreadsheets of more than ``slots``: of these the first of each sheet (page), however many,
+    and an even spread of the rest over the slots that are left.
+    """
+    text = chunks.filter("source_type = 'text'").select("filename", "chunk_id", "chunk_index", "page_number", (F.col("source_format") == "xlsx").alias("sheet"))
+    sizes = text.groupBy("filename").agg(F.count("*").alias("n"), F.count_distinct(F.struct("page_number")).alias("heads"), F.max("sheet").alias("sheet"))
+    big = sizes.filter((F.col("n") > slots) & F.col("sheet"))
     cols = ["filename", "chunk_id", "chunk_index"]
-    every = small.unionByName(heads.select(cols)).unionByName(even.select(cols))
-    return every.withColumn("place", F.row_number().over(Window.partitionBy("filename").orderBy("chunk_index", "chunk_id"))).select("filename", "chunk_id", "place")
+    small = text.join(big, "filename", "left_anti").select(cols)
+    page = Window.partitionBy("filename", "page_number").orderBy("chunk_index", "chunk_id")
+    rows = text.drop("sheet").join(big.select("filename", "n", "heads"), "filename").withColumn("first", F.row_number().over(page) == 1)
+    whole = Window.partitionBy("filename").orderBy("chunk_index", "chunk_id")
+    rest = rows.filter("not first").withColumn("i", F.row_number().over(whole) - 1)
+    left = F.greatest(F.lit(slots) - F.col("heads"), F.lit(0))
+    spread = big.filter((F.col("n") > F.col("heads")) & (left > 0)).select("filename", F.explode(F.sequence(F.lit(0).cast("long"), left.cast("long") - 1)).alias("k"), ((F.col("n") - F.col("heads")) / left).alias("step"))
+    even = rest.join(spread.select("filename", F.floor(F.col("k") * F.col("step")).cast("int").alias("i")).distinct(), ["filename", "i"])
+    every = small.unionByName(rows.filter("first").select(cols)).unionByName(even.select(cols))
+    return every.withColumn("place", F.row_number().over(whole)).select("filename", "chunk_id", "place")
 
 
 def render_notes(notes: DataFrame, budget: int) -> DataFrame:
-    """``(query_id, filename, notes, number, used)``: notes (query_id, note_no, filename, excerpt, tokens) by file.
+    """``(query_id, number, filename, notes, used, block)``: notes as a model reads them, file by file, cut to ``budget`` tokens.
 
-    Files with most notes come first, of equals the one named first; a note's excerpt is numbered by its
-    first use; files past the token budget fall away.
+    ``notes`` has (query_id, note_no, filename, excerpt, label, claim, position). Files with most notes come
+    first, of equals the one named first; within a file notes go by position. An excerpt is numbered from 1 by
+    its first use in that order. Files from the first that does not fit on fall away.
     """
-    files = notes.groupBy("query_id", "filename").agg(F.count("*").alias("notes"), F.min("note_no").alias("first"), F.sum("tokens").alias("tokens"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("notes"), "first")
-    ranked = files.withColumn("number", F.row_number().over(order)).withColumn("used", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.filter(F.col("used") <= budget).select("query_id", "filename", "notes", "number", "used")
+    files = notes.groupBy("query_id", "filename").agg(F.count("*").alias("notes"), F.min("note_no").alias("first"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("notes"), "first", "filename")
+    ranked = files.withColumn("number", F.row_number().over(order)).drop("first")
+    rows = notes.join(ranked, ["query_id", "filename"])
+    reading = F.struct("number", "position", "note_no")
+    first_use = rows.groupBy("query_id", "filename", "excerpt").agg(F.min(reading).alias("use"))
+    cited = first_use.withColumn("cite", F.row_number().over(Window.partitionBy("query_id").orderBy("use", "excerpt"))).drop("use")
+    line = F.concat(F.lit("- ["), F.col("cite").cast("string"), F.lit("] ("), F.coalesce("label", F.lit("text")), F.lit(") "), F.coalesce("claim", F.lit("")))
+    blocks = rows.join(cited, ["query_id", "filename", "excerpt"]).groupBy("query_id", "number", "filename", "notes").agg(F.array_sort(F.collect_list(F.struct("position", "note_no", line.alias("line")))).alias("rows"))
+    blocks = blocks.withColumn("block", F.concat(F.lit("## "), F.col("filename"), F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))).drop("rows")
+    so_far = Window.partitionBy("query_id").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    cut = blocks.withColumn("used", F.sum(F.floor(F.length("block") / 1.5) + 1).over(so_far)).filter(F.col("used") <= budget)
+    return cut.select("query_id", "number", "filename", "notes", "used", "block")

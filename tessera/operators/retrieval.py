@@ -10,9 +10,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.functions.stems import stemmed
 from tessera.functions.text import STOP_WORDS, normalise_text, terms
 from tessera.functions.vectors import cosine, nearest_rows
-from tessera.session import written
+from tessera.session import parallelism, written
 
 # Constants of the ranking.
 RRF_K = 60
@@ -34,28 +35,48 @@ def vector_ranks(queries: DataFrame, chunks: DataFrame, pool: int) -> DataFrame:
     return found.withColumnRenamed("id", "chunk_id")
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """``(query_id, term)``: the distinct words of each question, stop words left out."""
-    return queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term")).filter(~F.col("term").isin(STOP_WORDS))
+def query_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
+    """``(query_id, term)``: the distinct words of each question, stop words left out; ``stem`` reduces them to their stems."""
+    words = queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term")).filter(~F.col("term").isin(STOP_WORDS))
+    return words.select("query_id", stemmed("term").alias("term")).distinct() if stem else words
 
 
-def text_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def build_postings(chunks: DataFrame, stem: bool = False) -> DataFrame:
+    """``(chunk_id, term, tf)``: the inverted index of the chunks, words sorted so that a reader skips what it was not asked for.
+
+    Stop words are left out; null contents have no words. Only ids and words are shuffled, after a partial count.
+    """
+    words = chunks.select("chunk_id", F.explode(terms("content")).alias("term")).filter(~F.col("term").isin(STOP_WORDS))
+    counts = words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    if stem:
+        counts = counts.select("chunk_id", stemmed("term").alias("term"), "tf").groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf"))
+    spark = chunks.sparkSession
+    return written(counts.repartitionByRange(parallelism(spark), "term", "chunk_id").sortWithinPartitions("term", "chunk_id"), "postings")
+
+
+def text_scores(queries: DataFrame, chunks: DataFrame, postings: DataFrame | None = None, stem: bool = False) -> DataFrame:
     """``(query_id, chunk_id, score)``: sum over matching words of tf / (tf + 1).
 
-    Chunks are spread by id once; counting words, joining questions and adding scores need no further
-    exchange. Questions' words are broadcast if few, which the count decides.
+    With ``postings`` (:func:`build_postings`) only the index is read. Without, each task counts the words of
+    its chunks that any question asks for, and only these counts are shuffled, never a text. Questions' words
+    are broadcast if few, which the count decides.
     """
-    asked = query_terms(queries)
+    asked = written(query_terms(queries, stem), "asked")
     small = asked.count() <= BROADCAST_ROWS
-    counts = chunks.select("chunk_id", "content").filter("content is not null").repartition("chunk_id").select("chunk_id", F.explode(terms("content")).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    met = counts.join(F.broadcast(asked) if small else asked, "term")
+    if postings is None:
+        words = chunks.select("chunk_id", F.explode(terms("content")).alias("term"))
+        if stem:
+            words = words.filter(~F.col("term").isin(STOP_WORDS)).withColumn("term", stemmed("term"))
+        wanted = asked.select("term").distinct()
+        postings = words.join(F.broadcast(wanted) if small else wanted, "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    met = postings.join(F.broadcast(asked) if small else asked, "term")
     return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + F.lit(1.0))), 9).alias("score"))
 
 
-def text_ranks(queries: DataFrame, chunks: DataFrame, pool: int) -> DataFrame:
+def text_ranks(queries: DataFrame, chunks: DataFrame, pool: int, postings: DataFrame | None = None, stem: bool = False) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``, best match first."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return text_scores(queries, chunks).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pool)
+    return text_scores(queries, chunks, postings, stem).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pool)
 
 
 def reciprocal_rank(rank: Column, weight: Column | float = 1.0) -> Column:
@@ -67,10 +88,10 @@ def fuse(lists: DataFrame, keys: list[str]) -> DataFrame:
     return lists.groupBy("query_id", *keys).agg(F.round(F.sum(reciprocal_rank(F.col("rank"), F.col("weight"))), 9).alias("score"))
 
 
-def hybrid_candidates(queries: DataFrame, chunks: DataFrame, pool: int) -> DataFrame:
+def hybrid_candidates(queries: DataFrame, chunks: DataFrame, pool: int, postings: DataFrame | None = None) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: vector and keyword lists of ``pool`` fused, cut to ``pool``."""
     v = vector_ranks(queries, chunks, pool).select("query_id", "chunk_id", F.col("rank").alias("v_rank"))
-    t = text_ranks(queries, chunks, pool).select("query_id", "chunk_id", F.col("rank").alias("t_rank"))
+    t = text_ranks(queries, chunks, pool, postings).select("query_id", "chunk_id", F.col("rank").alias("t_rank"))
     zero = F.lit(0.0)
     score = F.coalesce(reciprocal_rank(F.col("v_rank")), zero) + F.coalesce(reciprocal_rank(F.col("t_rank")), zero)
     both = v.join(t, ["query_id", "chunk_id"], "full_outer").withColumn("score", F.round(score, 9))
@@ -116,9 +137,9 @@ def mmr(candidates: DataFrame, chunks: DataFrame, limit: int, groups: list[str]
     return rows.groupBy(*groups).applyInPandas(pick, schema)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int, postings: DataFrame | None = None) -> DataFrame:
     """The simplest complete search: candidates, diversification, duplicates folded and context added."""
-    found = mmr(hybrid_candidates(queries, chunks, max(4 * limit, 40)), chunks, limit).withColumnRenamed("mmr_rank", "rank")
+    found = mmr(hybrid_candidates(queries, chunks, max(4 * limit, 40), postings), chunks, limit).withColumnRenamed("mmr_rank", "rank")
     return expand_context(found, chunks)
 
 
@@ -128,12 +149,12 @@ def summary_ranks(queries: DataFrame, summaries: DataFrame, pool: int) -> DataFr
     return found.select("query_id", F.col("id").alias("filename"), "rank")
 
 
-def document_ranks(queries: DataFrame, chunks: DataFrame, summaries: DataFrame, top: int = TOP_DOCUMENTS) -> DataFrame:
+def document_ranks(queries: DataFrame, chunks: DataFrame, summaries: DataFrame, top: int = TOP_DOCUMENTS, postings: DataFrame | None = None) -> DataFrame:
     """``(query_id, filename, score, rank)``: files by their best chunk in a scan and by their summaries, fused.
 
     Of equal scores, files that the scan found come first, then the better of their ranks.
     """
-    scan = hybrid_candidates(queries, chunks, DOC_SCAN_POOL).join(chunks.select("chunk_id", "filename"), "chunk_id")
+    scan = hybrid_candidates(queries, chunks, DOC_SCAN_POOL, postings).join(chunks.select("chunk_id", "filename"), "chunk_id")
     best = scan.groupBy("query_id", "filename").agg(F.max("score").alias("best"), F.min("rank").alias("first"))
     order = Window.partitionBy("query_id").orderBy(F.desc("best"), "first", "filename")
     by_chunk = best.select("query_id", "filename", F.row_number().over(order).alias("rank"), F.lit(0).alias("list"))
@@ -143,29 +164,30 @@ def document_ranks(queries: DataFrame, chunks: DataFrame, summaries: DataFrame,
     return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "filename", "score", "rank")
 
 
-def search_within(queries: DataFrame, chunks: DataFrame, picked: DataFrame, limit: int) -> DataFrame:
+def search_within(queries: DataFrame, chunks: DataFrame, picked: DataFrame, limit: int, postings: DataFrame | None = None) -> DataFrame:
     """``(query_id, filename, chunk_id, score, rank)``: hybrid candidates of each picked file (query_id, filename), both lists
     ranked within the file, the best ``4 * limit`` kept."""
     pool = 4 * limit
     picked = written(picked.select("query_id", "filename"), "picked")
     n = picked.count()
-    mine = chunks.select("chunk_id", "filename", "content", "embedding").join(F.broadcast(picked.select("query_id", "filename")) if n <= BROADCAST_ROWS else picked.select("query_id", "filename"), "filename")
+    picked = F.broadcast(picked) if n <= BROADCAST_ROWS else picked
     vec = queries.select("query_id", "vec")
     per_file = Window.partitionBy("query_id", "filename")
+    mine = chunks.select("chunk_id", "filename", "embedding").join(picked, "filename")
     sims = mine.join(vec, "query_id").withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("vec")), 9)).filter("similarity is not null")
     v = sims.withColumn("v_rank", F.row_number().over(per_file.orderBy(F.desc("similarity"), "chunk_id"))).filter(F.col("v_rank") <= pool).select("query_id", "filename", "chunk_id", "v_rank")
-    words = mine.select("query_id", "filename", "chunk_id", F.explode(terms("content")).alias("term")).groupBy("query_id", "filename", "chunk_id", "term").agg(F.count("*").alias("tf"))
-    t = words.join(query_terms(queries), ["query_id", "term"]).groupBy("query_id", "filename", "chunk_id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + F.lit(1.0))), 9).alias("s"))
+    inside = chunks.select("chunk_id", "filename").join(picked, "filename")
+    t = text_scores(queries, chunks, postings).join(inside, ["query_id", "chunk_id"]).select("query_id", "filename", "chunk_id", F.col("score").alias("s"))
     t = t.withColumn("t_rank", F.row_number().over(per_file.orderBy(F.desc("s"), "chunk_id"))).filter(F.col("t_rank") <= pool).select("query_id", "filename", "chunk_id", "t_rank")
     score = F.coalesce(reciprocal_rank(F.col("v_rank")), F.lit(0.0)) + F.coalesce(reciprocal_rank(F.col("t_rank")), F.lit(0.0))
     both = v.join(t, ["query_id", "filename", "chunk_id"], "full_outer").withColumn("score", F.round(score, 9))
     return both.withColumn("rank", F.row_number().over(per_file.orderBy(F.desc("score"), "chunk_id"))).filter(F.col("rank") <= pool).select("query_id", "filename", "chunk_id", "score", "rank")
 
 
-def routed_search(queries: DataFrame, chunks: DataFrame, summaries: DataFrame, limit: int, top: int = TOP_DOCUMENTS, per_document: int = PER_DOCUMENT, diversify: bool = True) -> DataFrame:
+def routed_search(queries: DataFrame, chunks: DataFrame, summaries: DataFrame, limit: int, top: int = TOP_DOCUMENTS, per_document: int = PER_DOCUMENT, diversify: bool = True, postings: DataFrame | None = None) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: the best documents first, then the best chunks of each, in the documents' order."""
-    documents = written(document_ranks(queries, chunks, summaries, top), "documents")  # used three times; a few rows a query
-    inside = search_within(queries, chunks, documents, per_document)
+    documents = written(document_ranks(queries, chunks, summaries, top, postings), "documents")  # used three times; a few rows a query
+    inside = search_within(queries, chunks, documents, per_document, postings)
     if diversify:
         inside = mmr(inside, chunks, per_document, ["query_id", "filename"]).withColumnRenamed("mmr_rank", "rank")
     else:
@@ -177,25 +199,36 @@ def routed_search(queries: DataFrame, chunks: DataFrame, summaries: DataFrame, l
     return joined.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("query_id", "chunk_id", "score", F.col("place").alias("rank"))
 
 
-def collapse_duplicates(results: DataFrame, chunks: DataFrame, window: int = CONTEXT_WINDOW) -> DataFrame:
-    """``(query_id, chunk_id, rank, span_start, span_end)``: equal passages dropped, overlapping spans of text in one file folded.
+def _with_chunks(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ranked results with their chunks; a result set is a few rows a question, sent to the chunks if they are few."""
+    slim = written(results.select("query_id", "chunk_id", "rank"), "results")
+    few = slim.count() <= BROADCAST_ROWS
+    return chunks.select("chunk_id", "filename", "chunk_index", "source_type", "content").join(F.broadcast(slim) if few else slim, "chunk_id")
 
-    Spans are unions of the intervals around kept text chunks; the chunk of the best rank stands for
-    the span. Other kinds of chunk keep their own row without a span. Null contents equal each other.
-    """
-    rows = results.select("query_id", "chunk_id", "rank").join(chunks.select("chunk_id", "filename", "chunk_index", "source_type", "content"), "chunk_id")
+
+def _collapse(rows: DataFrame, window: int) -> DataFrame:
+    """(query_id, chunk_id, rank, filename, own, span_start, span_end) of results with their chunks."""
     same = Window.partitionBy("query_id", normalise_text("content")).orderBy("rank", "chunk_id")
-    rows = rows.withColumn("copy", F.row_number().over(same)).filter("copy = 1")
+    rows = rows.withColumn("copy", F.row_number().over(same)).filter("copy = 1").withColumnRenamed("content", "own")
     text = rows.filter("source_type = 'text' and chunk_index is not null")
     along = Window.partitionBy("query_id", "filename").orderBy("chunk_index", "chunk_id")
     apart = F.col("chunk_index") - F.lag("chunk_index").over(along) > 2 * window
     islands = text.withColumn("island", F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(along))
     spans = islands.groupBy("query_id", "filename", "island").agg(
-        F.min(F.struct("rank", "chunk_id")).alias("head"), (F.min("chunk_index") - window).alias("span_start"), (F.max("chunk_index") + window).alias("span_end")
+        F.min(F.struct("rank", "chunk_id", "own")).alias("head"), (F.min("chunk_index") - window).alias("span_start"), (F.max("chunk_index") + window).alias("span_end")
     )
-    folded = spans.select("query_id", F.col("head.chunk_id").alias("chunk_id"), F.col("head.rank").alias("rank"), "span_start", "span_end")
+    folded = spans.select("query_id", "head.chunk_id", "head.rank", "filename", "head.own", "span_start", "span_end")
     none = F.lit(None).cast("int")
-    return folded.unionByName(rows.filter("source_type != 'text' or chunk_index is null or source_type is null").select("query_id", "chunk_id", "rank", none.alias("span_start"), none.alias("span_end")))
+    return folded.unionByName(rows.filter("source_type != 'text' or chunk_index is null or source_type is null").select("query_id", "chunk_id", "rank", "filename", "own", none.alias("span_start"), none.alias("span_end")))
+
+
+def collapse_duplicates(results: DataFrame, chunks: DataFrame, window: int = CONTEXT_WINDOW) -> DataFrame:
+    """``(query_id, chunk_id, rank, span_start, span_end)``: equal passages dropped, overlapping spans of text in one file folded.
+
+    Spans are unions of the intervals around kept text chunks; the chunk of the best rank stands for
+    the span. Other kinds of chunk keep their own row without a span. Null contents equal each other.
+    """
+    return _collapse(_with_chunks(results, chunks), window).select("query_id", "chunk_id", "rank", "span_start", "span_end")
 
 
 def joined_content(index: str, content: str, separator: str = "\n") -> Column:
@@ -204,10 +237,16 @@ def joined_content(index: str, content: str, separator: str = "\n") -> Column:
 
 
 def expand_context(results: DataFrame, chunks: DataFrame, window: int = CONTEXT_WINDOW) -> DataFrame:
-    """``(query_id, chunk_id, rank, filename, content)``: each folded span with all its text, other rows as they are."""
-    folded = collapse_duplicates(results, chunks, window).join(chunks.select("chunk_id", "filename", F.col("content").alias("own")), "chunk_id")
-    text = chunks.filter("source_type = 'text' and content is not null").select(F.col("filename").alias("f"), F.col("chunk_index").alias("i"), "content")
-    inside = folded.filter("span_start is not null").join(text, (F.col("filename") == F.col("f")) & F.col("i").between(F.col("span_start"), F.col("span_end")))
+    """``(query_id, chunk_id, rank, filename, content)``: each folded span with all its text, other rows as they are.
+
+    Spans are spelled out as the places they cover, so that the text is met by an equi-join: a file with most
+    of the chunks is no group of its own.
+    """
+    folded = written(_collapse(_with_chunks(results, chunks), window), "folded")
+    places = folded.filter("span_start is not null").select("query_id", "chunk_id", "filename", F.explode(F.sequence("span_start", "span_end")).alias("i"))
+    few = folded.agg(F.coalesce(F.sum(F.col("span_end") - F.col("span_start") + 1), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    text = chunks.filter("source_type = 'text' and content is not null").select("filename", F.col("chunk_index").alias("i"), "content")
+    inside = text.join(F.broadcast(places) if few else places, ["filename", "i"])
     spans = inside.groupBy("query_id", "chunk_id").agg(joined_content("i", "content").alias("expanded"))
     return folded.join(spans, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", "rank", "filename", F.coalesce("expanded", "own").alias("content"))
 
@@ -235,9 +274,13 @@ def council_fusion(lists: DataFrame, budget: int) -> DataFrame:
 
 
 def uncovered(results: DataFrame, chunks: DataFrame, spans: DataFrame, whole: DataFrame) -> DataFrame:
-    """``results`` without chunks read before: ``spans`` (filename, chunk_index; text covers its neighbours) and ``whole`` files."""
+    """``results`` without chunks read before: ``spans`` (filename, chunk_index, source_type) and ``whole`` files.
+
+    A text chunk was read with its neighbours, another kind alone.
+    """
     rows = results.join(chunks.select("chunk_id", "filename", "chunk_index"), "chunk_id")
-    near = spans.select("filename", F.explode(F.sequence(F.col("chunk_index") - 1, F.col("chunk_index") + 1)).alias("chunk_index")).distinct()
+    reach = F.when(F.col("source_type") == "text", F.lit(CONTEXT_WINDOW)).otherwise(F.lit(0))
+    near = spans.select("filename", F.explode(F.sequence(F.col("chunk_index") - reach, F.col("chunk_index") + reach)).alias("chunk_index")).distinct()
     return rows.join(near, ["filename", "chunk_index"], "left_anti").join(whole.select("filename").distinct(), "filename", "left_anti").select(*results.columns)
 
 

@@ -72,9 +72,9 @@ def _within() -> str:
               FROM wv FULL JOIN wt USING (query_id, filename, chunk_id))"""
 
 
-def _collapsed() -> str:
-    return f"""{_ranks()},
-    found AS (SELECT query_id, chunk_id, rank, filename, chunk_index, source_type, content FROM fused JOIN chunks USING (chunk_id)
+def _collapsed(ranked: str | None = None, source: str = "fused") -> str:
+    return f"""{ranked or _ranks()},
+    found AS (SELECT query_id, chunk_id, rank, filename, chunk_index, source_type, content FROM {source} JOIN chunks USING (chunk_id)
               QUALIFY row_number() OVER (PARTITION BY query_id, {NORMAL('content')} ORDER BY rank, chunk_id) = 1),
     marked AS (SELECT *, CASE WHEN chunk_index - lag(chunk_index) OVER w > 2 THEN 1 WHEN lag(chunk_index) OVER w IS NULL THEN 1 ELSE 0 END AS new
                FROM found WHERE source_type = 'text' AND chunk_index IS NOT NULL WINDOW w AS (PARTITION BY query_id, filename ORDER BY chunk_index, chunk_id)),
@@ -85,8 +85,34 @@ def _collapsed() -> str:
                SELECT query_id, chunk_id, rank, NULL, NULL FROM found WHERE source_type <> 'text' OR chunk_index IS NULL OR source_type IS NULL)"""
 
 
+def _picks(source: str, group: list[str], limit: int) -> str:
+    """Greedy diversification of ``source`` (*group, chunk_id, score, rank), one step a pick."""
+    keys = ", ".join(group)
+    same = " AND ".join(f"p.{g} = c.{g}" for g in group)
+    parts = [f"""cand AS MATERIALIZED (SELECT {', '.join(f's.{g}' for g in group)}, chunk_id, s.score, s.rank, s.score / nullif(max(s.score) OVER (PARTITION BY {', '.join(f's.{g}' for g in group)}), 0) AS rel, CAST(embedding AS DOUBLE[]) AS e FROM {source} s JOIN chunks USING (chunk_id))"""]
+    for i in range(1, limit + 1):
+        if i == 1:
+            parts.append(f"""pick1 AS MATERIALIZED (SELECT {keys}, chunk_id, score, rel, e, 1 AS n FROM cand c QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY round(0.7 * coalesce(rel, 1), 12) DESC, rank) = 1)""")
+            continue
+        before = " UNION ALL ".join(f"SELECT * FROM pick{j}" for j in range(1, i))
+        parts.append(f"""pick{i} AS MATERIALIZED (WITH p AS ({before}),
+            v AS (SELECT {', '.join(f'c.{g}' for g in group)}, c.chunk_id, c.score, c.rel, c.e, c.rank, greatest(max(coalesce(list_cosine_similarity(c.e, p.e), 0)), 0) AS near FROM cand c JOIN p ON {same} GROUP BY ALL HAVING NOT bool_or(c.chunk_id = p.chunk_id))
+            SELECT {keys}, chunk_id, score, rel, e, {i} AS n FROM v QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY round(0.7 * coalesce(rel, 1) - (1 - CAST(0.7 AS DOUBLE)) * near, 12) DESC, rank) = 1)""")
+    every = " UNION ALL ".join(f"SELECT {keys}, chunk_id, score, n FROM pick{j}" for j in range(1, limit + 1))
+    return f"{', '.join(parts)}, picked AS (SELECT {keys}, chunk_id, score, n AS rank FROM ({every}))"
+
+
+def _mmr_of_fused() -> str:
+    return f"{_ranks()}, {_picks('fused', ['query_id'], 10)}"
+
+
+def _mmr_within() -> str:
+    ranked = "inside AS (SELECT query_id, filename, chunk_id, score, row_number() OVER (PARTITION BY query_id, filename ORDER BY score DESC, chunk_id) AS rank FROM wboth QUALIFY rank <= 24)"
+    return f"{_within()}, {ranked}, {_picks('inside', ['query_id', 'filename'], 6)}"
+
+
 _COVERED = """
-    near AS (SELECT DISTINCT filename, chunk_index + o AS chunk_index FROM chunks, unnest([-1, 0, 1]) AS u(o) WHERE source_type = 'chart_data'),
+    near AS (SELECT DISTINCT filename, chunk_index + o AS chunk_index FROM chunks, unnest([-1, 0, 1]) AS u(o) WHERE (chunk_index = 0 OR source_type <> 'text') AND (o = 0 OR source_type = 'text')),
     whole AS (SELECT DISTINCT filename FROM chunks WHERE source_format = 'xlsx')"""
 
 _LINKS = """
@@ -96,6 +122,25 @@ _LINKS = """
     stated AS (SELECT chunk_id, subject_id AS phrase_id FROM links JOIN graph_facts USING (fact_id) WHERE subject_id IS NOT NULL
                UNION SELECT chunk_id, object_id FROM links JOIN graph_facts USING (fact_id) WHERE object_id IS NOT NULL)"""
 
+_GRAPH = f"""{_LINKS},
+    named AS (SELECT least(subject_id, object_id) AS x, greatest(subject_id, object_id) AS y, CAST(2 AS DOUBLE) AS weight FROM links JOIN graph_facts USING (fact_id)
+              WHERE subject_id IS NOT NULL AND object_id IS NOT NULL AND subject_id <> object_id
+              UNION ALL SELECT least(phrase_a, phrase_b), greatest(phrase_a, phrase_b), 2 * CAST(weight AS DOUBLE) FROM graph_edges
+              WHERE weight IS NOT NULL AND NOT isnan(weight) AND NOT isinf(weight) AND phrase_a <> phrase_b),
+    edges AS MATERIALIZED (SELECT 'p:' || x AS a, 'p:' || y AS b, sum(weight) AS weight FROM named GROUP BY x, y
+              UNION ALL SELECT 'c:' || chunk_id, 'p:' || phrase_id, 1 FROM stated)"""
+
+_SEEDS = f"""
+    fact_sims AS MATERIALIZED (SELECT query_id, fact_id, round(list_cosine_similarity(vec, e), 9) AS similarity
+              FROM q, (SELECT fact_id, CAST(embedding AS DOUBLE[]) AS e FROM graph_facts JOIN graph_phrases ON phrase_id = subject_id WHERE embedding IS NOT NULL) WHERE list_dot_product(e, e) > 0),
+    floors AS (SELECT query_id, min(similarity) AS low FROM fact_sims GROUP BY query_id),
+    close AS (SELECT query_id, fact_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, fact_id) AS rank FROM fact_sims QUALIFY rank <= 5),
+    scored_facts AS (SELECT query_id, fact_id, rank, CASE WHEN max(similarity) OVER (PARTITION BY query_id) > low THEN (similarity - low) / (max(similarity) OVER (PARTITION BY query_id) - low) ELSE 1 END AS s FROM close JOIN floors USING (query_id)),
+    ends AS (SELECT query_id, rank, s, unnest([subject_id, object_id]) AS phrase_id FROM scored_facts JOIN graph_facts USING (fact_id)),
+    linking AS (SELECT query_id, phrase_id, arg_max(s, rank) AS last, avg(s) AS mean FROM ends WHERE phrase_id IS NOT NULL GROUP BY ALL),
+    seeds AS (SELECT query_id, 'p:' || l.phrase_id AS vertex, last / greatest(coalesce((SELECT count(*) FROM stated WHERE stated.phrase_id = l.phrase_id), 0), 1) AS weight FROM linking l
+              QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(mean, 9) DESC, l.phrase_id) <= 5)"""
+
 _MESSAGES = """
     m AS (SELECT message_id, min(struct_pack(a := conversation_id, b := parent_id, c := role, d := content, e := created_at)) AS r FROM conversation_messages GROUP BY message_id),
     messages AS (SELECT message_id, r.a AS conversation_id, r.b AS parent_id, r.c AS role, r.d AS content, r.e AS created_at FROM m)"""
@@ -109,6 +154,15 @@ _PAGE = """WITH {messages},
     ORDER BY page.updated_at DESC, conversation_id DESC LIMIT 21"""
 
 
+def _expanded(collapsed: str) -> str:
+    return f"""WITH {collapsed}, around AS (
+        SELECT f.query_id, f.chunk_id, string_agg(n.content, chr(10) ORDER BY n.chunk_index, n.content) AS expanded
+        FROM folded f JOIN chunks c ON c.chunk_id = f.chunk_id JOIN chunks n ON n.filename = c.filename AND n.source_type = 'text' AND n.content IS NOT NULL
+         AND n.chunk_index BETWEEN f.span_start AND f.span_end GROUP BY ALL)
+        SELECT f.query_id, f.chunk_id, CAST(f.rank AS INTEGER) AS rank, c.filename, coalesce(i.expanded, c.content) AS content
+        FROM folded f JOIN chunks c USING (chunk_id) LEFT JOIN around i ON i.query_id = f.query_id AND i.chunk_id = f.chunk_id"""
+
+
 def statements() -> dict[str, str]:
     fused = _ranks()
     content = f"WITH {fused}, c AS (SELECT query_id, chunk_id, rank, filename, content FROM fused JOIN chunks USING (chunk_id))"
@@ -122,12 +176,14 @@ def statements() -> dict[str, str]:
         "within_document": f"""WITH {_within()} SELECT query_id, filename, chunk_id, round(score, 6) AS score,
             CAST(row_number() OVER (PARTITION BY query_id, filename ORDER BY wboth.score DESC, chunk_id) AS INTEGER) AS rank FROM wboth QUALIFY rank <= 24""",
         "collapse_duplicates": f"WITH {_collapsed()} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, span_start, span_end FROM folded",
-        "expand_context": f"""WITH {_collapsed()}, inside AS (
-            SELECT f.query_id, f.chunk_id, string_agg(n.content, chr(10) ORDER BY n.chunk_index, n.content) AS expanded
-            FROM folded f JOIN chunks c ON c.chunk_id = f.chunk_id JOIN chunks n ON n.filename = c.filename AND n.source_type = 'text' AND n.content IS NOT NULL
-             AND n.chunk_index BETWEEN f.span_start AND f.span_end GROUP BY ALL)
-            SELECT f.query_id, f.chunk_id, CAST(f.rank AS INTEGER) AS rank, c.filename, coalesce(i.expanded, c.content) AS content
-            FROM folded f JOIN chunks c USING (chunk_id) LEFT JOIN inside i ON i.query_id = f.query_id AND i.chunk_id = f.chunk_id""",
+        "expand_context": _expanded(_collapsed()),
+        "hybrid_search": _expanded(_collapsed(_mmr_of_fused(), "picked")),
+        "mmr_rerank": f"WITH {_mmr_of_fused()} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS mmr_rank FROM picked",
+        "search_within_mmr": f"WITH {_mmr_within()} SELECT query_id, filename, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS mmr_rank FROM picked",
+        "routed_search": f"""WITH {_mmr_within()}, one AS (SELECT p.query_id, chunk_id, p.score, p.rank, top.rank AS doc_rank FROM picked p JOIN top USING (query_id, filename)
+                QUALIFY row_number() OVER (PARTITION BY p.query_id, chunk_id ORDER BY top.rank, p.rank) = 1)
+            SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY doc_rank, one.rank, chunk_id) AS INTEGER) AS rank FROM one QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY doc_rank, one.rank, chunk_id) <= 15""",
+        "text_topk_scan": f"WITH {_ranks()} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM t",
         "multi_query_union": f"""WITH {fused}, {_LISTS}, kept AS (SELECT * FROM lists QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY list_no, rank) = 1)
             SELECT query_id, chunk_id, list_no, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_no, rank, chunk_id) AS INTEGER) AS place FROM kept QUALIFY place <= 60""",
         "interleave_lists": f"""WITH {fused}, {_LISTS}, kept AS (SELECT * FROM lists QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank, list_no) = 1)
@@ -162,9 +218,42 @@ def statements() -> dict[str, str]:
             SELECT query_id, rank, batch_no FROM fold""",
         "number_sources": f"""{content}, keyed AS (SELECT *, min(rank) OVER (PARTITION BY query_id, filename, {normal}) AS first FROM c)
             SELECT query_id, chunk_id, CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY first) AS INTEGER) AS number, rank <> first AS pointer FROM keyed""",
-        "render_notes": f"""{content}, files AS (SELECT query_id, filename, count(*) AS notes, min(rank) AS first, sum({TOKENS.format(c='content')}) AS tokens FROM c GROUP BY ALL),
-            ranked AS (SELECT *, row_number() OVER w AS number, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM files WINDOW w AS (PARTITION BY query_id ORDER BY notes DESC, first))
-            SELECT query_id, filename, notes, CAST(number AS INTEGER) AS number, CAST(used AS BIGINT) AS used FROM ranked WHERE used <= 1500""",
+        "render_notes": f"""WITH {fused}, n AS (SELECT query_id, rank AS note_no, filename, chunk_id AS excerpt, chunk_index AS position, left({normal}, 200) AS claim,
+                CASE WHEN source_type = 'image_caption' THEN 'description of a figure' || coalesce(', page ' || page_number, '') WHEN source_type = 'chart_data' THEN 'data behind a chart' || coalesce(', page ' || page_number, '')
+                     WHEN page_number IS NOT NULL THEN 'page ' || page_number ELSE 'text' END AS label FROM fused JOIN chunks USING (chunk_id)),
+            files AS (SELECT query_id, filename, count(*) AS notes, min(note_no) AS first FROM n GROUP BY ALL),
+            ranked AS (SELECT query_id, filename, notes, row_number() OVER (PARTITION BY query_id ORDER BY notes DESC, first, filename) AS number FROM files),
+            cited AS (SELECT n.*, notes, number, row_number() OVER (PARTITION BY query_id ORDER BY number, position, note_no) AS cite FROM n JOIN ranked USING (query_id, filename)),
+            blocks AS (SELECT query_id, number, filename, notes, '## ' || filename || chr(10) || string_agg('- [' || cite || '] (' || label || ') ' || coalesce(claim, ''), chr(10) ORDER BY position, note_no) AS block FROM cited GROUP BY query_id, number, filename, notes),
+            summed AS (SELECT *, sum(CAST(floor(length(block) / 1.5) AS BIGINT) + 1) OVER (PARTITION BY query_id ORDER BY number ROWS UNBOUNDED PRECEDING) AS used FROM blocks)
+            SELECT query_id, filename, notes, CAST(number AS INTEGER) AS number, CAST(used AS BIGINT) AS used, block FROM summed WHERE used <= 1500""",
+        "number_within": f"""{content}, keyed AS (SELECT *, min(rank) OVER (PARTITION BY query_id, filename, {normal}) AS first FROM c),
+            numbered AS (SELECT query_id, rank, content, dense_rank() OVER (PARTITION BY query_id ORDER BY first) AS number, rank <> first AS pointer FROM keyed),
+            lines AS (SELECT query_id, rank, number, pointer, CASE WHEN pointer THEN '[' || number || '] (same passage as [' || number || '] above)' ELSE '[' || number || '] ' || coalesce(content, '') END AS line FROM numbered),
+            cut AS (SELECT *, sum(CAST(floor(length(line) / 1.5) AS BIGINT) + 4) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM lines)
+            SELECT query_id, CAST(place AS INTEGER) AS place, CAST(number AS INTEGER) AS number, pointer, line FROM cut WHERE used <= 3000
+            UNION ALL SELECT query_id, CAST(min(place) AS INTEGER), NULL, NULL, '(' || count(*) || ' more results did not fit and were left out.)' FROM cut WHERE used > 3000 GROUP BY query_id""",
+        "spreadsheet_sample": """WITH t AS (SELECT filename, chunk_id, chunk_index, source_format, row_number() OVER (PARTITION BY filename, page_number ORDER BY chunk_index, chunk_id) = 1 AS first FROM chunks WHERE source_type = 'text'),
+            sizes AS (SELECT filename, count(*) AS n, count(*) FILTER (WHERE first) AS heads, bool_or(source_format = 'xlsx') AS sheet FROM t GROUP BY filename),
+            big AS (SELECT * FROM sizes WHERE n > 40 AND sheet),
+            rest AS (SELECT t.*, n, heads, row_number() OVER (PARTITION BY filename ORDER BY chunk_index, chunk_id) - 1 AS i FROM t JOIN big USING (filename) WHERE NOT first),
+            spread AS (SELECT DISTINCT filename, CAST(floor(k * ((n - heads) / CAST(40 - heads AS DOUBLE))) AS BIGINT) AS i FROM big, unnest(range(0, greatest(40 - heads, 0))) AS u(k) WHERE n > heads),
+            kept AS (SELECT filename, chunk_id, chunk_index FROM t WHERE filename NOT IN (SELECT filename FROM big) UNION ALL SELECT filename, chunk_id, chunk_index FROM t JOIN big USING (filename) WHERE first
+                UNION ALL SELECT filename, chunk_id, chunk_index FROM rest JOIN spread USING (filename, i))
+            SELECT filename, chunk_id, CAST(row_number() OVER (PARTITION BY filename ORDER BY chunk_index, chunk_id) AS INTEGER) AS place FROM kept""",
+        "chunk_text": r"""WITH p AS (SELECT doc_id, unnest(s) AS paragraph, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\n[ \t\r\x0b\x0c]*\n[ \t\r\n\x0b\x0c]*') AS s FROM documents)),
+            w AS (SELECT doc_id, i, list_filter(regexp_split_to_array(paragraph, '__SPACES__'), lambda x: x <> '') AS w FROM p),
+            c AS (SELECT doc_id, i, k, array_to_string(w[k + 1 : k + 500], ' ') AS chunk FROM w, unnest(range(0, len(w), 500)) AS u(k) WHERE len(w) > 0)
+            SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INTEGER) AS chunk_no, chunk FROM c""".replace("__SPACES__", SPACES),
+        "delete_documents": f"""WITH {_LINKS}, gone AS (SELECT DISTINCT filename FROM chunks WHERE source_format = 'xlsx'), kept AS (SELECT * FROM chunks WHERE filename IS NULL OR filename NOT IN (SELECT filename FROM gone WHERE filename IS NOT NULL)),
+            l AS (SELECT * FROM links WHERE chunk_id IN (SELECT chunk_id FROM kept)), f AS (SELECT * FROM graph_facts WHERE fact_id IN (SELECT fact_id FROM l)),
+            p AS (SELECT phrase_id FROM graph_phrases WHERE phrase_id IN (SELECT subject_id FROM f) OR phrase_id IN (SELECT object_id FROM f))
+            SELECT 'chunks' AS kept, count(*) AS rows FROM kept
+            UNION ALL SELECT 'summaries', count(DISTINCT filename) FROM chunks WHERE embedding IS NOT NULL AND filename NOT IN (SELECT filename FROM gone)
+            UNION ALL SELECT 'files', count(*) FROM document_files WHERE filename NOT IN (SELECT filename FROM gone)
+            UNION ALL SELECT 'facts', count(*) FROM f UNION ALL SELECT 'phrases', count(*) FROM p UNION ALL SELECT 'links', count(*) FROM l
+            UNION ALL SELECT 'edges', count(*) FROM graph_edges WHERE phrase_a IN (SELECT phrase_id FROM p) AND phrase_b IN (SELECT phrase_id FROM p)
+            UNION ALL SELECT 'deleted', count(*) FROM chunks WHERE filename IN (SELECT filename FROM gone)""",
         "list_documents": "SELECT filename, count(*) AS chunks FROM chunks WHERE starts_with(filename, 'Projects/') AND lower(filename) LIKE '%.pdf' GROUP BY filename",
         "list_documents_page": "SELECT filename, count(*) AS chunks FROM chunks WHERE filename ILIKE '%re_ort%p%' GROUP BY filename ORDER BY filename LIMIT 5 OFFSET 2",
         "list_documents_literal": "SELECT filename, count(*) AS chunks FROM chunks WHERE contains(lower(filename), 'team 100%') GROUP BY filename",
@@ -179,15 +268,16 @@ def statements() -> dict[str, str]:
         "corpus_stamp": """SELECT (SELECT count(*) FROM graph_facts) AS facts_rows, (SELECT max(created_at) AT TIME ZONE 'UTC' FROM graph_facts) AS facts_latest,
             (SELECT count(*) FROM graph_phrases) AS phrases_rows, (SELECT max(created_at) AT TIME ZONE 'UTC' FROM graph_phrases) AS phrases_latest,
             (SELECT count(*) FROM graph_edges) AS edges_rows, CAST(NULL AS TIMESTAMP) AS edges_latest""",
-        "pending_summaries": "SELECT DISTINCT filename FROM chunks WHERE filename NOT IN (SELECT filename FROM chunks WHERE embedding IS NOT NULL)",
+        "pending_summaries": "SELECT DISTINCT filename FROM chunks WHERE filename NOT IN (SELECT filename FROM chunks WHERE source_format = 'pdf')",
         "pending_captions": "SELECT DISTINCT filename FROM document_files WHERE captioned_at IS NULL AND filename ILIKE '%report%' AND NOT filename ILIKE '%inbox%'",
         "format_backfill": r"""SELECT chunk_id, CASE WHEN k IN ('pdf', 'docx', 'pptx', 'xlsx', 'txt', 'md') THEN k ELSE 'pdf' END AS source_format
             FROM (SELECT chunk_id, lower(regexp_extract(filename, '\.([^./]*)$', 1)) AS k FROM chunks)""",
         "dedupe_rows": "SELECT min(chunk_id) AS chunk_id, count(*) AS copies FROM chunks GROUP BY filename, chunk_index, content",
         "duplicate_files": """WITH n AS (SELECT sha256, filename, min(created_at) AS first_at FROM document_files WHERE sha256 IS NOT NULL GROUP BY ALL)
             SELECT sha256, first(filename ORDER BY length(filename), first_at, filename) AS kept, count(*) AS names FROM n GROUP BY sha256 HAVING count(*) > 1""",
-        "exact_hash": """WITH n AS (SELECT filename, min(sha256) AS sha256 FROM document_files GROUP BY filename)
-            SELECT filename, min(filename) OVER (PARTITION BY sha256) AS holder FROM n WHERE sha256 IS NOT NULL QUALIFY holder <> filename""",
+        "exact_hash": """WITH n AS (SELECT batch_no >= 6 AS fresh, filename, min(sha256) AS sha256 FROM document_files GROUP BY ALL), held AS (SELECT sha256, min(filename) AS old FROM n WHERE NOT fresh AND sha256 IS NOT NULL GROUP BY sha256),
+            f AS (SELECT filename, sha256, min(filename) OVER (PARTITION BY sha256) AS first FROM n WHERE fresh AND sha256 IS NOT NULL)
+            SELECT filename, coalesce(old, first) AS holder FROM f LEFT JOIN held USING (sha256) WHERE coalesce(old, first) <> filename""",
         "caption_cache": """SELECT file_id AS image_id, sha256, caption FROM document_files LEFT JOIN
             (SELECT sha256, max(filename) AS caption FROM document_files WHERE captioned_at IS NOT NULL GROUP BY sha256) USING (sha256)""",
         "stage_shares": "SELECT event_type AS stage, count(*) AS n, round(sum(value), 6) AS seconds, round(round(sum(value), 6) / sum(round(sum(value), 6)) OVER (), 6) AS share FROM events GROUP BY event_type",
@@ -202,16 +292,10 @@ def statements() -> dict[str, str]:
         "cited_sources": f"""WITH {_MESSAGES}, n AS (SELECT message_id, list_sort(list_distinct(list_transform(regexp_extract_all(content, '\\[([0-9]{{1,6}})\\]', 1), lambda x: CAST(x AS INTEGER)))) AS k
             FROM messages WHERE lower(trim(role)) IN ('assistant', 'bot') AND content IS NOT NULL)
             SELECT message_id, array_to_string(list_filter(k, lambda x: x BETWEEN 1 AND 4), ',') AS cited, array_to_string(list_filter(k, lambda x: x < 1 OR x > 4), ',') AS dangling FROM n WHERE len(k) > 0""",
-        "fact_edges": """SELECT least(subject_id, object_id) AS phrase_a, greatest(subject_id, object_id) AS phrase_b, count(*) AS facts FROM graph_facts
+        "fact_edges": f"""WITH {_LINKS} SELECT least(subject_id, object_id) AS phrase_a, greatest(subject_id, object_id) AS phrase_b, count(*) AS facts FROM links JOIN graph_facts USING (fact_id)
             WHERE subject_id IS NOT NULL AND object_id IS NOT NULL AND subject_id <> object_id GROUP BY 1, 2""",
         "passage_edges": f"WITH {_LINKS} SELECT chunk_id, phrase_id FROM stated",
-        "graph_edges_weighted": f"""WITH {_LINKS}, named AS (
-                SELECT least(subject_id, object_id) AS x, greatest(subject_id, object_id) AS y, CAST(2 AS DOUBLE) AS weight FROM graph_facts
-                WHERE subject_id IS NOT NULL AND object_id IS NOT NULL AND subject_id <> object_id
-                UNION ALL SELECT least(phrase_a, phrase_b), greatest(phrase_a, phrase_b), 2 * CAST(weight AS DOUBLE) FROM graph_edges
-                WHERE weight IS NOT NULL AND NOT isnan(weight) AND NOT isinf(weight) AND phrase_a <> phrase_b)
-            SELECT 'p:' || x AS a, 'p:' || y AS b, round(sum(weight), 4) AS weight FROM named GROUP BY x, y
-            UNION ALL SELECT 'c:' || chunk_id, 'p:' || phrase_id, 1 FROM stated""",
+        "graph_edges_weighted": f"WITH {_GRAPH} SELECT a, b, round(weight, 4) AS weight FROM edges",
         "synonym_edges": """WITH p AS (SELECT phrase_id, CAST(embedding AS DOUBLE[]) AS e FROM graph_phrases
                 WHERE embedding IS NOT NULL AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
             pairs AS (SELECT n.phrase_id AS a, o.phrase_id AS b, round(list_cosine_similarity(n.e, o.e), 9) AS s FROM p n, p o
@@ -223,7 +307,10 @@ def statements() -> dict[str, str]:
             AND NOT EXISTS (SELECT 1 FROM graph_facts WHERE object_id = p.phrase_id)""",
         "usable_phrases": r"""SELECT phrase_id FROM graph_phrases WHERE length(regexp_replace(phrase, '[^\p{L}\p{N}_]', '', 'g')) > 2
             AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0""",
-        "graph_totals": "SELECT (SELECT count(*) FROM graph_phrases) AS phrases, (SELECT count(*) FROM graph_facts) AS facts, (SELECT count(*) FROM graph_edges) AS edges",
+        "graph_totals": f"""WITH {_LINKS} SELECT (SELECT count(*) FROM graph_phrases) AS phrases, (SELECT count(*) FROM graph_facts) AS facts, (SELECT count(*) FROM links) AS links, (SELECT count(*) FROM graph_edges) AS edges,
+            (SELECT count(*) FROM chunks WHERE chunk_id IN (SELECT chunk_id FROM links)) AS extracted, (SELECT count(*) FROM chunks) AS chunks""",
+        "fact_floor": f"WITH {_LINKS}, {_QUERIES}, {_SEEDS} SELECT query_id, round(low, 6) AS low FROM floors",
+        "graph_search": _graph_search_sql(),
         "closest_facts": f"""WITH {_QUERIES}, f AS (SELECT fact_id, CAST(embedding AS DOUBLE[]) AS e FROM graph_facts JOIN graph_phrases ON phrase_id = subject_id WHERE embedding IS NOT NULL)
             SELECT query_id, fact_id, round(round(list_cosine_similarity(vec, e), 9), 6) AS similarity,
                 CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(vec, e), 9) DESC, fact_id) AS INTEGER) AS rank
@@ -241,7 +328,8 @@ def statements() -> dict[str, str]:
         "search_conversations": _PAGE.format(messages=_MESSAGES, condition="conversation_id IN (SELECT conversation_id FROM asked WHERE contains(lower(content), 'backup schedule'))"),
         "replace_documents": """SELECT chunk_id, filename, chunk_index, content FROM chunks WHERE filename NOT IN (SELECT filename FROM chunks WHERE chunk_index = 0)
             UNION ALL SELECT 'n-' || chunk_id, filename, chunk_index, upper(content) FROM chunks WHERE chunk_index = 0""",
-        "upsert_files": "SELECT DISTINCT filename FROM document_files",
+        "upsert_files": """SELECT filename, file_id, sha256, batch_no FROM document_files WHERE filename IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY filename ORDER BY batch_no >= 6 DESC, file_id DESC) = 1""",
         "assemble_calls": """SELECT user_id AS turn_id, 0 AS call_index, first(event_type ORDER BY event_id) AS call_id, first(event_type ORDER BY event_id) AS name,
             string_agg(CAST(event_id AS VARCHAR), '' ORDER BY event_id) AS arguments FROM events GROUP BY user_id""",
         "event_rates": """SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY ALL""",
@@ -249,16 +337,31 @@ def statements() -> dict[str, str]:
     }
 
 
-def _pagerank_sql(rounds: int = 20) -> str:
-    """The same 20 rounds, unrolled."""
-    head = """edges AS (SELECT least(phrase_a, phrase_b) AS a, greatest(phrase_a, phrase_b) AS b, max(CAST(weight AS DOUBLE)) AS weight FROM graph_edges
-            WHERE weight IS NOT NULL AND NOT isnan(weight) AND weight > 0 AND phrase_a <> phrase_b GROUP BY 1, 2),
-        two AS MATERIALIZED (SELECT a AS src, b AS dst, weight FROM edges UNION ALL SELECT b, a, weight FROM edges),
+def _walks(reset: str, rounds: int = 20) -> str:
+    """The same rounds, unrolled, from ``reset`` (query_id, vertex, weight)."""
+    head = f"""walked AS (SELECT * FROM edges WHERE weight > 0 AND a <> b),
+        two AS MATERIALIZED (SELECT a AS src, b AS dst, weight FROM walked UNION ALL SELECT b, a, weight FROM walked),
         step AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM two),
-        r0 AS MATERIALIZED (SELECT item_id AS query_id, (SELECT min(a) FROM edges) AS vertex, CAST(1 AS DOUBLE) AS score FROM eval_items WHERE item_id % 50 = 0)"""
+        r0 AS MATERIALIZED (SELECT query_id, vertex, weight / sum(weight) OVER (PARTITION BY query_id) AS score FROM (SELECT query_id, vertex, sum(weight) AS weight FROM {reset} WHERE weight > 0 GROUP BY ALL))"""
     parts = [head]
     for i in range(rounds):
         parts.append(f"""m{i} AS MATERIALIZED (SELECT query_id, dst AS vertex, sum(score * share) * 0.5 AS score FROM r{i} JOIN step ON src = vertex GROUP BY ALL),
+        g{i} AS MATERIALIZED (SELECT query_id, sum(score) AS moved FROM m{i} GROUP BY query_id),
         r{i + 1} AS MATERIALIZED (SELECT query_id, vertex, sum(score) AS score FROM (SELECT * FROM m{i} UNION ALL
-            SELECT query_id, vertex, score * (1 - coalesce((SELECT sum(score) FROM m{i} g WHERE g.query_id = r0.query_id), 0)) FROM r0) GROUP BY ALL)""")
-    return f"WITH {', '.join(parts)} SELECT query_id, vertex, round(score, 6) AS score FROM r{rounds} WHERE round(score, 6) > 0"
+            SELECT query_id, vertex, score * (1 - coalesce(moved, 0)) FROM r0 LEFT JOIN g{i} USING (query_id)) GROUP BY ALL)""")
+    return f"{', '.join(parts)}, ranks AS (SELECT * FROM r{rounds})"
+
+
+def _pagerank_sql() -> str:
+    return f"WITH {_GRAPH}, {_QUERIES}, {_SEEDS}, {_walks('seeds')} SELECT query_id, vertex, round(score, 6) AS score FROM ranks WHERE round(score, 6) > 0"
+
+
+def _graph_search_sql() -> str:
+    return f"""WITH {_GRAPH}, {_QUERIES}, {_SEEDS}, seeded AS (SELECT DISTINCT query_id FROM seeds WHERE weight > 0),
+        scaled AS (SELECT query_id, 'c:' || chunk_id AS vertex, 0.05 * CASE WHEN max(similarity) OVER w = min(similarity) OVER w THEN 1 ELSE (similarity - min(similarity) OVER w) / (max(similarity) OVER w - min(similarity) OVER w) END AS weight
+                   FROM sims WINDOW w AS (PARTITION BY query_id)),
+        reset AS (SELECT * FROM seeds UNION ALL SELECT * FROM scaled WHERE query_id IN (SELECT query_id FROM seeded)), {_walks('reset')},
+        found AS (SELECT query_id, substr(vertex, 3) AS chunk_id, round(score, 9) AS score FROM ranks WHERE starts_with(vertex, 'c:')
+                  UNION ALL SELECT query_id, chunk_id, similarity FROM sims WHERE query_id NOT IN (SELECT query_id FROM seeded))
+        SELECT query_id, chunk_id, round(found.score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY found.score DESC, chunk_id) AS INTEGER) AS rank FROM found
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY found.score DESC, chunk_id) <= 15"""

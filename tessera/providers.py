@@ -5,14 +5,19 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.sources.extract import worth_captioning
+
+# Texts a call, tries a call, and seconds of waiting that each try adds.
 EMBED_BATCH = 32
 TRIES = 3
+BACKOFF_SECONDS = 2.0
 
 
 class ModelProvider(Protocol):
@@ -46,6 +51,10 @@ class LocalProvider:
         sentences = re.split(r"(?<=[.!?])\s+", prompt.strip())
         return " ".join(sentences[:2])[: max_tokens * 4]
 
+    def stream(self, prompt: str, max_tokens: int) -> Iterator[str]:
+        for word in re.findall(r"\S+\s*", self.complete(prompt, max_tokens)):
+            yield word
+
     def caption(self, image: bytes) -> str | None:
         return f"image of {len(image)} bytes, {hashlib.sha256(image).hexdigest()[:12]}"
 
@@ -53,8 +62,8 @@ class LocalProvider:
         return int(len(text) / 1.5) + 1
 
 
-def embed_all(provider: ModelProvider, texts: list[str], allow_zero: bool = False) -> list[list[float]]:
-    """Vectors in batches, each tried several times; a vector of zeros is a failure unless allowed. Raises when it stays."""
+def embed_all(provider: ModelProvider, texts: list[str], allow_zero: bool = False, wait: Callable[[float], None] = time.sleep) -> list[list[float]]:
+    """Vectors in batches, each tried several times after ever longer waits; a vector of zeros is a failure unless allowed. Raises when it stays."""
     out: list[list[float]] = []
     for at in range(0, len(texts), EMBED_BATCH):
         part = texts[at : at + EMBED_BATCH]
@@ -67,10 +76,50 @@ def embed_all(provider: ModelProvider, texts: list[str], allow_zero: bool = Fals
             except Exception:
                 if attempt == TRIES:
                     raise
+                wait(BACKOFF_SECONDS * attempt)
         out += found
     return out
 
 
+def caption_image(provider: ModelProvider, image: bytes, wait: Callable[[float], None] = time.sleep) -> str | None:
+    """A caption, tried several times; None for an image that is too small or that the model cannot describe."""
+    if not worth_captioning(image):
+        return None
+    for attempt in range(1, TRIES + 1):
+        caption = or_else(lambda: provider.caption(image), None)
+        if isinstance(caption, str) and caption.strip():
+            return caption.strip()
+        if attempt < TRIES:
+            wait(BACKOFF_SECONDS * attempt)
+    return None
+
+
+def caption_missing(images: DataFrame, provider: ModelProvider) -> DataFrame:
+    """``(sha256, caption)`` of distinct images (sha256, data); those without a caption are left out."""
+    distinct = images.filter("sha256 is not null and data is not null").groupBy("sha256").agg(F.first("data").alias("data"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(h, caption_image(provider, bytes(d))) for h, d in zip(b.sha256, b["data"])]
+            yield pd.DataFrame([r for r in rows if r[1]], columns=["sha256", "caption"])
+
+    return distinct.mapInPandas(run, "sha256 string, caption string")
+
+
+def count_tokens(provider: ModelProvider, text: str) -> int:
+    """The model's own count, or the estimate if it gives none."""
+    return or_else(lambda: int(provider.count_tokens(text)), int(len(text) / 1.5) + 1)
+
+
+def stream_text(provider: ModelProvider, prompt: str, max_tokens: int) -> Iterator[str]:
+    """An answer piece by piece; a model that cannot stream gives it in one piece."""
+    stream = getattr(provider, "stream", None)
+    if stream is None:
+        yield provider.complete(prompt, max_tokens)
+    else:
+        yield from stream(prompt, max_tokens)
+
+
 def with_embeddings(rows: DataFrame, text: str, provider: ModelProvider, column: str = "embedding") -> DataFrame:
     """Adds vectors of a text column, in Arrow batches; null and blank texts get null."""
 

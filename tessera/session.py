@@ -39,9 +39,11 @@ def guard(spark: SparkSession) -> None:
     """Settings that results depend on.
 
     Spark 4.1 takes a union of equally partitioned tables to be partitioned like them; where adaptive
-    execution has coalesced the sides differently, an aggregate above it then returns a key twice.
+    execution has coalesced the sides differently, an aggregate above it then returns a key twice. The one
+    setting of the user's session that this package changes, once.
     """
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    if spark.conf.get("spark.sql.unionOutputPartitioning") != "false":
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     _ship(spark)
 
 
@@ -96,7 +98,7 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def _storage(spark: SparkSession, path: str):
+def storage_of(spark: SparkSession, path: str):
     """(file system, path) of Hadoop, whatever storage ``path`` is on."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
@@ -108,7 +110,7 @@ def _remove(spark: SparkSession, path: str) -> None:
         shutil.rmtree(local, ignore_errors=True)
         return
     try:
-        storage, target = _storage(spark, path)
+        storage, target = storage_of(spark, path)
         storage.delete(target, True)
     except Exception:  # the session may have ended before; the folder's owner then cleans it
         pass
@@ -116,14 +118,21 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def names_in(spark: SparkSession, folder: str) -> list[str]:
     """Names of the files and folders directly in ``folder``, sorted; none if it does not exist. Names that begin with a dot are left out."""
-    storage, target = _storage(spark, folder)
+    storage, target = storage_of(spark, folder)
     if not storage.exists(target):
         return []
     return sorted(n for n in (s.getPath().getName() for s in storage.listStatus(target)) if not n.startswith("."))
 
 
+def file_stamp(spark: SparkSession, path: str) -> tuple[str, int, int]:
+    """(path, length, time of the last change): changes when what lies there does."""
+    storage, target = storage_of(spark, path)
+    found = storage.getFileStatus(storage.resolvePath(target))
+    return found.getPath().toString(), found.getLen(), found.getModificationTime()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
-    storage, target = _storage(spark, path)
+    storage, target = storage_of(spark, path)
     stream = storage.open(target)
     try:
         return bytes(stream.readAllBytes()).decode()
@@ -133,7 +142,7 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 def publish(spark: SparkSession, path: str, text: str) -> bool:
     """Make the file ``path`` appear with its whole content at once; False, and nothing changed, if it is there already."""
-    storage, target = _storage(spark, path)
+    storage, target = storage_of(spark, path)
     if storage.exists(target):
         return False
     draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import zipfile
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -27,10 +29,11 @@ def skip_reason(name: str) -> str | None:
 
 
 class ZipSource(DataSource):
-    """``spark.read.format("zip_entries").load(folder)``: one partition an archive.
+    """``spark.read.format("zip_entries").load(folder)`` for archives in a folder that all executors mount.
 
     Option ``content`` ("true") reads the entries too, one at a time; without it only central
-    directories are read.
+    directories are read. A large archive is cut into partitions of ``entries`` (500) entries. Archives on
+    other storage are read by :func:`unzip`.
     """
 
     @classmethod
@@ -46,20 +49,44 @@ class ZipSource(DataSource):
 
 class ZipReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.content = options.get("path", ""), options.get("content", "false") == "true"
+        self.path, self.content, self.entries = options.get("path", ""), options.get("content", "false") == "true", int(options.get("entries", "500"))
 
     def partitions(self) -> list[InputPartition]:
         if os.path.isdir(self.path):
             names = sorted(os.path.join(d, f) for d, _, fs in os.walk(self.path) for f in fs if f.lower().endswith(".zip"))
         else:
             names = [self.path]
-        return [InputPartition(n) for n in names]
+        out = []
+        for n in names:
+            with zipfile.ZipFile(n) as z:
+                size = len(z.infolist())
+            out += [InputPartition((n, at)) for at in range(0, max(size, 1), self.entries)]
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with zipfile.ZipFile(partition.value) as z:
-            for info in z.infolist():
+        name, at = partition.value
+        with zipfile.ZipFile(name) as z:
+            for info in z.infolist()[at : at + self.entries]:
                 reason = skip_reason(info.filename)
-                yield partition.value, info.filename, info.file_size, reason, z.read(info) if self.content and reason is None else None
+                yield name, info.filename, info.file_size, reason, z.read(info) if self.content and reason is None else None
+
+
+def unzip(archives: DataFrame) -> DataFrame:
+    """The entries of ``archives`` (archive, data), as :class:`ZipSource` gives them, from any storage that Spark reads binary files of."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["archive", "entry", "size", "skipped", "data"]
+        for b in batches:
+            for name, data in zip(b.archive, b["data"]):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+                        for info in z.infolist():
+                            reason = skip_reason(info.filename)
+                            yield pd.DataFrame([(name, info.filename, info.file_size, reason, None if reason else z.read(info))], columns=columns)
+                except (zipfile.BadZipFile, TypeError):
+                    yield pd.DataFrame([(name, None, None, "damaged archive", None)], columns=columns)
+
+    return archives.select("archive", "data").mapInPandas(run, "archive string, entry string, size long, skipped string, data binary")
 
 
 def zip_plan(entries: DataFrame, done: DataFrame | None = None, include: list[str] | None = None, exclude: list[str] | None = None, limit: int | None = None) -> DataFrame:

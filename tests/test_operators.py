@@ -1,4 +1,5 @@
 import json
+import math
 import random
 
 import numpy as np
@@ -6,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import replies, text as tx
-from tessera.functions.vectors import cosine, nearest_rows
+from tessera.functions.stems import stem
+from tessera.functions.vectors import VectorIndex, cosine, nearest_rows
 from tessera.operators import catalog, charts, citations, conversations, graph, mutation, packing, retrieval
 from tessera.operators.ranking import running_offset
 from tessera.providers import LocalProvider, embed_all, or_else, with_embeddings
@@ -101,6 +103,87 @@ def test_spread_sample_keeps_heads_and_an_even_rest(spark):
     assert got == [f"c{i:03d}" for i in want]
 
 
+def test_spread_sample_reads_other_files_whole_and_keeps_every_head(spark):
+    rows = [(f"d{i:03d}", "doc", i, "x", "text", "docx", i, None, 1, 0.0) for i in range(60)] + [(f"s{i:03d}", "sheets", i, "x", "text", "xlsx", i, None, 1, 0.0) for i in range(60)]
+    got = [r.chunk_id for r in packing.spread_sample(spark.createDataFrame(rows, CHUNKS), 10).collect()]
+    assert len(got) == 120  # every sheet has one chunk, so all are heads
+
+
+def test_numbered_lines_fit_the_room(spark):
+    rows = [(1, 1, "a", "x" * 30), (1, 2, "b", "y" * 30), (1, 3, "a", "x" * 30), (1, 4, "c", "z" * 300), (1, 5, "d", None)]
+    df = spark.createDataFrame(rows, "query_id long, rank int, k string, content string")
+    got = packing.number_within(df, "query_id", "rank", F.col("k"), F.col("content"), 120, offset=2).orderBy("place").collect()
+    assert [(r.number, r.pointer) for r in got] == [(3, False), (4, False), (3, True), (None, None)]
+    assert got[2].line == "[3] (same passage as [3] above)" and got[3].line == "(2 more results did not fit and were left out.)"
+
+
+def test_notes_are_numbered_by_first_use(spark):
+    rows = [(1, 1, "b.pdf", "e1", "page 1", "one", 7), (1, 2, "a.pdf", "e2", "text", "two", 1), (1, 3, "a.pdf", "e3", "text", "three", 0), (1, 4, "a.pdf", "e3", "text", "four", 0)]
+    notes = spark.createDataFrame(rows, "query_id long, note_no int, filename string, excerpt string, label string, claim string, position int")
+    got = packing.render_notes(notes, 1_000).orderBy("number").collect()
+    assert [r.block for r in got] == ["## a.pdf\n- [1] (text) three\n- [1] (text) four\n- [2] (text) two", "## b.pdf\n- [3] (page 1) one"]
+    assert [r.filename for r in packing.render_notes(notes, 50).collect()] == ["a.pdf"] and packing.render_notes(notes.filter("false"), 40).count() == 0
+
+
+def test_facts_weigh_by_the_passages_that_state_them(spark):
+    facts = spark.createDataFrame([("f1", "p1", "p2"), ("f2", "p2", "p1"), ("f3", "p1", None), ("f4", "p1", "p3")], "fact_id string, subject_id string, object_id string")
+    links = spark.createDataFrame([("f1", "c1"), ("f1", "c2"), ("f1", "c2"), ("f2", "c1"), ("f3", "c1")], "fact_id string, chunk_id string")
+    assert [(r.phrase_a, r.phrase_b, r.facts) for r in graph.fact_edges(facts, links).collect()] == [("p1", "p2", 3)]
+    none = spark.createDataFrame([("p1", "p2", 0.9), ("p1", "p2", float("nan"))], "phrase_a string, phrase_b string, weight double")
+    got = {(r.a, r.b): r.weight for r in graph.weighted_edges(facts, links, none).collect()}
+    assert abs(got["p:p1", "p:p2"] - 7.8) < 1e-9 and got["c:c1", "p:p1"] == 1
+    cache = graph.GraphCache()
+    first = cache.edges(facts, links, none)
+    assert cache.edges(facts, links, none) is first and cache.edges(facts, links.filter("chunk_id = 'c1'"), none) is not first
+
+
+def test_facts_are_scored_above_the_least_similar_of_all(spark):
+    unit = lambda a: [math.cos(a), math.sin(a)]
+    angles = {f"f{i}": 0.1 * i for i in range(5)} | {"far": 3.0}
+    vectors = spark.createDataFrame([(f, unit(a)) for f, a in angles.items()], "fact_id string, embedding array<double>")
+    facts = spark.createDataFrame([(f, f"s{f}", None) for f in angles], "fact_id string, subject_id string, object_id string")
+    links = spark.createDataFrame([(f, "c") for f in angles], "fact_id string, chunk_id string")
+    q = spark.createDataFrame([(1, "q", unit(0.0))], "query_id long, text string, vec array<double>")
+    got = {r.phrase_id: r.weight for r in graph.seed_phrases(q, facts, links, vectors).collect()}
+    low = math.cos(3.0)
+    assert set(got) == {f"sf{i}" for i in range(5)} and all(abs(got[f"sf{i}"] - (math.cos(0.1 * i) - low) / (1 - low)) < 1e-6 for i in range(5))
+    kept = spark.createDataFrame([(1, "f3")], "query_id long, fact_id string")
+    assert [r.phrase_id for r in graph.seed_phrases(q, facts, links, vectors, kept).collect()] == ["sf3"]
+
+
+def test_only_text_is_read_with_its_neighbours(spark):
+    rows = [chunk(f"c{i}", file="f", index=i, content=str(i)) for i in range(6)]
+    results = spark.createDataFrame([(1, f"c{i}", i + 1) for i in range(6)], "query_id long, chunk_id string, rank int")
+    spans = spark.createDataFrame([("f", 1, "text"), ("f", 4, "chart_data")], "filename string, chunk_index int, source_type string")
+    none = spark.createDataFrame([], "filename string")
+    assert sorted(r.chunk_id for r in retrieval.uncovered(results, spark.createDataFrame(rows, CHUNKS), spans, none).collect()) == ["c3", "c5"]
+
+
+def test_index_of_words_gives_the_scores_of_a_scan(spark):
+    texts = ["the port budget, the port", "Budgets of ports", None, "", "x " * 5_000 + "port"]
+    c = spark.createDataFrame([chunk(f"c{i}", content=t) for i, t in enumerate(texts)], CHUNKS)
+    q = spark.createDataFrame([(1, "the Port budget?"), (2, None), (3, "the of")], "query_id long, text string")
+    score = lambda **o: {(r.query_id, r.chunk_id): r.score for r in retrieval.text_scores(q, c, **o).collect()}
+    assert score() == score(postings=retrieval.build_postings(c)) and set(score()) == {(1, "c0"), (1, "c4")}
+    assert set(score(stem=True)) == set(score(postings=retrieval.build_postings(c, stem=True), stem=True)) == {(1, "c0"), (1, "c1"), (1, "c4")}
+
+
+@pytest.mark.parametrize(("word", "want"), [("caresses", "caress"), ("ponies", "poni"), ("plastered", "plaster"), ("hopping", "hop"), ("filing", "file"), ("relational", "relat"), ("adoption", "adopt"), ("generalizations", "gener"), ("sky", "sky"), ("été", "été"), ("a1", "a1")])
+def test_stems(word, want):
+    assert stem(word) == want
+
+
+def test_vector_index_recalls_the_exact_neighbours(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(1_500, 16)) + 2 * rng.normal(size=(12, 16))[rng.integers(0, 12, 1_500)]
+    rows = spark.createDataFrame([(f"r{i:04d}", x.tolist()) for i, x in enumerate(v)] + [("null", None), ("zero", [0.0] * 16), ("short", [1.0])], "id string, vec array<double>")
+    queries = spark.createDataFrame([(i, v[i * 50].tolist()) for i in range(30)], "query_id long, vec array<double>")
+    index = VectorIndex(spark, f"file://{tmp_path}/index").build(rows, 24)
+    pairs = lambda df: {(r.query_id, r.id) for r in df.collect()}
+    exact, near, every = pairs(nearest_rows(queries, rows, 10)), pairs(index.search(queries, 10, 8)), pairs(VectorIndex(spark, index.path).search(queries, 10, 24))
+    assert len(exact & near) >= 0.9 * len(exact) and every == exact
+
+
 def test_pagerank_against_a_dense_solution(spark):
     edges = [("a", "b", 2.0), ("b", "c", 1.0), ("c", "d", 1.0), ("a", "d", 0.5), ("x", "y", 3.0), ("a", "a", 9.0), ("a", "c", -1.0)]
     names = sorted({n for e in edges for n in e[:2]} | {"lone"})
@@ -136,7 +219,7 @@ def test_paths_in_branches_and_cycles(spark):
     m = spark.createDataFrame(rows, "message_id long, parent_id long")
     leaves = spark.createDataFrame([(3,), (4,), (5,), (6,), (8,), (169,)], "message_id long")
     got: dict = {}
-    for r in conversations.paths_to_root(m, leaves, most=200).collect():
+    for r in conversations.paths_to_root(m, leaves).collect():
         got.setdefault(r.leaf_id, {})[r.depth] = r.message_id
     assert got[3] == {0: 3, 1: 2, 2: 1} and got[4][1] == 2 and got[5] == {0: 5} and got[8] == {0: 8}
     assert set(got[6].values()) == {6, 7} and len(got[169]) == 70
@@ -167,6 +250,27 @@ def test_snapshots(spark, tmp_path):
     assert mutation.insert_missing(c, new, ["filename"]).count() == 2
 
 
+def test_one_of_two_writers_gets_a_conflict(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "a int")
+    mine, other = (mutation.SnapshotStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    assert mine.commit({"t": df}) == 1 and other.commit({"u": df}) == 2 and set(mine.versions()) == {"t", "u"}
+    other._newest = lambda: 1  # it began before the second commit
+    with pytest.raises(mutation.Conflict):
+        other.commit({"t": df})
+    assert mine.commit({"t": df}) == 3
+
+
+def test_users_and_uploads(spark):
+    files = spark.createDataFrame([(1, "a", "h1"), (2, "b", "h1"), (3, "a", "h1"), (4, "c", "h2"), (5, "d", None)], "file_id long, filename string, sha256 string")
+    known = spark.createDataFrame([("k", "h2"), ("z", None)], "filename string, sha256 string")
+    assert sorted((r.file_id, r.holder) for r in mutation.reject_duplicates(files, known).collect()) == [(2, "a"), (4, "k")]
+    at = lambda m: f"2025-01-01 00:{m:02d}:00"
+    users = spark.createDataFrame([("u", "n", at(0)), ("v", "n", at(0)), ("w", "n", at(0))], "owner_id string, name string, seen_at string").withColumn("seen_at", F.col("seen_at").cast("timestamp"))
+    seen = spark.createDataFrame([("u", "n", at(4)), ("v", "m", at(4)), ("w", "n", at(6)), ("x", "n", at(1))], "owner_id string, name string, seen_at string").withColumn("seen_at", F.col("seen_at").cast("timestamp"))
+    got = {r.owner_id: (r["name"], r.seen_at.minute) for r in mutation.touch_users(users, seen).collect()}
+    assert got == {"u": ("n", 0), "v": ("m", 4), "w": ("n", 6), "x": ("n", 1)}
+
+
 def test_citations():
     answer = "Dr. Smith signed it [1]. See e.g. page 3 [2][3]!\n\n\n1. First item [4]\n```\ncode. [9] here\n```\n| a. b [5] |\n"
     assert citations.segment(answer) == [("Dr. Smith signed it.", [1]), ("See e.g. page 3!", [2, 3]), ("", []), ("1. First item", [4]), ("```", []), ("code. [9] here", []), ("```", []), ("| a. b |", [5])]
@@ -180,16 +284,35 @@ def test_claims_are_judged_by_their_own_sources(spark):
     assert sorted((r.segment_no, r.reason) for r in got) == [(2, "not supported"), (3, "no source")]
 
 
-SPEC = {"type": "pie", "title": "t", "labels": ["2021", "2022", "2023"], "series": [{"name": "s", "values": ["1,000", 2, 3.5]}], "sources": [1]}
+SPEC = {"type": "pie", "title": "t", "labels": ["2021", "2022", "2023"], "series": [{"name": "s", "values": [1000, 2, 3.5]}], "sources": [1]}
 
 
 def test_chart_specs():
-    assert charts.parse_chart(json.dumps(SPEC))["type"] == "bar"
-    assert charts.parse_chart('{"type": "bar", "labels": ["a"], "series": [{"name": "s", "values": [1,]}], "sources": [1][3],}')["sources"] == [1, 3]
-    for bad in ("", "{}", "[1]", json.dumps({**SPEC, "type": "map"}), json.dumps({**SPEC, "labels": []}), json.dumps({**SPEC, "series": [{"name": "s", "values": [1, "x", 2]}]}), json.dumps({**SPEC, "labels": ["a"] * 61})):
-        assert charts.parse_chart(bad) is None
+    parsed = charts.parse_chart(json.dumps(SPEC))
+    assert parsed["type"] == "pie" and charts.fit_type(parsed)["type"] == "bar"
+    assert charts.parse_chart('{"type": " Bar ", "title": "t", "labels": ["a"], "series": [{"name": "s", "values": [1,]}], "sources": [1][3],}')["sources"] == [1, 3]
+    assert charts.parse_chart(json.dumps({**SPEC, "type": "line", "labels": [2021, 2022.5, "x"], "extra": 1}))["labels"] == ["2021", "2022.5", "x"]
+    two = [{"name": "s", "values": [1, 2, 3]}, {"name": "u", "values": [1, 2, 3]}]
+    bad = [{"type": "map"}, {"type": "area"}, {"title": ""}, {"title": "t" * 201}, {"labels": []}, {"labels": ["a"] * 61}, {"labels": ["a", None, "b"]}, {"series": [{"name": "s", "values": [1, "x", 2]}]}, {"series": [{"name": "s", "values": [1, True, 2]}]}]
+    bad += [{"series": [{"name": "", "values": [1, 2, 3]}]}, {"series": two}, {"unit": "u" * 41}, {"sources": None}, {"sources": [1.5]}]
+    for change in bad:
+        assert charts.parse_chart(json.dumps({**SPEC, **change})) is None, change
+    for text in ("", "{}", "[1]", "no"):
+        assert charts.parse_chart(text) is None
     assert charts.is_time_series(["Q1", "Q2", "Q3 2024"]) and not charts.is_time_series(["1", "2", "3"]) and not charts.is_time_series(["2021"])
-    assert '"values": [1000, 2, 3.5]' in charts.render(charts.parse_chart(json.dumps(SPEC)))
+    assert '"values": [1000, 2, 3.5]' in charts.render(parsed) and "unverified" not in charts.render(parsed) and '"unverified": [2]' in charts.render(parsed, [2.0])
+
+
+def test_charts_are_held_against_their_sources():
+    block = "```Chart \r\n" + json.dumps({**SPEC, "type": "line", "sources": [2, 9, 2]}) + "\r\n``` \r\nend"
+    text, kept, dropped, warnings = charts.filter_answer("- see\n  " + block, ["1,000 and 2 and 3.5", "only 1000"])
+    assert (kept, dropped) == (1, 0) and text.startswith("- see\n  ```chart\n  {") and text.endswith("\n  ```\nend")
+    made = json.loads(text.split("\n")[2])
+    assert made["sources"] == [2] and made["unverified"] == [2, 3.5] and "2, 3.5" in warnings[0]
+    whole = charts.filter_answer(block.replace("[2, 9, 2]", "[9]"), ["1,000 and 2 and 3.5", "x"])
+    assert whole[3] == [] and "unverified" not in whole[0]  # without a valid citation all sources count
+    assert charts.filter_answer("```chart", [])[0] == "```chart" and charts.proposed_block("so:\n```chart\n{}\n```\n") == "```chart\n{}\n```" and charts.proposed_block("NONE") is None
+    assert charts.proposal_sources(["a  b", None]) == "[1] a b\n\n[2] "
 
 
 ANSWERS = ["plain text", "", "a\n```chart\n" + json.dumps(SPEC) + "\n```\nb", "```chart\nbroken\n```\nrest", "text ```chart inline", "```python\nx = 1\n```\n", "```chart\nnever closed", "  ```chart\n" + json.dumps({**SPEC, "type": "line"}) + "\n  ```\nend"]
@@ -200,8 +323,8 @@ def test_chart_filter_does_not_depend_on_tokens(size):
     for answer in ANSWERS:
         f = charts.ChartFilter()
         text = "".join(f.feed(answer[i : i + size]) for i in range(0, len(answer), size)) + f.finish()
-        assert (text, f.charts, f.dropped) == charts.filter_answer(answer)
-    assert charts.filter_answer(ANSWERS[3]) == ("rest", 0, 1) and charts.filter_answer(ANSWERS[6]) == ("", 0, 1)
+        assert (text, f.charts, f.dropped, f.warnings) == charts.filter_answer(answer)
+    assert charts.filter_answer(ANSWERS[3])[:3] == ("rest", 0, 1) and charts.filter_answer(ANSWERS[6])[:3] == ("", 0, 1)
     assert charts.filter_answer(ANSWERS[5])[0] == ANSWERS[5] and charts.filter_answer(ANSWERS[4])[0] == ANSWERS[4]
 
 
@@ -213,8 +336,8 @@ def test_chart_values_in_sources(spark):
 
 def test_text_functions(spark):
     df = spark.createDataFrame([("  A\t\nb  C ", "Été-des_ሰላም!", "a/b.c/Report.PDF", "-1,234.5 and .5 x 7")], "a string, b string, c string, d string")
-    r = df.select(tx.normalise_text("a").alias("a"), tx.normalise_phrase("b").alias("b"), tx.suffix("c").alias("c"), tx.numbers("d").alias("d"), tx.cursor_decode(tx.cursor_encode(F.lit("t?>"), F.lit("9"))).alias("e")).first()
-    assert (r.a, r.b, r.c, r.d, r.e) == ("a b c", "été des_ሰላም", "pdf", ["-1234.5", ".5", "7"], "t?>|9")
+    r = df.select(tx.normalise_text("a").alias("a"), tx.normalise_phrase("b").alias("b"), tx.suffix("c").alias("c"), tx.numbers("d").alias("d"), tx.cursor_decode(tx.cursor_encode(F.lit("2025-01-01 00:00:00"), F.lit("k?>9"))).alias("e"), *(tx.cursor_decode(F.lit(x)).alias(f"x{i}") for i, x in enumerate(("", "%%%", "YWJj", "YXxi")))).first()
+    assert (r.a, r.b, r.c, r.d, r.e) == ("a b c", "été des_ሰላም", "pdf", ["-1234.5", ".5", "7"], ("2025-01-01 00:00:00", "k?>9")) and (r.x0, r.x1, r.x2, r.x3) == (None,) * 4
     assert tx.STOP_WORDS[0] == "a" and len(set(tx.STOP_WORDS)) < 200
 
 
@@ -234,16 +357,18 @@ def test_duplicate_files_keep_the_recorded_then_the_shortest(spark):
 
 
 def test_replies():
-    assert replies.lines("- one\n2) two\nNONE\n- one") == ["one", "two"] and replies.lines(None) == []
+    assert replies.lines("- one\n2) `two`\nNONE\n- One\nHere they are:") == ["one", "two"] and replies.lines(None) == []
     assert replies.sub_queries("q", "1. a\n2. b\n3. c\n4. d") == ["q", "a", "b", "c"]
     assert replies.sections("PLAN: x\n- y\nGAPS:\nnone", ("PLAN", "GAPS")) == {"PLAN": ["x", "y"], "GAPS": []}
     assert replies.verdicts("1: drop\n3. keep", 3) == [False, True, True]
     assert replies.json_in('Sure: ```json\n{"a": [1]}\n``` done') == {"a": [1]} and replies.json_in("x [1, 2] y") == [1, 2] and replies.json_in("none") is None
     assert replies.closest("aple", ["pear", "apple"]) == "apple" and replies.closest("a", []) is None
-    assert replies.angle_questions("Who: signed it?\nwhy - late?") == {"who": "signed it?", "why": "late?"} and replies.is_small_talk("Hello!") and not replies.is_small_talk("hello world budget?")
+    assert replies.angle_questions("Who: signed it?\nwhy - late?") == {"who": "signed it?", "why": "late?"} and replies.is_small_talk("Hello!") and replies.is_small_talk("Good morning, all") and not replies.is_small_talk("hire plan?") and not replies.is_small_talk("hello, what is the budget of the port for the next year")
 
 
 def test_providers(spark):
+    waits: list = []
+
     class Broken(LocalProvider):
         calls = 0
 
@@ -252,7 +377,7 @@ def test_providers(spark):
             raise OSError("down")
 
     with pytest.raises(OSError):
-        embed_all(Broken(), ["x"])
-    assert Broken.calls == 3 and or_else(lambda: 1 / 0, []) == []
+        embed_all(Broken(), ["x"], wait=waits.append)
+    assert Broken.calls == 3 and waits == [2.0, 4.0] and or_else(lambda: 1 / 0, []) == []
     got = with_embeddings(spark.createDataFrame([("a b",), (None,), (" ",)], "t string"), "t", LocalProvider(8)).collect()
     assert len(got[0].embedding) == 8 and got[1].embedding is None and got[2].embedding is None
