@@ -23,7 +23,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.filenames import damerau
 from tessera.llm.groups import connected_groups
 from tessera.session import parallelism, written
 
@@ -31,7 +30,8 @@ MIN_SUFFIX = 3
 BLOCK = 40
 #: Letters from which a word may hold two slips; in a large set many shorter names lie two letters apart.
 LONG_WORD = 12
-#: Occurrences from which two similar first names are held to be two names rather than one and a slip.
+#: Occurrences from which a share is told: two similar names are two rather than one and a slip if the rarer has at least this
+#: many and a tenth of the other's, and so it stays in tables of any size, as slips keep their share.
 ESTABLISHED = 5
 #: Cores of at least this length meet by pieces instead of deletions; up to two letters more they do both.
 LONG_CORE = 25
@@ -74,7 +74,7 @@ def _kind(token: str) -> str | None:
         return KINDS[token]
     if len(token) >= 6:
         for word in KIND_WORDS:
-            if len(word) >= 6 and abs(len(word) - len(token)) <= 1 and damerau(token, word, 1) <= 1:
+            if len(word) >= 6 and alike(token, word, 1):
                 return word
     return None
 
@@ -131,15 +131,18 @@ def lcs_ratio(a: str, b: str) -> float:
     return 2 * _subsequence(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
+def alike(a: str, b: str, slips: int) -> bool:
+    """The ratio of the longest common subsequence is what ``slips`` wrong letters in words of this length leave."""
+    longest = max(len(a), len(b))
+    return abs(len(a) - len(b)) <= slips and lcs_ratio(a, b) >= 1 - slips / longest - 1e-9
+
+
 def same_spelling(a: str, b: str) -> bool:
-    """One word typed twice: one slip, or two in a long word, and most letters in common."""
+    """One word typed twice, by the ratio of the longest common subsequence: one slip, or two in a long word."""
     if a == b:
         return True
     shorter = min(len(a), len(b))
-    if shorter < 4 or abs(len(a) - len(b)) > 2 or lcs_ratio(a, b) < 0.75:
-        return False
-    slips = 1 if shorter < LONG_WORD else 2
-    return damerau(a, b, slips) <= slips
+    return shorter >= 4 and alike(a, b, 1 if shorter < LONG_WORD else 2)
 
 
 @lru_cache(maxsize=100_000)
@@ -187,7 +190,7 @@ def compare_people(a: list[str], b: list[str], counts: dict[str, int]) -> tuple[
                 found = "I" if full.startswith(short) and len(full) > 1 else None
             elif is_nickname(short, full):
                 found = "N"
-            elif len(short) >= 4 and damerau(short, full, 2 if len(short) >= 7 else 1) <= (2 if len(short) >= 7 else 1):
+            elif len(short) >= 4 and alike(short, full, 2 if len(short) >= 7 else 1):
                 found = None if s != t and min(len(s), len(t)) < 6 else "S"
                 if _established(g, h, counts):
                     found = None
@@ -203,7 +206,7 @@ def compare_people(a: list[str], b: list[str], counts: dict[str, int]) -> tuple[
 
 def same_kind(a: str, b: str) -> bool:
     """Two kinds of organisation are the same, slips allowed; short forms are spelled out before."""
-    return a == b or (min(len(a), len(b)) >= 6 and damerau(a, b, 2) <= 2)
+    return a == b or (min(len(a), len(b)) >= 6 and alike(a, b, 2))
 
 
 def compare_firms(a: str, kind_a: str, b: str, kind_b: str) -> tuple[str, bool] | None:
