@@ -82,21 +82,25 @@ def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float = D
     Edges (a, b, weight) count both ways; edges of no positive weight are not walked. What a walk carries
     to a vertex without edges returns to the reset vector. With damping 1/2 the error after 20 rounds is
     below 2e-6. Lineage is cut every few rounds by a table in the shared folder.
+
+    Only vertices of the reset vector can be without edges, and nothing flows to them: so what restarts in a
+    round follows from what restarted in the round before, and a round is one join and one sum.
     """
     usable = edges.filter("weight > 0 and a != b")
     both = usable.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(usable.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
     out = both.groupBy("src").agg(F.sum("weight").alias("out"))
     steps = written(both.join(out, "src").select(F.col("src").alias("vertex"), "dst", (F.col("weight") / F.col("out")).alias("share")), "steps")
-    positive = reset.filter("weight > 0")
-    total = positive.groupBy("query_id").agg(F.sum("weight").alias("total"))
-    start = written(positive.groupBy("query_id", "vertex").agg(F.sum("weight").alias("weight")).join(total, "query_id").select("query_id", "vertex", (F.col("weight") / F.col("total")).alias("mass")), "reset")
-    rank = start.withColumnRenamed("mass", "score")
+    positive = reset.filter("weight > 0").groupBy("query_id", "vertex").agg(F.sum("weight").alias("weight"))
+    walked = steps.select("vertex").distinct().withColumn("walked", F.lit(True))
+    marked = written(positive.join(walked, "vertex", "left"), "marked")
+    total = marked.groupBy("query_id").agg(F.sum("weight").alias("total"), F.coalesce(F.sum(F.when(F.col("walked").isNull(), F.col("weight"))), F.lit(0.0)).alias("lone"))
+    start = written(marked.join(total, "query_id").select("query_id", "vertex", (F.col("weight") / F.col("total")).alias("mass"), (F.col("lone") / F.col("total")).alias("lone")), "reset")
+    rank, restart = start.select("query_id", "vertex", F.col("mass").alias("score")), F.lit(1.0)
     for i in range(iterations):
-        moved = rank.join(steps, "vertex").groupBy("query_id", F.col("dst").alias("vertex")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("score"))
-        # what did not move on, dangling mass included, restarts
-        gone = moved.groupBy("query_id").agg(F.sum("score").alias("moved"))
-        restart = start.join(gone, "query_id", "left").select("query_id", "vertex", (F.col("mass") * (1 - F.coalesce("moved", F.lit(0.0)))).alias("score"))
-        rank = moved.unionByName(restart).groupBy("query_id", "vertex").agg(F.sum("score").alias("score"))
+        moved = rank.join(steps, "vertex").select("query_id", F.col("dst").alias("vertex"), (F.col("score") * F.col("share") * damping).alias("score"))
+        restart = 1 - damping * (1 - F.col("lone") * restart)
+        back = start.select("query_id", "vertex", (F.col("mass") * restart).alias("score"))
+        rank = moved.unionByName(back).groupBy("query_id", "vertex").agg(F.sum("score").alias("score"))
         if (i + 1) % cut_every == 0:
             rank = written(rank, "rank")
     return rank

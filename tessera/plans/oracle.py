@@ -96,7 +96,7 @@ def _picks(source: str, group: list[str], limit: int) -> str:
             continue
         before = " UNION ALL ".join(f"SELECT * FROM pick{j}" for j in range(1, i))
         parts.append(f"""pick{i} AS MATERIALIZED (WITH p AS ({before}),
-            v AS (SELECT {', '.join(f'c.{g}' for g in group)}, c.chunk_id, c.score, c.rel, c.e, c.rank, greatest(max(coalesce(list_cosine_similarity(c.e, p.e), 0)), 0) AS near FROM cand c JOIN p ON {same} GROUP BY ALL HAVING NOT bool_or(c.chunk_id = p.chunk_id))
+            v AS (SELECT {', '.join(f'c.{g}' for g in group)}, c.chunk_id, c.score, c.rel, c.e, c.rank, greatest(max(CASE WHEN isnan(list_cosine_similarity(c.e, p.e)) THEN 0 ELSE coalesce(list_cosine_similarity(c.e, p.e), 0) END), 0) AS near FROM cand c JOIN p ON {same} GROUP BY ALL HAVING NOT bool_or(c.chunk_id = p.chunk_id))
             SELECT {keys}, chunk_id, score, rel, e, {i} AS n FROM v QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY round(0.7 * coalesce(rel, 1) - (1 - CAST(0.7 AS DOUBLE)) * near, 12) DESC, rank) = 1)""")
     every = " UNION ALL ".join(f"SELECT {keys}, chunk_id, score, n FROM pick{j}" for j in range(1, limit + 1))
     return f"{', '.join(parts)}, picked AS (SELECT {keys}, chunk_id, score, n AS rank FROM ({every}))"

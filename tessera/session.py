@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -169,6 +170,15 @@ def written(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage now: only then does Spark drop the shuffles and broadcasts of jobs that are done.
+
+    For loops of many jobs, once a turn.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parallelism(spark: SparkSession) -> int:
     guard(spark)
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
