@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import written
 
@@ -32,6 +32,10 @@ TOLERANT_MASKS = ("1111", "11101110111")
 BLOOM_BITS = 1 << 26
 #: A table of at most this many slim rows may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Words of all items, of 8 bytes each, that may be sent to all tasks.
+BROADCAST_WORDS = 2_000_000
+_OVERLAP = "doc_id long, item_id long, start long, longest_run int, equal_words int, overlap_words int"
+#: Words beyond the outermost seeds of a stretch that a run of equal words without a seed may have.
 _MARGIN = 24
 _SLICE = 1 << 19
 _WORD = re.compile(r"[^\W_]+")
@@ -136,7 +140,7 @@ def bloom_filter(spark: SparkSession, item_seeds: DataFrame):
     return spark.sparkContext.broadcast(packed)
 
 
-def _stretches(filter_bits, masks: tuple[str, ...]) -> Callable:
+def _stretches(filter_bits, masks: tuple[str, ...], margin: int) -> Callable:
     """(doc_id, first word, word hashes, hit positions, hit seeds) of the stretches of a document around passing seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +167,9 @@ def _stretches(filter_bits, masks: tuple[str, ...]) -> Callable:
                     continue
                 order = np.argsort(place, kind="stable")
                 place, value = place[order], value[order]
-                cuts = np.nonzero(np.diff(place) > 2 * _MARGIN)[0] + 1
+                cuts = np.nonzero(np.diff(place) > 2 * margin)[0] + 1
                 for p, v in zip(np.split(place, cuts), np.split(value, cuts)):
-                    lo, hi = max(int(p[0]) - _MARGIN, 0), int(p[-1]) + longest + _MARGIN
+                    lo, hi = max(int(p[0]) - margin, 0), int(p[-1]) + longest + margin
                     for c, x in zip(out, (doc, lo, hashes[lo:hi].view(np.int64), (p - lo).astype(np.int32), v.view(np.int64))):
                         c.append(x)
             yield pa.RecordBatch.from_arrays(
@@ -256,21 +260,45 @@ def leaked_items(documents: DataFrame, items: DataFrame, masks: tuple[str, ...]
     table = written(known.mapInArrow(_item_seeds(masks), "seed long, item_id long, item_pos int").distinct(), "seeds")
     bits = bloom_filter(spark, table)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null and doc_id is not null")
-    found = docs.mapInArrow(_stretches(bits, masks), "doc_id long, start long, words array<long>, places array<int>, seeds array<long>")
+    # an overlap with substitutions may go on without a seed, but not beyond the ends of its item
+    margin = _MARGIN if measure is compare_diagonal else max(_MARGIN, known.agg(F.max(F.size("item_words"))).first()[0] or 0)
+    found = docs.mapInArrow(_stretches(bits, masks, margin), "doc_id long, start long, words array<long>, places array<int>, seeds array<long>")
     found = written(found.withColumn("stretch", F.xxhash64("doc_id", "start", "words")), "stretches")
     hits = found.select("doc_id", "stretch", F.explode(F.arrays_zip("places", "seeds")).alias("hit")).select("doc_id", "stretch", F.col("hit.places").alias("place"), F.col("hit.seeds").alias("seed"))
     right = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
     lines = hits.join(right, "seed").groupBy("doc_id", "stretch", "item_id", (F.col("place") - F.col("item_pos")).alias("shift")).agg(F.min("place").alias("anchor"))
-    names = F.broadcast(known) if known.count() <= 2_000 else known
-    aligned = lines.join(found.select("doc_id", "stretch", "start", "words").dropDuplicates(["doc_id", "stretch"]), ["doc_id", "stretch"]).join(names, "item_id")
+    stretches = found.select("doc_id", "stretch", "start", "words").dropDuplicates(["doc_id", "stretch"])
+    size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("item_words")), F.lit(0)).alias("words")).first()
+    if size.words <= BROADCAST_WORDS and size.n <= BROADCAST_ROWS:
+        # each stretch goes to Python once, with all its diagonals; the items' words are there
+        table_of = spark.sparkContext.broadcast({r.item_id: np.array(r.item_words, dtype=np.int64) for r in known.collect()})
+        diagonals = lines.groupBy("doc_id", "stretch").agg(F.collect_list("item_id").alias("items"), F.collect_list("shift").alias("shifts"), F.collect_list("anchor").alias("anchors"))
+        aligned = stretches.join(diagonals, ["doc_id", "stretch"]).select("doc_id", "start", "words", "items", "shifts", "anchors")
+        return aligned.mapInArrow(_measured(table_of, measure), _OVERLAP).distinct()
+    aligned = lines.join(stretches, ["doc_id", "stretch"]).join(known, "item_id").select("doc_id", "start", "words", F.array("item_id").alias("items"), F.array("shift").alias("shifts"), F.array("anchor").alias("anchors"), "item_words")
+    return aligned.mapInArrow(_measured(None, measure), _OVERLAP).distinct()
 
-    @F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("longest_run", "equal_words", "overlap_words", "first")]))
-    def aligned_words(words: pd.Series, item_words: pd.Series, shift: pd.Series, anchor: pd.Series) -> pd.DataFrame:
-        rows = [measure(np.asarray(a), np.asarray(b), int(s), int(p)) for a, b, s, p in zip(words, item_words, shift, anchor)]
-        return pd.DataFrame(rows, columns=["longest_run", "equal_words", "overlap_words", "first"])
 
-    measured = aligned.select("doc_id", "item_id", "start", aligned_words("words", "item_words", "shift", "anchor").alias("m"))
-    return measured.select("doc_id", "item_id", (F.col("start") + F.col("m.first")).alias("start"), "m.longest_run", "m.equal_words", "m.overlap_words").distinct()
+def _measured(table_of, measure: Callable) -> Callable:
+    """Each diagonal of each stretch (doc_id, start, words, items, shifts, anchors, and item_words without a table) compared word by word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = tuple([] for _ in range(6))
+            docs, starts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for row, (doc, start) in enumerate(zip(docs, starts)):
+                a = np.asarray(batch.column(2)[row].values)
+                items, shifts, anchors = (batch.column(c)[row].as_py() for c in (3, 4, 5))
+                for item, shift, anchor in zip(items, shifts, anchors):
+                    b = np.asarray(batch.column(6)[row].values) if table_of is None else table_of.value[item]
+                    run_, equal, overlap, first = measure(a, b, shift, anchor)
+                    if overlap or run_:
+                        for c, x in zip(out, (doc, item, start + first, run_, equal, overlap)):
+                            c.append(x)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[c.split()[0] for c in _OVERLAP.split(", ")])
+
+    return run
 
 
 def leaks(documents: DataFrame, items: DataFrame, least_run: int = 13) -> DataFrame:

@@ -98,3 +98,12 @@ def test_every_pattern_within_the_limits_has_a_seed(spark):
         docs.append((k, " ".join(f"other{k}" if i in wrong else w for i, w in enumerate(text)), "x", 1))
     got = {(r.doc_id, r.item_id) for r in tolerant_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
     assert got == {(k, k) for k in range(len(patterns))}
+
+
+def test_an_overlap_runs_to_its_end_though_no_seed_is_left(spark):
+    rng = random.Random(12)
+    source = [f"s{i}" for i in range(160)]
+    typed = [w if i < 60 or (i - 60) % 7 not in (3, 6) else f"other{i}" for i, w in enumerate(source)]
+    docs = spark.createDataFrame([(1, " ".join(made(rng, 50) + typed + made(rng, 50)), "x", 1)], DOCS)
+    best = tolerant_leaks(docs, spark.createDataFrame([(5, " ".join(source), None)], ITEMS)).first()
+    assert best.longest_run == 63 and best.overlap_words >= 155 and best.equal_words >= 0.8 * best.overlap_words
