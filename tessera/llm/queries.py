@@ -151,6 +151,14 @@ def oracle_sql() -> dict[str, str]:
                 UNION
                 SELECT r.a, t.b FROM reach r JOIN both_ways t ON r.b = t.a)
             SELECT a AS phrase_id, least(a, min(b)) AS group_id FROM reach GROUP BY a""",
+        "p7_neighbours": """
+            WITH v AS (
+                SELECT 'chunks' AS t, chunk_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM chunks WHERE embedding IS NOT NULL
+                UNION ALL SELECT 'graph_phrases', phrase_id, CAST(embedding AS DOUBLE[]) FROM graph_phrases WHERE embedding IS NOT NULL),
+            u AS (SELECT * FROM v WHERE list_dot_product(e, e) > 0),
+            s AS (SELECT a.t, a.id, b.id AS other_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM u a JOIN u b ON a.t = b.t AND a.id <> b.id)
+            SELECT t AS vec_table, id, other_id, similarity, CAST(row_number() OVER (PARTITION BY t, id ORDER BY similarity DESC, other_id) AS INTEGER) AS rank
+            FROM s QUALIFY row_number() OVER (PARTITION BY t, id ORDER BY similarity DESC, other_id) <= 5""",
         "p9_found": r"""
             WITH corpus AS (
                 SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM documents),
