@@ -29,19 +29,21 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tessera.llm.filenames import canonical_hash, canonical_name, fingerprints, same_words, slip_prints
-from tessera.session import names_in, new_folder, publish, read_text, remove, written
+from tessera.session import names_in, new_folder, publish, read_text, release, remove, written
 
 HASH, NAME, WINNOWED, SLIP = 0, 1, 2, 3
 BITS_PER_KEY = 12
 PROBES = 4
 #: Share of the smaller winnowed set that two spellings of one name must have in common.
 COVERAGE = 0.2
+#: Positives that may be sent to all tasks, of 12 bytes each.
+BROADCAST_ROWS = 500_000
 #: So many layers of one tier are merged into one of the next.
 MERGE = 8
 #: Fingerprints that a bucket is planned for.
 BUCKET_KEYS = 1_000_000
-_PREPARED = "file_id long, batch int, hash_key long, name_key long, words array<string>, prints array<long>, slips array<long>"
-_STORE = "fp long, kind int, file_id long, words array<string>, size int, bucket int"
+_PREPARED = "file_id long, batch int, hash_key long, name_key long, words string, prints array<long>, slips array<long>"
+_STORE = "fp long, kind int, file_id long, words string, size int, bucket int"
 _FILTERS = "bucket int, bits binary"
 _CASES = "file_id long, a long"
 
@@ -62,10 +64,10 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows[1].append(_signed(xxhash.xxh64_intdigest("\x1f".join((*words, "", *digits)), 2)))
             else:
                 rows[1].append(None)
-            rows[2].append(list(words))
+            rows[2].append(" ".join(words))
             rows[3].append([_signed(x) for x in fingerprints(words, digits)])
             rows[4].append([_signed(x) for x in slip_prints(words, digits)])
-        types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), *(pa.array(c, t) for c, t in zip(rows, types))], names=[c.split()[0] for c in _PREPARED.split(", ")])
 
 
@@ -137,7 +139,7 @@ def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @F.pandas_udf(T.BooleanType())
 def _same(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([x is not None and y is not None and same_words(tuple(x), tuple(y)) for x, y in zip(a, b)], dtype=bool)
+    return pd.Series([x is not None and y is not None and same_words(tuple(x.split()), tuple(y.split())) for x, y in zip(a, b)], dtype=bool)
 
 
 class FingerprintStore:
@@ -173,9 +175,14 @@ class FingerprintStore:
         both = keys.unionByName(self._read("filters", _FILTERS, layers), allowMissingColumns=True).repartition("bucket")
         return both.sortWithinPartitions("bucket", F.col("bits").isNull()).mapInArrow(_screen, "fp long, seen boolean, shared boolean")
 
-    def rows(self, buckets: list[int]) -> DataFrame:
-        """(fp, kind, a, a_words, a_size) of the store in these buckets; no file of another bucket is read."""
+    def rows(self, wanted: DataFrame, few: bool, buckets: list[int]) -> DataFrame:
+        """(fp, kind, a, a_words, a_size) of the store under ``wanted`` (fp, kind), which lie in these buckets; no file of another bucket is read.
+
+        If they are ``few``, they are sent to the tasks and nothing of the store but their rows is shuffled.
+        """
         store = self._read("prints", _STORE, self.layers()).filter(F.col("bucket").isin(buckets))
+        if few:
+            store = store.join(F.broadcast(wanted), ["fp", "kind"], "left_semi")
         return store.select("fp", "kind", F.col("file_id").alias("a"), F.col("words").alias("a_words"), F.col("size").alias("a_size"))
 
     def _write(self, prints: DataFrame, tier: int, merged: list[str]) -> None:
@@ -262,12 +269,13 @@ def _add_prepared(store: FingerprintStore, batch: DataFrame) -> str:
     found = Observation()
     flagged = prints.join(store.screen(prints), "fp").withColumn("bucket", store.bucket(F.col("fp")))
     seen_buckets = F.collect_set(F.when(F.col("seen"), F.col("bucket"))).alias("buckets")  # bounded by the buckets of the store
-    rows = written(flagged.observe(found, seen_buckets, F.count(F.when(F.col("shared"), 1)).alias("shared")), "rows")
+    rows = written(flagged.observe(found, seen_buckets, F.count(F.when(F.col("shared"), 1)).alias("shared"), F.count(F.when(F.col("seen"), 1)).alias("seen")), "rows")
     cases: list[DataFrame] = []
     suspects = rows.filter("shared")
     if buckets := sorted(found.get["buckets"]):
         # (file, accepted file) pairs under a common key, or under enough common fingerprints
-        hits = rows.filter("seen").join(store.rows(buckets), ["fp", "kind"]).groupBy("file_id", "a")
+        past = store.rows(rows.filter("seen").select("fp", "kind").distinct(), found.get["seen"] <= BROADCAST_ROWS, buckets)
+        hits = rows.filter("seen").join(past, ["fp", "kind"]).groupBy("file_id", "a")
         hits = hits.agg(F.min("kind").alias("kind"), F.max("kind").alias("last"), F.count("*").alias("n"), F.max("words").alias("words"), F.max("a_words").alias("a_words"), F.max("size").alias("size"), F.max("a_size").alias("a_size"))
         alike = (F.col("kind") < WINNOWED) | (((F.col("last") == SLIP) | (F.col("n") >= COVERAGE * F.least("size", "a_size"))) & _same("words", "a_words"))
         cases.append(written(hits.filter(alike).groupBy("file_id").agg(F.min("a").alias("a")), "old"))
@@ -278,7 +286,9 @@ def _add_prepared(store: FingerprintStore, batch: DataFrame) -> str:
     gone = store.spark.createDataFrame([], _CASES)
     for some in cases:
         gone = gone.unionByName(some)
-    return store.add(batch.join(gone.select("file_id"), "file_id", "left_anti"), gone)
+    layer = store.add(batch.join(gone.select("file_id"), "file_id", "left_anti"), gone)
+    release(store.spark)
+    return layer
 
 
 def add_batch(store: FingerprintStore, files: DataFrame) -> DataFrame:
