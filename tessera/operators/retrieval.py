@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tessera.functions.stems import stemmed
 from tessera.functions.text import STOP_WORDS, normalise_text, terms
 from tessera.functions.vectors import cosine, nearest_rows
+from tessera.functions.words import best_by_words, counted
 from tessera.session import parallelism, written
 
 # Constants of the ranking.
@@ -74,9 +75,27 @@ def text_scores(queries: DataFrame, chunks: DataFrame, postings: DataFrame | Non
 
 
 def text_ranks(queries: DataFrame, chunks: DataFrame, pool: int, postings: DataFrame | None = None, stem: bool = False) -> DataFrame:
-    """``(query_id, chunk_id, score, rank)``, best match first."""
+    """``(query_id, chunk_id, score, rank)``, best match first, with the scores of :func:`text_scores`.
+
+    Questions and chunks that share a word are too many to shuffle: each task ranks its own chunks. Words are
+    numbered; of stems, every spelling has the number of its stem.
+    """
+    asked = written(query_terms(queries, stem), "asked")
+    wanted = forms = written(asked.select("term").distinct().withColumn("word", F.monotonically_increasing_id()), "wanted")
+    if postings is None:
+        words = chunks.select("chunk_id", F.explode(terms("content")).alias("term"))
+        if stem:
+            spelled = words.filter(~F.col("term").isin(STOP_WORDS)).select("term").distinct().select("term", stemmed("term").alias("stem"))
+            forms = written(spelled.join(wanted.withColumnRenamed("term", "stem"), "stem").select("term", "word"), "forms")
+    few = forms.count() <= BROADCAST_ROWS
+    forms = F.broadcast(forms) if few else forms
+    if postings is None:
+        counts = words.join(forms, "term").select("chunk_id", "word", F.lit(1).cast("long").alias("tf")).mapInArrow(counted, "chunk_id string, word long, tf long")
+    else:
+        counts = postings.join(forms, "term").select("chunk_id", "word", F.col("tf").cast("long").alias("tf"))
+    found = best_by_words(asked.join(wanted, "term").select("query_id", "word"), counts, pool, chunks.count())
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return text_scores(queries, chunks, postings, stem).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pool)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pool)
 
 
 def reciprocal_rank(rank: Column, weight: Column | float = 1.0) -> Column:

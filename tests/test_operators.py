@@ -3,10 +3,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import replies, text as tx
+from tessera.functions import replies, text as tx, words
 from tessera.functions.stems import stem
 from tessera.functions.vectors import VectorIndex, cosine, nearest_rows
 from tessera.operators import catalog, charts, citations, conversations, graph, mutation, packing, retrieval
@@ -48,6 +49,47 @@ def test_nearest_rows_equals_brute_force(spark):
     assert spark.range(1).select(cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))).alias("c")).first().c is None
 
 
+def shuffled(spark, run):
+    """Rows that the stages of ``run`` wrote for a shuffle, the most of one stage."""
+    context = spark.sparkContext._jsc.sc()
+    stages = lambda: context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    known = {stages().apply(i).stageId() for i in range(stages().size())}
+    out = run()
+    context.listenerBus().waitUntilEmpty(30_000)
+    return out, max(s.shuffleWriteRecords() for s in (stages().apply(i) for i in range(stages().size())) if s.stageId() not in known)
+
+
+def test_words_are_ranked_where_the_chunks_lie(spark):
+    rng = random.Random(2)
+    text = lambda n: "common " + " ".join(rng.choice("alpha beta gamma delta running runs the of epsilon".split()) for _ in range(n))
+    rows = [chunk(f"c{rng.randrange(300):03d}", content=text(rng.randrange(9))) for _ in range(330)] + [chunk("x", content=None)]  # some ids twice
+    c = spark.createDataFrame(rows, CHUNKS).repartition(3)
+    q = spark.createDataFrame([(i, text(4), [1.0]) for i in range(150)] + [(900, None, [1.0])], "query_id long, text string, vec array<double>")
+    for o in ({}, {"stem": True}, {"postings": retrieval.build_postings(c)}, {"postings": retrieval.build_postings(c, stem=True), "stem": True}):
+        lists = {}
+        for r in retrieval.text_scores(q, c, **o).collect():
+            lists.setdefault(r.query_id, []).append((-r.score, r.chunk_id))
+        got, most = shuffled(spark, lambda o=o: retrieval.text_ranks(q, c, 3, **o).collect())
+        assert {(r.query_id, r["rank"]): (-r.score, r.chunk_id) for r in got} == {(i, n + 1): v for i, x in lists.items() for n, v in enumerate(sorted(x)[:3])}
+        assert most < 8_000 < sum(map(len, lists.values()))  # pairs of question and chunk are not shuffled
+
+
+def test_words_are_ranked_alike_over_many_spans():
+    rng = np.random.default_rng(4)
+    tf = rng.integers(0, 4, size=(40_000, 6)) * (rng.random((40_000, 6)) < 0.3)
+    at, word = np.nonzero(tf)
+    ids = np.array([f"c{i:05d}" for i in range(len(tf))])
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[at[x]]), pa.array(word[x] * 7), pa.array(tf[at[x], word[x]])], names=["chunk_id", "word", "tf"]) for x in np.array_split(rng.permutation(len(at)), 9)]
+    asked = [[0, 1, 2], [3, 5], [4]]
+    run = words._best(pa.array([5, 6, 7]), np.array([0, 3, 5, 6]), np.concatenate(asked), np.arange(6) * 7, 50)
+    got = pa.Table.from_batches(list(run(iter(batches)))).to_pandas()
+    for name, own in zip((5, 6, 7), asked):
+        score = np.round((tf[:, own] / (tf[:, own] + 1)).sum(1), 9)
+        want = np.lexsort((ids, -score))[:50]
+        mine = got[got.query_id == name].sort_values(["score", "chunk_id"], ascending=[False, True])
+        assert mine.chunk_id.tolist() == ids[want].tolist() and mine.score.tolist() == score[want].tolist()
+
+
 def test_mmr_prefers_what_is_new():
     scores = np.array([1.0, 0.99, 0.6])
     vectors = np.array([[1.0, 0.0], [1.0, 0.01], [0.0, 1.0]])
