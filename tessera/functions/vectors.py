@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tessera.session import BROADCAST_ROWS, written
+
 #: Query vectors searched in one pass over the rows; more are searched in further passes.
 BLOCK = 4_096
 
@@ -89,6 +91,21 @@ def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
                 yield [r.query_id for r, g in zip(own, good) if g], v[good] / norm[good, None]
 
 
+def alike(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(heads, members): each different vector of ``queries`` (query_id, vec) once as (query_id, vec) under a number of its own, and
+    (head, query_id) of the questions that have it. A search asks for each head once."""
+    usable = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null and size(vec) > 0")
+    heads = written(usable.select("vec").distinct().withColumn("head", F.monotonically_increasing_id()), "heads")
+    members = written(usable.join(heads, "vec").select("head", "query_id").distinct(), "members")
+    return heads.select(F.col("head").alias("query_id"), "vec"), members
+
+
+def of_members(found: DataFrame, members: DataFrame) -> DataFrame:
+    """What was found for the heads (query_id) of :func:`alike`, for each question."""
+    few = members.count() <= BROADCAST_ROWS
+    return found.withColumnRenamed("query_id", "head").join(F.broadcast(members) if few else members, "head").select("query_id", *(c for c in found.columns if c != "query_id"))
+
+
 def similarities(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """``(query_id, id, similarity)`` of every query and every row, for a query set that is small; as :func:`nearest_rows` else."""
     usable = rows.select(F.col("id").cast("string").alias("id"), "vec").filter("vec is not null and id is not null")
@@ -103,10 +120,11 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
     ``queries`` (query_id long, vec), ``rows`` (id string, vec). Each task keeps only its ``k`` best per
     query, so at most ``k`` rows a query and task are shuffled. Query vectors reach the tasks in blocks of
-    bounded size. Null, zero and non-finite vectors match nothing; vectors of different lengths do not
-    meet; ties go to the smaller id.
+    bounded size, and questions of the same vector are searched once. Null, zero and non-finite vectors match
+    nothing; vectors of different lengths do not meet; ties go to the smaller id.
     """
     spark = queries.sparkSession
+    queries, members = alike(queries)
     found = rows.select(F.col("id").cast("string").alias("id"), "vec").filter("vec is not null and id is not null")
     parts = [found.mapInArrow(_search(names, vectors, k), "query_id long, id string, similarity double") for names, vectors in _query_blocks(queries)]
     if not parts:
@@ -115,7 +133,7 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     for p in parts[1:]:
         merged = merged.unionByName(p)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return of_members(merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), members)
 
 
 class VectorIndex:

@@ -14,7 +14,7 @@ from tessera.functions.stems import stemmed
 from tessera.functions.text import STOP_WORDS, normalise_text, terms
 from tessera.functions.vectors import cosine, nearest_rows
 from tessera.functions.words import best_by_words, counted
-from tessera.session import parallelism, written
+from tessera.session import BROADCAST_ROWS, parallelism, written
 
 # Constants of the ranking.
 RRF_K = 60
@@ -26,8 +26,6 @@ PER_DOCUMENT = 6
 SUB_QUERY_LIMIT = 8
 WHOLE_DOCUMENT_CHARS = 16_000
 PICKED_WEIGHT = 0.5
-#: A table of at most this many slim rows may be broadcast.
-BROADCAST_ROWS = 100_000
 
 
 def vector_ranks(queries: DataFrame, chunks: DataFrame, pool: int) -> DataFrame:
@@ -183,6 +181,17 @@ def document_ranks(queries: DataFrame, chunks: DataFrame, summaries: DataFrame,
     return fused.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "filename", "score", "rank")
 
 
+def _scores_of(pairs: DataFrame, asked: DataFrame, chunks: DataFrame, postings: DataFrame | None) -> DataFrame:
+    """``(query_id, filename, chunk_id, score)`` as :func:`text_scores` gives them, of these ``pairs`` (query_id, filename, chunk_id) alone."""
+    there = pairs.select("chunk_id").distinct()
+    if postings is None:
+        words = chunks.select("chunk_id", F.explode(terms("content")).alias("term")).join(there, "chunk_id", "left_semi")
+        postings = words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    met = pairs.distinct().join(postings, "chunk_id").join(asked, ["query_id", "term"])
+    scored = met.groupBy("query_id", "filename", "chunk_id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + F.lit(1.0))), 9).alias("score"))
+    return pairs.join(scored, ["query_id", "filename", "chunk_id"])
+
+
 def search_within(queries: DataFrame, chunks: DataFrame, picked: DataFrame, limit: int, postings: DataFrame | None = None) -> DataFrame:
     """``(query_id, filename, chunk_id, score, rank)``: hybrid candidates of each picked file (query_id, filename), both lists
     ranked within the file, the best ``4 * limit`` kept."""
@@ -195,8 +204,8 @@ def search_within(queries: DataFrame, chunks: DataFrame, picked: DataFrame, limi
     mine = chunks.select("chunk_id", "filename", "embedding").join(picked, "filename")
     sims = mine.join(vec, "query_id").withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("vec")), 9)).filter("similarity is not null")
     v = sims.withColumn("v_rank", F.row_number().over(per_file.orderBy(F.desc("similarity"), "chunk_id"))).filter(F.col("v_rank") <= pool).select("query_id", "filename", "chunk_id", "v_rank")
-    inside = chunks.select("chunk_id", "filename").join(picked, "filename")
-    t = text_scores(queries, chunks, postings).join(inside, ["query_id", "chunk_id"]).select("query_id", "filename", "chunk_id", F.col("score").alias("s"))
+    inside = written(chunks.select("chunk_id", "filename").join(picked, "filename").select("query_id", "filename", "chunk_id"), "inside")
+    t = _scores_of(inside, query_terms(queries), chunks, postings).withColumnRenamed("score", "s")
     t = t.withColumn("t_rank", F.row_number().over(per_file.orderBy(F.desc("s"), "chunk_id"))).filter(F.col("t_rank") <= pool).select("query_id", "filename", "chunk_id", "t_rank")
     score = F.coalesce(reciprocal_rank(F.col("v_rank")), F.lit(0.0)) + F.coalesce(reciprocal_rank(F.col("t_rank")), F.lit(0.0))
     both = v.join(t, ["query_id", "filename", "chunk_id"], "full_outer").withColumn("score", F.round(score, 9))

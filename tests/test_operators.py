@@ -74,6 +74,36 @@ def test_words_are_ranked_where_the_chunks_lie(spark):
         assert most < 8_000 < sum(map(len, lists.values()))  # pairs of question and chunk are not shuffled
 
 
+def test_words_within_a_file_are_scored_there_alone(spark):
+    rows = [chunk(f"c{i:03d}", file=f"f{i // 2}", content=f"common w{i % 3} w{i % 3}") for i in range(200)]
+    c = spark.createDataFrame(rows, CHUNKS)
+    q = spark.createDataFrame([(i, f"common w{i % 3}", [1.0, 0.0]) for i in range(100)], "query_id long, text string, vec array<double>")
+    picked = spark.createDataFrame([(i, f"f{i}") for i in range(100)], "query_id long, filename string")
+    for postings in (None, retrieval.build_postings(c)):
+        got, most = shuffled(spark, lambda postings=postings: retrieval.search_within(q, c, picked, 2, postings).collect())
+        score = {(r.query_id, r.chunk_id): r.score for r in retrieval.text_scores(q, c, postings).collect()}
+        assert len(got) == 200 and most < 5_000 < len(score)
+        for i in range(100):
+            mine = [r.chunk_id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])]
+            by_words = sorted((f"c{2 * i:03d}", f"c{2 * i + 1:03d}"), key=lambda x: (-score[i, x], x))
+            fused = {x: round(1 / (61 + n) + 1 / (61 + by_words.index(x)), 9) for n, x in enumerate((f"c{2 * i:03d}", f"c{2 * i + 1:03d}"))}
+            assert mine == sorted(fused, key=lambda x: (-fused[x], x)) and [r.score for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == [fused[x] for x in mine]
+
+
+def test_questions_of_one_vector_are_searched_once(spark):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(f"r{i:02d}", v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))], "id string, vec array<double>").repartition(4)
+    kinds = rng.normal(size=(3, 4)).tolist()
+    queries = spark.createDataFrame([(i, kinds[i % 3]) for i in range(900)] + [(901, None)], "query_id long, vec array<double>")
+    got, most = shuffled(spark, lambda: nearest_rows(queries, rows, 5).collect())
+    alone = {r.query_id: [] for r in got}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        alone[r.query_id].append((r.id, r.similarity, r["rank"]))
+    want = nearest_rows(queries.filter("query_id < 3"), rows, 5).collect()
+    assert sorted(alone) == list(range(900)) and all(alone[i] == [x[1:] for x in sorted(map(tuple, want), key=lambda x: x[3]) if x[0] == i % 3] for i in range(900))
+    assert most < 4 * 900 < 900 * 5  # were each question searched, five rows each and task
+
+
 def test_words_are_ranked_alike_over_many_spans():
     rng = np.random.default_rng(4)
     tf = rng.integers(0, 4, size=(40_000, 6)) * (rng.random((40_000, 6)) < 0.3)
