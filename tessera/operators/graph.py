@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.functions.text import normalise_phrase
-from tessera.functions.vectors import nearest_rows, similarities
+from tessera.functions.vectors import alike, nearest_rows, of_members, similarities
 from tessera.operators.catalog import corpus_stamp
 from tessera.session import written
 
@@ -19,6 +23,8 @@ LINKING_TOP_K = 5
 SYNONYM_THRESHOLD = 0.8
 SYNONYM_NEIGHBOURS = 100
 ITERATIONS = 20
+#: A graph of at most this many steps (two an edge) is walked in the memory of each task; a larger one by joins.
+TASK_STEPS = 6_000_000
 
 
 def parse_triples(replies: DataFrame) -> DataFrame:
@@ -76,7 +82,74 @@ def weighted_edges(facts: DataFrame, links: DataFrame, synonyms: DataFrame) -> D
     return phrases.unionByName(passages)
 
 
-def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, cut_every: int = 5) -> DataFrame:
+def _walks(damping: float, iterations: int) -> Callable:
+    """Walks over a graph in memory: a task gets its steps first (query_id null), then the reset vector of one question after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps, held, part, graph, now = [], [], None, None, None
+
+        def walked() -> pa.RecordBatch:
+            known, src, dst, share = graph
+            rows = pa.Table.from_batches(held)
+            vertex, mass, lone = rows["vertex"].to_numpy(), rows["value"].to_numpy(), rows["lone"][0].as_py()
+            at = np.minimum(np.searchsorted(known, vertex), max(len(known) - 1, 0))
+            inside = known[at] == vertex if len(known) else np.zeros(len(vertex), dtype=bool)
+            start = np.bincount(at[inside], mass[inside], len(known))
+            rank, restart = start, 1.0
+            for _ in range(iterations):
+                restart = 1 - damping * (1 - lone * restart)
+                rank = damping * np.bincount(dst, rank[src] * share, len(known)) + restart * start
+            there = np.nonzero(rank)[0]
+            number, score = np.concatenate([known[there], vertex[~inside]]), np.concatenate([rank[there], restart * mass[~inside]])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(number), now, dtype=np.int64)), pa.array(number), pa.array(score)], names=["query_id", "number", "score"])
+
+        for batch in batches:
+            step = pc.is_null(batch.column("query_id"))
+            new = batch.filter(step)
+            if len(new):
+                part = new.column("part")[0].as_py() if part is None else part  # another part in the same task has the same graph
+                steps.append(new.filter(pc.equal(new.column("part"), part)).select(["vertex", "dst", "value"]))
+            rest = batch.filter(pc.invert(step))
+            if not len(rest):
+                continue
+            if graph is None:
+                table = pa.Table.from_batches(steps) if steps else None
+                src, dst, share = (table[c].to_numpy() if steps else np.zeros(0, dtype=np.int64) for c in ("vertex", "dst", "value"))
+                known = np.unique(src)  # a step leads to where another begins
+                graph = known, np.searchsorted(known, src).astype(np.int32), np.searchsorted(known, dst).astype(np.int32), share
+                steps = table = src = dst = None
+            query = np.asarray(rest.column("query_id"))
+            cuts = [0, *(np.nonzero(np.diff(query))[0] + 1), len(query)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and query[a] != now:
+                    yield walked()
+                    held = []
+                now = int(query[a])
+                held.append(rest.slice(a, b - a))
+        if held:
+            yield walked()
+
+    return run
+
+
+def _in_memory(start: DataFrame, steps: DataFrame, damping: float, iterations: int) -> DataFrame:
+    """The walks of :func:`personalised_pagerank` in tasks that each hold the whole graph, its vertices numbered, and some of the questions."""
+    spark = start.sparkSession
+    parts = max(1, spark.sparkContext.defaultParallelism)
+    vertices = written(steps.select("vertex").union(start.select("vertex")).distinct().withColumn("number", F.monotonically_increasing_id()), "vertices")
+    by_src = steps.join(vertices.withColumnRenamed("number", "src"), "vertex").select("src", F.col("dst").alias("vertex"), "share")
+    numbered = by_src.join(vertices.withColumnRenamed("number", "dst"), "vertex")
+    none = lambda kind: F.lit(None).cast(kind)
+    everywhere = F.explode(F.array(*(F.lit(i) for i in range(parts)))).alias("part")
+    graph = numbered.select(everywhere, none("long").alias("query_id"), F.col("src").alias("vertex"), "dst", F.col("share").alias("value"), none("double").alias("lone"))
+    query = F.col("query_id").cast("long")
+    resets = start.join(vertices, "vertex").select(F.pmod(F.xxhash64(query), F.lit(parts)).cast("int").alias("part"), query.alias("query_id"), F.col("number").alias("vertex"), none("long").alias("dst"), F.col("mass").alias("value"), "lone")
+    placed = graph.unionByName(resets).repartition(parts, "part").sortWithinPartitions(F.asc_nulls_first("query_id"))
+    ranks = placed.mapInArrow(_walks(damping, iterations), "query_id long, number long, score double")
+    return written(ranks.join(vertices, "number").select("query_id", "vertex", "score"), "rank")
+
+
+def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, cut_every: int = 5, in_memory: int = TASK_STEPS) -> DataFrame:
     """``(query_id, vertex, score)`` of walks that return to ``reset`` (query_id, vertex, weight), all queries in one loop.
 
     Edges (a, b, weight) count both ways; edges of no positive weight are not walked. What a walk carries
@@ -84,7 +157,8 @@ def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float = D
     below 2e-6. Lineage is cut every few rounds by a table in the shared folder.
 
     Only vertices of the reset vector can be without edges, and nothing flows to them: so what restarts in a
-    round follows from what restarted in the round before, and a round is one join and one sum.
+    round follows from what restarted in the round before, and a round is one join and one sum. A graph of
+    at most ``TASK_STEPS`` steps is walked in memory, by tasks that share the questions.
     """
     usable = edges.filter("weight > 0 and a != b")
     both = usable.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(usable.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
@@ -95,6 +169,8 @@ def personalised_pagerank(edges: DataFrame, reset: DataFrame, damping: float = D
     marked = written(positive.join(walked, "vertex", "left"), "marked")
     total = marked.groupBy("query_id").agg(F.sum("weight").alias("total"), F.coalesce(F.sum(F.when(F.col("walked").isNull(), F.col("weight"))), F.lit(0.0)).alias("lone"))
     start = written(marked.join(total, "query_id").select("query_id", "vertex", (F.col("weight") / F.col("total")).alias("mass"), (F.col("lone") / F.col("total")).alias("lone")), "reset")
+    if steps.count() <= in_memory:
+        return _in_memory(start, steps, damping, iterations)
     rank, restart = start.select("query_id", "vertex", F.col("mass").alias("score")), F.lit(1.0)
     for i in range(iterations):
         moved = rank.join(steps, "vertex").select("query_id", F.col("dst").alias("vertex"), (F.col("score") * F.col("share") * damping).alias("score"))

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import text as tx
+from tessera.functions.vectors import alike, of_members
 from tessera.operators import catalog, charts, citations, conversations, graph, mutation, packing, retrieval
 from tessera.plans import records
 from tessera.plans.oracle import statements
@@ -114,12 +115,13 @@ def fact_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pagerank(spark: SparkSession, d: str) -> DataFrame:
-    """Walks over the whole graph from the phrases of each question's closest facts."""
+    """Walks over the whole graph from the phrases of each question's closest facts; questions of one vector walk once."""
     f, links = facts(spark, d), fact_links(spark, d)
-    seeds = graph.seed_phrases(search_queries(spark, d), f, links, fact_vectors(spark, d))
+    heads, members = alike(search_queries(spark, d))
+    seeds = graph.seed_phrases(heads, f, links, fact_vectors(spark, d))
     reset = seeds.select("query_id", F.concat(F.lit("p:"), F.col("phrase_id")).alias("vertex"), "weight")
     ranks = graph.personalised_pagerank(graph.weighted_edges(f, links, _synonyms(spark, d)), reset)
-    return ranks.select("query_id", "vertex", F.round("score", 6).alias("score")).filter("score > 0")
+    return of_members(ranks.select("query_id", "vertex", F.round("score", 6).alias("score")).filter("score > 0"), members)
 
 
 def _graph_search(spark: SparkSession, d: str) -> DataFrame:

@@ -274,6 +274,18 @@ def test_pagerank_against_a_dense_solution(spark):
     assert all(abs(got.get(n, 0.0) - want[i]) < 1e-5 for i, n in enumerate(names))
 
 
+def test_walks_in_memory_equal_walks_by_joins(spark):
+    rng = random.Random(8)
+    edges = spark.createDataFrame([(f"v{rng.randrange(80):02d}", f"v{rng.randrange(80):02d}", rng.random()) for _ in range(150)], "a string, b string, weight double")
+    seeds = [(i, f"v{rng.randrange(80):02d}", rng.random()) for i in range(40) for _ in range(3)] + [(i, "lone", 1.0) for i in range(0, 40, 4)] + [(50, "lone", 2.0)]
+    reset = spark.createDataFrame(seeds, "query_id long, vertex string, weight double").repartition(5)
+    walk = lambda **o: {(r.query_id, r.vertex): r.score for r in graph.personalised_pagerank(edges, reset, **o).collect()}
+    joined, (inside, most) = walk(in_memory=-1), shuffled(spark, walk)
+    assert set(joined) == set(inside) and all(abs(joined[k] - inside[k]) < 1e-12 for k in joined)
+    assert most <= len(joined) + 4 * 300  # the graph once for each part, and results; not what every vertex of every walk passes on
+    assert graph.personalised_pagerank(edges.limit(0), reset).filter("query_id = 50").first().score == 1.0
+
+
 def test_graph_building_and_orphans(spark):
     replies_df = spark.createDataFrame([("c1", '[["Ann", "works for", "The  Firm!"], ["x", "y"], ["a", "is", "A"], ["b", "", "c"]]'), ("c2", "no json"), ("c3", None), ("c4", '[["ann", "works for", "the firm"]]')], "chunk_id string, reply string")
     triples = graph.parse_triples(replies_df)
