@@ -225,8 +225,11 @@ def graph_search(queries: DataFrame, chunks: DataFrame, facts: DataFrame, links:
     """``(query_id, chunk_id, score, rank)``: passages ranked by walks from the phrases of the closest facts.
 
     Every passage with a usable vector joins the walks with a small weight, by its similarity scaled to 0..1.
-    Without a kept fact the order is by similarity. ``kept`` as in :func:`seed_phrases`.
+    Without a kept fact the order is by similarity. ``kept`` as in :func:`seed_phrases`; without it questions
+    of one vector walk once.
     """
+    if kept is None:
+        queries, members = alike(queries)
     seeds = seed_phrases(queries, facts, links, fact_vectors, kept).select("query_id", F.concat(F.lit("p:"), F.col("phrase_id")).alias("vertex"), "weight")
     seeds = written(seeds, "seeds")
     similar = written(similarities(queries.select("query_id", "vec"), chunks.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))), "similar")
@@ -238,7 +241,8 @@ def graph_search(queries: DataFrame, chunks: DataFrame, facts: DataFrame, links:
     walked = ranks.select("query_id", F.expr("substring(vertex, 3)").alias("chunk_id"), F.round("score", 9).alias("score"))
     plain = similar.join(some, "query_id", "left_anti").select("query_id", F.col("id").alias("chunk_id"), F.col("similarity").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return walked.unionByName(plain).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    found = walked.unionByName(plain).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return found if kept is not None else of_members(found, members)
 
 
 class GraphCache:

@@ -286,6 +286,24 @@ def test_walks_in_memory_equal_walks_by_joins(spark):
     assert graph.personalised_pagerank(edges.limit(0), reset).filter("query_id = 50").first().score == 1.0
 
 
+def test_questions_of_one_vector_search_the_graph_once(spark):
+    rng = np.random.default_rng(9)
+    vec = lambda: rng.normal(size=4).tolist()
+    c = spark.createDataFrame([chunk(f"c{i:02d}", vec=vec()) for i in range(60)], CHUNKS)
+    facts = spark.createDataFrame([(f"f{i}", f"p{i % 7}", f"p{(i * 3 + 1) % 11}") for i in range(30)], "fact_id string, subject_id string, object_id string")
+    links = spark.createDataFrame([(f"f{i}", f"c{i * 2 % 60:02d}") for i in range(30)], "fact_id string, chunk_id string")
+    vectors = spark.createDataFrame([(f"f{i}", vec()) for i in range(30)], "fact_id string, embedding array<double>")
+    none = spark.createDataFrame([], "phrase_a string, phrase_b string, weight double")
+    kinds = [vec() for _ in range(3)]
+    ask = lambda n: spark.createDataFrame([(i, kinds[i % 3]) for i in range(n)] + [(900, None)], "query_id long, vec array<double>")
+    search = lambda q, kept=None: {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 9)) for r in graph.graph_search(q, c, facts, links, none, vectors, 4, kept).collect()}
+    got, most = shuffled(spark, lambda: search(ask(300)))
+    every = spark.range(3).crossJoin(facts).selectExpr("id as query_id", "fact_id")
+    alone = search(ask(3), every)  # a filter that keeps all: each question by itself
+    assert len(alone) == 12 and got == {(i, n): alone[i % 3, n] for i in range(300) for n in range(1, 5)}
+    assert most < 60 * 300  # not a row for each question and passage
+
+
 def test_graph_building_and_orphans(spark):
     replies_df = spark.createDataFrame([("c1", '[["Ann", "works for", "The  Firm!"], ["x", "y"], ["a", "is", "A"], ["b", "", "c"]]'), ("c2", "no json"), ("c3", None), ("c4", '[["ann", "works for", "the firm"]]')], "chunk_id string, reply string")
     triples = graph.parse_triples(replies_df)
