@@ -26,6 +26,8 @@ PER_DOCUMENT = 6
 SUB_QUERY_LIMIT = 8
 WHOLE_DOCUMENT_CHARS = 16_000
 PICKED_WEIGHT = 0.5
+#: Chunks that are read alone.
+WITHOUT_SPAN = "(source_type != 'text' or chunk_index is null or source_type is null)"
 
 
 def vector_ranks(queries: DataFrame, chunks: DataFrame, pool: int) -> DataFrame:
@@ -227,27 +229,36 @@ def routed_search(queries: DataFrame, chunks: DataFrame, summaries: DataFrame, l
     return joined.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("query_id", "chunk_id", "score", F.col("place").alias("rank"))
 
 
+def _passage(content: str) -> Column:
+    """What stands for a normalised text where only its equality counts; null texts have one of their own."""
+    return F.coalesce(F.unhex(F.sha2(normalise_text(content).cast("binary"), 256)), F.lit(b""))
+
+
 def _with_chunks(results: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Ranked results with their chunks; a result set is a few rows a question, sent to the chunks if they are few."""
+    """Ranked results with the places and passages of their chunks; a long chunk is found by many questions, so its text
+    is read once, where it lies. What is small is sent to the chunks."""
     slim = written(results.select("query_id", "chunk_id", "rank"), "results")
+    found = slim.select("chunk_id").distinct()
+    there = chunks.join(F.broadcast(found), "chunk_id", "left_semi") if found.count() <= BROADCAST_ROWS else chunks
+    places = written(there.select("chunk_id", "filename", "chunk_index", "source_type", _passage("content").alias("passage")), "passages")
     few = slim.count() <= BROADCAST_ROWS
-    return chunks.select("chunk_id", "filename", "chunk_index", "source_type", "content").join(F.broadcast(slim) if few else slim, "chunk_id")
+    return places.join(F.broadcast(slim) if few else slim, "chunk_id")
 
 
 def _collapse(rows: DataFrame, window: int) -> DataFrame:
-    """(query_id, chunk_id, rank, filename, own, span_start, span_end) of results with their chunks."""
-    same = Window.partitionBy("query_id", normalise_text("content")).orderBy("rank", "chunk_id")
-    rows = rows.withColumn("copy", F.row_number().over(same)).filter("copy = 1").withColumnRenamed("content", "own")
+    """(query_id, chunk_id, rank, filename, passage, span_start, span_end) of results with their chunks."""
+    same = Window.partitionBy("query_id", "passage").orderBy("rank", "chunk_id")
+    rows = rows.withColumn("copy", F.row_number().over(same)).filter("copy = 1")
     text = rows.filter("source_type = 'text' and chunk_index is not null")
     along = Window.partitionBy("query_id", "filename").orderBy("chunk_index", "chunk_id")
     apart = F.col("chunk_index") - F.lag("chunk_index").over(along) > 2 * window
     islands = text.withColumn("island", F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(along))
     spans = islands.groupBy("query_id", "filename", "island").agg(
-        F.min(F.struct("rank", "chunk_id", "own")).alias("head"), (F.min("chunk_index") - window).alias("span_start"), (F.max("chunk_index") + window).alias("span_end")
+        F.min(F.struct("rank", "chunk_id", "passage")).alias("head"), (F.min("chunk_index") - window).alias("span_start"), (F.max("chunk_index") + window).alias("span_end")
     )
-    folded = spans.select("query_id", "head.chunk_id", "head.rank", "filename", "head.own", "span_start", "span_end")
+    folded = spans.select("query_id", "head.chunk_id", "head.rank", "filename", "head.passage", "span_start", "span_end")
     none = F.lit(None).cast("int")
-    return folded.unionByName(rows.filter("source_type != 'text' or chunk_index is null or source_type is null").select("query_id", "chunk_id", "rank", "filename", "own", none.alias("span_start"), none.alias("span_end")))
+    return folded.unionByName(rows.filter(WITHOUT_SPAN).select("query_id", "chunk_id", "rank", "filename", "passage", none.alias("span_start"), none.alias("span_end")))
 
 
 def collapse_duplicates(results: DataFrame, chunks: DataFrame, window: int = CONTEXT_WINDOW) -> DataFrame:
@@ -268,15 +279,22 @@ def expand_context(results: DataFrame, chunks: DataFrame, window: int = CONTEXT_
     """``(query_id, chunk_id, rank, filename, content)``: each folded span with all its text, other rows as they are.
 
     Spans are spelled out as the places they cover, so that the text is met by an equi-join: a file with most
-    of the chunks is no group of its own.
+    of the chunks is no group of its own. A span that many questions have is put together once, and its text
+    meets their rows last.
     """
     folded = written(_collapse(_with_chunks(results, chunks), window), "folded")
-    places = folded.filter("span_start is not null").select("query_id", "chunk_id", "filename", F.explode(F.sequence("span_start", "span_end")).alias("i"))
-    few = folded.agg(F.coalesce(F.sum(F.col("span_end") - F.col("span_start") + 1), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    spanned = F.col("span_start").isNotNull() & F.col("filename").isNotNull()
+    span = ["filename", "span_start", "span_end"]
+    spans = written(folded.filter(spanned).select(span).distinct(), "spans")
+    places = spans.select(*span, F.explode(F.sequence("span_start", "span_end")).alias("i"))
+    few = spans.agg(F.coalesce(F.sum(F.col("span_end") - F.col("span_start") + 1), F.lit(0))).first()[0] <= BROADCAST_ROWS
     text = chunks.filter("source_type = 'text' and content is not null").select("filename", F.col("chunk_index").alias("i"), "content")
     inside = text.join(F.broadcast(places) if few else places, ["filename", "i"])
-    spans = inside.groupBy("query_id", "chunk_id").agg(joined_content("i", "content").alias("expanded"))
-    return folded.join(spans, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", "rank", "filename", F.coalesce("expanded", "own").alias("content"))
+    texts = inside.groupBy(span).agg(joined_content("i", "content").alias("content"))
+    own = chunks.filter(f"{WITHOUT_SPAN} or filename is null").select("chunk_id", _passage("content").alias("passage"), "content")
+    own = own.groupBy("chunk_id", "passage").agg(F.max("content").alias("content"))
+    columns = ["query_id", "chunk_id", "rank", "filename", "content"]
+    return folded.filter(spanned).join(texts, span, "left").select(columns).unionByName(folded.filter(~spanned).join(own, ["chunk_id", "passage"], "left").select(columns))
 
 
 def first_wins(lists: DataFrame, key: str, limit: int | None = None) -> DataFrame:

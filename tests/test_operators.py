@@ -59,6 +59,33 @@ def shuffled(spark, run):
     return out, max(s.shuffleWriteRecords() for s in (stages().apply(i) for i in range(stages().size())) if s.stageId() not in known)
 
 
+def shuffled_bytes(spark, run):
+    """Bytes that the stages of ``run`` wrote for a shuffle, all together."""
+    context = spark.sparkContext._jsc.sc()
+    stages = lambda: context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    known = {stages().apply(i).stageId() for i in range(stages().size())}
+    out = run()
+    context.listenerBus().waitUntilEmpty(30_000)
+    return out, sum(s.shuffleWriteBytes() for s in (stages().apply(i) for i in range(stages().size())) if s.stageId() not in known)
+
+
+def long_chunks(spark, n=40, questions=150):
+    """(chunks of 20,000 characters in files of two, results of ``questions`` questions that find ten each)."""
+    rng = random.Random(8)
+    rows = [chunk(f"c{i:02d}", file=f"f{i // 2}", index=i % 2, content=f"{rng.randbytes(10_000).hex()}") for i in range(n)]
+    rows += [chunk("x1", file="g", index=0, content=" Same  TEXT"), chunk("x2", file="g", index=9, content="same text"), chunk("y1", file="g", content=None, kind="image_caption"), chunk("y2", file=None, content="alone")]
+    results = [(q, f"c{(q + 3 * i) % n:02d}", i + 1) for q in range(questions) for i in range(10)] + [(q, c, 11 + i) for q in range(questions) for i, c in enumerate(("x1", "x2", "y1", "y2"))]
+    return spark.createDataFrame(rows, CHUNKS).repartition(4), spark.createDataFrame(results, "query_id long, chunk_id string, rank int")
+
+
+def test_texts_found_by_many_questions_are_not_shuffled_for_each(spark):
+    c, results = long_chunks(spark)
+    folded, moved = shuffled_bytes(spark, lambda: retrieval.collapse_duplicates(results, c).collect())
+    assert moved < 2_000_000 < 1_500 * 20_000
+    own = {(r.query_id, r.chunk_id) for r in folded}
+    assert {i for q, i in own if q == 0 and i[0] != "c"} == {"x1", "y1", "y2"} and len(own) == len(folded)
+
+
 def test_words_are_ranked_where_the_chunks_lie(spark):
     rng = random.Random(2)
     text = lambda n: "common " + " ".join(rng.choice("alpha beta gamma delta running runs the of epsilon".split()) for _ in range(n))
