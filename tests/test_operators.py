@@ -86,6 +86,20 @@ def test_texts_found_by_many_questions_are_not_shuffled_for_each(spark):
     assert {i for q, i in own if q == 0 and i[0] != "c"} == {"x1", "y1", "y2"} and len(own) == len(folded)
 
 
+def test_context_found_by_many_questions_is_put_together_once(spark):
+    c, results = long_chunks(spark)
+    text = {r.chunk_id: r.content for r in c.collect()}
+    got, moved = shuffled_bytes(spark, lambda: retrieval.expand_context(results, c).collect())
+    assert moved < 4_000_000 < 1_500 * 20_000
+    assert {(r.query_id, r.chunk_id) for r in got} == {(r.query_id, r.chunk_id) for r in retrieval.collapse_duplicates(results, c).collect()}
+    for r in got:
+        if r.chunk_id[0] == "c":
+            n = int(r.chunk_id[1:]) // 2 * 2
+            assert r.content == text[f"c{n:02d}"] + "\n" + text[f"c{n + 1:02d}"]
+        else:
+            assert r.content == {"x1": text["x1"], "y1": None, "y2": "alone"}[r.chunk_id]
+
+
 def test_words_are_ranked_where_the_chunks_lie(spark):
     rng = random.Random(2)
     text = lambda n: "common " + " ".join(rng.choice("alpha beta gamma delta running runs the of epsilon".split()) for _ in range(n))
