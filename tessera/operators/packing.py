@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.session import BROADCAST_ROWS, written
+
 
 def budget_cut(rows: DataFrame, group: str, order: str, cost: Column, budget: int) -> DataFrame:
     """Rows kept while the running sum of their cost stays within the budget; costs are not negative."""
@@ -32,31 +34,57 @@ def next_fit(rows: DataFrame, group: str, order: str, cost: Column, limit: int,
 
 
 def number_sources(rows: DataFrame, group: str, order: str, key: Column, offset: int = 0) -> DataFrame:
-    """Adds ``number`` from 1 and ``pointer``, true where an equal source was numbered before and is only pointed at."""
-    keyed = rows.withColumn("_key", key)
+    """Adds ``number`` from 1 and ``pointer``, true where an equal source was numbered before and is only pointed at.
+
+    Keys may be whole texts; their digests are shuffled.
+    """
+    keyed = rows.withColumn("_key", F.coalesce(F.unhex(F.sha2(key.cast("string").cast("binary"), 256)), F.lit(b"")))
     first = Window.partitionBy(group, "_key").orderBy(order)
     marked = keyed.withColumn("_first", F.first(order).over(first))
-    heads = marked.filter(F.col(order) == F.col("_first")).select(group, "_key", "_first")
-    numbered = heads.withColumn("number", F.row_number().over(Window.partitionBy(group).orderBy("_first")) + offset)
-    return marked.join(numbered.select(group, "_first", "number"), [group, "_first"]).withColumn("pointer", F.col(order) != F.col("_first")).drop("_key", "_first")
+    numbered = marked.withColumn("number", F.dense_rank().over(Window.partitionBy(group).orderBy("_first", "_key")) + offset)
+    return numbered.withColumn("pointer", F.col(order) != F.col("_first")).drop("_key", "_first")
+
+
+def _pointer_line() -> Column:
+    return F.format_string("[%d] (same passage as [%d] above)", "number", "number")
+
+
+def place_within(rows: DataFrame, group: str, order: str, key: Column, length: Column, offset: int = 0, separator: int = 3) -> DataFrame:
+    """Adds ``number``, ``pointer``, ``place`` from 1 and ``used``, the tokens up to and with this line, for texts of ``length``
+    characters, which need not be there."""
+    marked = number_sources(rows.withColumn("_length", length), group, order, key, offset)
+    chars = F.when(F.col("pointer"), F.length(_pointer_line())).otherwise(F.length(F.format_string("[%d] ", "number")) + F.coalesce("_length", F.lit(0)))
+    cost = F.floor(chars / 1.5) + 1 + separator
+    running = Window.partitionBy(group).orderBy(order)
+    placed = marked.withColumn("used", F.sum(cost).over(running.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(running))
+    return placed.drop("_length")
+
+
+def fitting_lines(placed: DataFrame, group: str, room: int, texts: DataFrame, on: str) -> DataFrame:
+    """``(group, place, number, pointer, line)`` of :func:`place_within`: only what fits in ``room`` tokens is given its text, from ``texts`` (on, text)."""
+    placed = written(placed.select(group, on, "place", "number", "pointer", "used"), "placed")
+    kept = placed.filter(F.col("used") <= room)
+    few = kept.count() <= BROADCAST_ROWS
+    kept = texts.join(F.broadcast(kept), on, "right") if few else kept.join(texts, on, "left")
+    return _lines(kept, placed, group, room)
+
+
+def _lines(kept: DataFrame, placed: DataFrame, group: str, room: int) -> DataFrame:
+    line = F.when(F.col("pointer"), _pointer_line()).otherwise(F.concat(F.format_string("[%d] ", "number"), F.coalesce("text", F.lit(""))))
+    rest = placed.filter(F.col("used") > room).groupBy(group).agg(F.count("*").alias("n"), F.min("place").alias("place"))
+    notice = rest.select(group, "place", F.lit(None).cast("int").alias("number"), F.lit(None).cast("boolean").alias("pointer"), F.format_string("(%d more results did not fit and were left out.)", "n").alias("line"))
+    return kept.select(group, "place", "number", "pointer", line.alias("line")).unionByName(notice)
 
 
 def number_within(rows: DataFrame, group: str, order: str, key: Column, text: Column, room: int, offset: int = 0, separator: int = 3) -> DataFrame:
     """``(group, place, number, pointer, line)``: numbered results as a model reads them, as many whole ones as fit in ``room`` tokens.
 
     A source seen before comes as a line that points at its number. Each line costs its tokens and a
-    separator. What is left out is said in a last line, without number.
+    separator. What is left out is said in a last line, without number. For rows that hold their texts; where many
+    groups have the same text, :func:`place_within` and :func:`fitting_lines` give the same lines and move it last.
     """
-    marked = number_sources(rows.withColumn("_text", text), group, order, key, offset)
-    again = F.format_string("[%d] (same passage as [%d] above)", "number", "number")
-    lines = marked.withColumn("line", F.when(F.col("pointer"), again).otherwise(F.concat(F.format_string("[%d] ", "number"), F.coalesce("_text", F.lit("")))))
-    cost = F.floor(F.length("line") / 1.5) + 1 + separator
-    running = Window.partitionBy(group).orderBy(order)
-    cut = lines.withColumn("used", F.sum(cost).over(running.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(running))
-    kept = cut.filter(F.col("used") <= room).select(group, "place", "number", "pointer", "line")
-    rest = cut.filter(F.col("used") > room).groupBy(group).agg(F.count("*").alias("n"), F.min("place").alias("place"))
-    notice = rest.select(group, "place", F.lit(None).cast("int").alias("number"), F.lit(None).cast("boolean").alias("pointer"), F.format_string("(%d more results did not fit and were left out.)", "n").alias("line"))
-    return kept.unionByName(notice)
+    placed = place_within(rows.withColumn("text", text), group, order, key, F.length("text"), offset, separator)
+    return _lines(placed.filter(F.col("used") <= room), placed, group, room)
 
 
 def spread_sample(chunks: DataFrame, slots: int = 40) -> DataFrame:

@@ -140,6 +140,16 @@ def _with_content(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d).join(chunks(spark, d).select("chunk_id", "filename", "content"), "chunk_id")
 
 
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    """Lines numbered by digests and lengths, taken where the chunks lie; texts come last, to what fits."""
+    c = chunks(spark, d)
+    source = F.sha2(F.concat_ws("\x1f", "filename", tx.normalise_text("content")).cast("binary"), 256)
+    slim = c.select("chunk_id", source.alias("source"), F.length("content").alias("chars"))
+    found = _fused(spark, d).select("query_id", "chunk_id", "rank").join(slim, "chunk_id")
+    placed = packing.place_within(found, "query_id", "rank", F.col("source"), F.col("chars"))
+    return packing.fitting_lines(placed, "query_id", 3_000, c.select("chunk_id", F.col("content").alias("text")), "chunk_id")
+
+
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     m = _messages(spark, d)
     return m.filter(F.lower(F.trim("role")).isin("assistant", "bot"))
@@ -202,7 +212,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pack_batches": lambda s, d: packing.next_fit(_with_content(s, d), "query_id", "rank", tx.token_estimate("content"), 1_000),
         "number_sources": lambda s, d: packing.number_sources(_with_content(s, d), "query_id", "rank", F.concat_ws("\x1f", "filename", tx.normalise_text("content"))).select("query_id", "chunk_id", "number", "pointer"),
         "spreadsheet_sample": lambda s, d: packing.spread_sample(c(s, d)),
-        "number_within": lambda s, d: packing.number_within(_with_content(s, d), "query_id", "rank", F.concat_ws("\x1f", "filename", tx.normalise_text("content")), F.col("content"), 3_000),
+        "number_within": _numbered,
         "render_notes": lambda s, d: packing.render_notes(_notes(s, d), 1_500).select("query_id", "filename", "notes", "number", F.col("used").cast("long").alias("used"), "block"),
         # catalogue
         "list_documents": lambda s, d: catalog.list_documents(c(s, d), catalog.folder_filter("filename", "/Projects/") & catalog.type_filter("filename", "pdf")),

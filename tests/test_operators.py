@@ -230,6 +230,19 @@ def test_numbered_lines_fit_the_room(spark):
     assert got[2].line == "[3] (same passage as [3] above)" and got[3].line == "(2 more results did not fit and were left out.)"
 
 
+def test_only_lines_that_fit_are_given_their_texts(spark):
+    c, results = long_chunks(spark)
+    rows = results.join(c.select("chunk_id", "filename", "content"), "chunk_id")
+    room = 15_000  # of ten texts of 13,334 tokens one fits
+    want = sorted(map(tuple, packing.number_within(rows, "query_id", "rank", F.col("content"), F.col("content"), room).collect()))
+    slim = results.join(c.select("chunk_id", F.sha2("content", 256).alias("source"), F.length("content").alias("chars")), "chunk_id")
+    lines = lambda: packing.fitting_lines(packing.place_within(slim, "query_id", "rank", F.col("source"), F.col("chars")), "query_id", room, c.select("chunk_id", F.col("content").alias("text")), "chunk_id").collect()
+    got, moved = shuffled_bytes(spark, lines)
+    assert sorted(map(tuple, got)) == want and len(want) == 300 and moved < 2_000_000
+    _, moved = shuffled_bytes(spark, lambda: packing.number_sources(rows, "query_id", "rank", F.col("content")).select("query_id", "chunk_id", "number", "pointer").collect())
+    assert moved < 2_000_000  # keys are shuffled as digests
+
+
 def test_notes_are_numbered_by_first_use(spark):
     rows = [(1, 1, "b.pdf", "e1", "page 1", "one", 7), (1, 2, "a.pdf", "e2", "text", "two", 1), (1, 3, "a.pdf", "e3", "text", "three", 0), (1, 4, "a.pdf", "e3", "text", "four", 0)]
     notes = spark.createDataFrame(rows, "query_id long, note_no int, filename string, excerpt string, label string, claim string, position int")
