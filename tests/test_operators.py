@@ -100,6 +100,14 @@ def test_context_found_by_many_questions_is_put_together_once(spark):
             assert r.content == {"x1": text["x1"], "y1": None, "y2": "alone"}[r.chunk_id]
 
 
+def test_a_search_moves_no_text_for_each_question(spark):
+    c, _ = long_chunks(spark)
+    q = spark.createDataFrame([(i, "same text alone", [1.0, 0.5]) for i in range(150)], "query_id long, text string, vec array<double>")
+    postings = retrieval.build_postings(c)
+    got, moved = shuffled_bytes(spark, lambda: retrieval.hybrid_search(q, c, 10, postings).collect())
+    assert sum(len(r.content or "") for r in got) > 15_000_000 and moved < 6_000_000
+
+
 def test_words_are_ranked_where_the_chunks_lie(spark):
     rng = random.Random(2)
     text = lambda n: "common " + " ".join(rng.choice("alpha beta gamma delta running runs the of epsilon".split()) for _ in range(n))
