@@ -6,6 +6,9 @@ rows were reduced to the pool where they lie.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,7 +17,7 @@ from tessera.functions.stems import stemmed
 from tessera.functions.text import STOP_WORDS, normalise_text, terms
 from tessera.functions.vectors import cosine, nearest_rows
 from tessera.functions.words import best_by_words, counted
-from tessera.session import BROADCAST_ROWS, parallelism, written
+from tessera.session import BROADCAST_ROWS, parallelism, release, written
 
 # Constants of the ranking.
 RRF_K = 60
@@ -26,6 +29,8 @@ PER_DOCUMENT = 6
 SUB_QUERY_LIMIT = 8
 WHOLE_DOCUMENT_CHARS = 16_000
 PICKED_WEIGHT = 0.5
+#: Bytes of different texts in a task, where texts repeat (a Parquet file keeps each of up to 1 MB of them once); least and most bytes of text that a task puts out.
+ONCE, LEAST_TEXT, MOST_TEXT = 2**18, 2**23, 2**27
 #: Chunks that are read alone.
 WITHOUT_SPAN = "(source_type != 'text' or chunk_index is null or source_type is null)"
 
@@ -275,26 +280,41 @@ def joined_content(index: str, content: str, separator: str = "\n") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(index, content))), lambda x: x[content]), separator)
 
 
+def _with_texts(rows: DataFrame, keys: list[str], pieces: Callable[[Column], DataFrame], content: Column) -> DataFrame:
+    """``rows`` with ``content``, which is put together from the ``pieces`` (*keys, content) once for each of ``keys``.
+
+    Rows are slim and their texts are not, so tasks are cut by what they put out; rows of one text lie in one task.
+    """
+    sizes = pieces(F.octet_length("content").alias("content")).groupBy(keys).agg(F.sum("content").alias("size"))
+    each = rows.groupBy(keys).agg(F.count("*").alias("n")).join(sizes, keys)
+    once, out = each.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0))).first()
+    parts = max(1, math.ceil(max(out / MOST_TEXT, min(once / ONCE, out / LEAST_TEXT))))
+    texts = pieces(F.col("content")).repartition(parts, *keys).groupBy(keys).agg(content.alias("content"))
+    return rows.repartition(parts, *keys).join(texts, keys, "left")
+
+
 def expand_context(results: DataFrame, chunks: DataFrame, window: int = CONTEXT_WINDOW) -> DataFrame:
     """``(query_id, chunk_id, rank, filename, content)``: each folded span with all its text, other rows as they are.
 
     Spans are spelled out as the places they cover, so that the text is met by an equi-join: a file with most
     of the chunks is no group of its own. A span that many questions have is put together once, and its text
-    meets their rows last.
+    meets their rows last, in one task.
     """
     folded = written(_collapse(_with_chunks(results, chunks), window), "folded")
+    release(chunks.sparkSession)  # the search's shuffles
     spanned = F.col("span_start").isNotNull() & F.col("filename").isNotNull()
     span = ["filename", "span_start", "span_end"]
     spans = written(folded.filter(spanned).select(span).distinct(), "spans")
     places = spans.select(*span, F.explode(F.sequence("span_start", "span_end")).alias("i"))
     few = spans.agg(F.coalesce(F.sum(F.col("span_end") - F.col("span_start") + 1), F.lit(0))).first()[0] <= BROADCAST_ROWS
-    text = chunks.filter("source_type = 'text' and content is not null").select("filename", F.col("chunk_index").alias("i"), "content")
-    inside = text.join(F.broadcast(places) if few else places, ["filename", "i"])
-    texts = inside.groupBy(span).agg(joined_content("i", "content").alias("content"))
-    own = chunks.filter(f"{WITHOUT_SPAN} or filename is null").select("chunk_id", _passage("content").alias("passage"), "content")
-    own = own.groupBy("chunk_id", "passage").agg(F.max("content").alias("content"))
+    places = F.broadcast(places) if few else places
+    text = chunks.filter("source_type = 'text' and content is not null")
+    inside = lambda what: text.select("filename", F.col("chunk_index").alias("i"), what).join(places, ["filename", "i"])
+    alone = chunks.filter(f"{WITHOUT_SPAN} or filename is null")
+    own = lambda what: alone.select("chunk_id", _passage("content").alias("passage"), what)
     columns = ["query_id", "chunk_id", "rank", "filename", "content"]
-    return folded.filter(spanned).join(texts, span, "left").select(columns).unionByName(folded.filter(~spanned).join(own, ["chunk_id", "passage"], "left").select(columns))
+    expanded = _with_texts(folded.filter(spanned), span, inside, joined_content("i", "content")).select(columns)
+    return expanded.unionByName(_with_texts(folded.filter(~spanned), ["chunk_id", "passage"], own, F.max("content")).select(columns))
 
 
 def first_wins(lists: DataFrame, key: str, limit: int | None = None) -> DataFrame:

@@ -100,6 +100,16 @@ def test_context_found_by_many_questions_is_put_together_once(spark):
             assert r.content == {"x1": text["x1"], "y1": None, "y2": "alone"}[r.chunk_id]
 
 
+def test_context_of_many_questions_is_written_once(spark, tmp_path):
+    c, results = long_chunks(spark, n=200, questions=600)
+    alone = spark.createDataFrame([chunk("y3", file="h", content="shown " * 3_000, kind="chart_data")], CHUNKS)
+    results = results.unionByName(results.filter("rank = 1").withColumn("chunk_id", F.lit("y3")).withColumn("rank", F.lit(15)))
+    retrieval.expand_context(results, c.unionByName(alone)).write.parquet(out := str(tmp_path / "out"))
+    got = spark.read.parquet(out).groupBy("query_id").agg(F.count_distinct("chunk_id").alias("rows"), F.sum(F.length("content")).alias("chars"), F.count("content").alias("texts")).collect()
+    assert len(got) == 600 and {(r.rows, r.texts) for r in got} == {(14, 13)} and {r.chars for r in got} == {10 * 40_001 + 11 + 5 + 18_000}
+    assert sum(f.stat().st_size for f in (tmp_path / "out").iterdir()) < 12_000_000 < 600 * 400_000  # of 4,000,000 characters that differ
+
+
 def test_a_search_moves_no_text_for_each_question(spark):
     c, _ = long_chunks(spark)
     q = spark.createDataFrame([(i, "same text alone", [1.0, 0.5]) for i in range(150)], "query_id long, text string, vec array<double>")
